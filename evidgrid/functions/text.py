@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import any_of, col, extract_all, let, strings
+from evidgrid.functions.exprs import NOT_SPACE, SPACE, any_of, col, extract_all, let, strings
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 
 MILLISECOND_BOUNDARY = 10_000_000_000
 DAY_MICROS = 86_400_000_000
 HALF_LIFE_DAYS = 365.0
+# A word of four or more characters without lower case letters and with a capital.
+SHOUTED = (
+    rf"(?<!{NOT_SPACE})(?=[^\s\p{{Ll}}]*\p{{Lu}})(?:(?!\p{{Ll}}){NOT_SPACE}){{4,}}(?!{NOT_SPACE})"
+)
 
 
 def instant_from_number(value: Column | str) -> Column:
@@ -120,7 +124,7 @@ def shannon_entropy(text: Column | str) -> Column:
 
 
 def collapse_spaces(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col(text), SPACE + "+", " "))
 
 
 def label_key(text: Column | str) -> Column:
@@ -155,12 +159,7 @@ def fingerprint(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Colum
 
 def correction_score(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     value = col(text)
-    shouted = F.size(
-        F.filter(
-            F.split(value, r"(?U)\s+"),
-            lambda t: (F.length(t) > 3) & (F.upper(t) == t) & (F.lower(t) != t),
-        )
-    )
+    shouted = F.regexp_count(value, F.lit(SHOUTED))
     total = (
         F.regexp_count(value, F.lit(lexicon.correction)) * 4
         + F.regexp_count(value, F.lit(lexicon.explicit)) * 10

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import strings
+from evidgrid.functions.exprs import col, strings
 from evidgrid.functions.identity import content_sha, independence_key
 from evidgrid.functions.text import (
     behavior_keys,
@@ -18,7 +18,7 @@ from evidgrid.functions.text import (
 )
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 from evidgrid.operators.skew import join_back
-from evidgrid.session import cut_lineage
+from evidgrid.session import cut_lineage, cut_lineage_counted
 
 
 def with_terms(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -44,43 +44,59 @@ def _witnesses(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def corroborate(events: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def corroboration_keys(
+    tokens: Column | str = "tokens", lexicon: Lexicon = DEFAULT_LEXICON
+) -> list[Column]:
+    """``fingerprint_key`` and ``anchor_set``, null where a text has none."""
+    value = col(tokens)
+    anchors = F.sort_array(F.array_intersect(value, strings(lexicon.anchors)))
+    return [
+        F.when(F.size(value) > 0, content_sha(F.array_join(value, " "))).alias("fingerprint_key"),
+        F.when(F.size(anchors) >= 3, F.array_join(anchors, " ")).alias("anchor_set"),
+    ]
+
+
+def corroborate(
+    keyed: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, total_rows: int | None = None
+) -> DataFrame:
     """Add ``corroboration``: how many independent sessions support an event.
 
-    Input needs event_id, session_id, tokens. Support comes from equal fingerprints or from a
-    shared combination of three behaviour anchors, whichever is larger, and is at least 1.
+    Input needs event_id, session_id and the ``corroboration_keys``. Support comes from equal
+    fingerprints or from a shared combination of three anchors, whichever is larger, and is at
+    least 1.
     """
-    anchors = F.sort_array(F.array_intersect("tokens", strings(lexicon.anchors)))
-    keyed = events.withColumn(
-        "_fp", F.when(F.size("tokens") > 0, content_sha(F.array_join("tokens", " ")))
-    ).withColumn("_anchors", F.when(F.size(anchors) >= 3, F.array_join(anchors, " ")))
-    by_fingerprint = _witnesses(keyed, "_fp").withColumnRenamed("witnesses", "_by_fp")
-    found = join_back(keyed, by_fingerprint, "_fp", "rows", F.col("event_id"))
+    by_fingerprint = _witnesses(keyed, "fingerprint_key").withColumnRenamed("witnesses", "_by_fp")
+    found = join_back(
+        keyed, by_fingerprint, "fingerprint_key", "rows", F.col("event_id"), total_rows=total_rows
+    )
 
     # Events with the same anchor set have the same keys: expand sets, not events.
     def expanded(df: DataFrame) -> DataFrame:
-        keys = behavior_keys(F.split("_anchors", " "), lexicon)
-        return df.where(F.col("_anchors").isNotNull()).withColumn("_key", F.explode(keys))
+        keys = behavior_keys(F.split("anchor_set", " "), lexicon)
+        return df.withColumn("_key", F.explode(keys))
 
-    sets = keyed.select("_anchors", "session_id").distinct()
-    by_key = _witnesses(expanded(sets), "_key").drop("rows")
-    weights = keyed.where(F.col("_anchors").isNotNull()).groupBy("_anchors").agg(
-        F.count("*").alias("rows")
+    sets = (
+        keyed.where(F.col("anchor_set").isNotNull())
+        .groupBy("anchor_set", "session_id")
+        .agg(F.count("*").alias("n"))
     )
+    by_key = _witnesses(expanded(sets), "_key").drop("rows")
     by_set = (
-        expanded(weights)
+        expanded(sets.groupBy("anchor_set").agg(F.sum("n").alias("rows")))
         .join(by_key, "_key")
-        .groupBy("_anchors")
+        .groupBy("anchor_set")
         .agg(F.max("witnesses").alias("_by_anchors"), F.max("rows").alias("rows"))
     )
-    found = join_back(found, by_set, "_anchors", "rows", F.col("event_id"))
+    found = join_back(
+        found, by_set, "anchor_set", "rows", F.col("event_id"), total_rows=total_rows
+    )
     support = F.greatest(
         F.lit(1),
         F.coalesce(F.col("_by_fp"), F.lit(0)),
         F.coalesce(F.col("_by_anchors"), F.lit(0)),
     )
     return found.withColumn("corroboration", support.cast("long")).drop(
-        "_fp", "_anchors", "_by_fp", "_by_anchors"
+        "fingerprint_key", "anchor_set", "_by_fp", "_by_anchors"
     )
 
 
@@ -149,8 +165,9 @@ def score_events(
     The narrow rows are written once, because corroboration and relevance read them several times
     and must not go back to the texts.
     """
-    narrow = cut_lineage(features)
-    scored = corroborate(narrow, lexicon)
+    keys = corroboration_keys("tokens", lexicon)
+    narrow, rows = cut_lineage_counted(features.select("*", *keys))
+    scored = corroborate(narrow, lexicon, rows)
     scored = scored if keep_tokens else scored.drop("tokens")
     if blocks is None:
         return scored.withColumn("target_relevance", F.lit(0).cast("long"))

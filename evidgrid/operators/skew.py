@@ -30,9 +30,15 @@ def join_back(
     salt: Column,
     hot_rows: int = HOT_ROWS,
     max_hot: int = MAX_HOT,
+    total_rows: int | None = None,
 ) -> DataFrame:
-    """Left join ``lookup`` (unique by ``key``, ``rows`` = its row count) onto ``facts``."""
+    """Left join ``lookup`` (unique by ``key``, ``rows`` = its row count) onto ``facts``.
+
+    Where all facts together are known to be fewer than a heavy key, the join is a plain one.
+    """
     values = [name for name in lookup.columns if name not in (key, rows)]
+    if total_rows is not None and total_rows < hot_rows:
+        return facts.join(lookup.drop(rows), key, "left").select(*facts.columns, *values)
     hot = (
         lookup.where(F.col(rows) >= hot_rows)
         .orderBy(F.col(rows).desc(), F.col(key))

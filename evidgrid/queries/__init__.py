@@ -1,6 +1,6 @@
 """Runnable queries over the given tables."""
 
-from evidgrid.queries import evidence_queries  # noqa: F401
+from evidgrid.queries import evidence_queries, text_queries  # noqa: F401
 from evidgrid.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidgrid.functions.identity import content_sha, event_id
 from evidgrid.lexicon import Lexicon
+from evidgrid.session import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table with long texts, on all cores also where it is a single small file."""
+    keys = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+    return spread_small(table(spark, sf_dir, name), keys[name])
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -68,7 +75,7 @@ def document_events(
 
     ``columns`` are computed on the scan, before the join; without them the text comes along.
     """
-    documents = table(spark, sf_dir, "documents").select(
+    documents = texts(spark, sf_dir).select(
         "doc_id",
         F.col("lang").alias("source_kind"),
         F.col("source").alias("session_id"),

@@ -19,7 +19,7 @@ from evidgrid.functions.text import (
 from evidgrid.lexicon import MAX_EVENTS
 from evidgrid.operators import evidence as ev
 from evidgrid.operators.ingest import dedup_latest, within_lookback
-from evidgrid.session import cut_lineage
+from evidgrid.session import cut_lineage_counted
 from evidgrid.queries.base import (
     AS_OF,
     DEDUPED_SQL,
@@ -35,6 +35,7 @@ from evidgrid.queries.base import (
     sql_list,
     sql_tokens,
     table,
+    texts,
 )
 
 LX = FIXTURE_LEXICON
@@ -192,7 +193,7 @@ def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
        {sql_directive('text')} AS directive_score FROM documents""",
 )
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         correction_score("text", LX).cast("long").alias("correction_score"),
         directive_score("text", LX).cast("long").alias("directive_score"),
@@ -204,7 +205,7 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS fingerprint FROM documents",
 )
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", fingerprint("text", LX).alias("fingerprint")
     )
 
@@ -217,14 +218,15 @@ SELECT doc_id, CAST(CASE WHEN fp = '' THEN 1 ELSE count(DISTINCT source) OVER (P
 )
 def fingerprint_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sources per fingerprint, joined back to every document."""
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir)
     plain = FIXTURE_LEXICON.__class__(stop=LX.stop, anchors=[])
     tokened = documents.select(
         F.col("doc_id").alias("event_id"),
         F.col("source").alias("session_id"),
-        fingerprint_tokens("text", plain).alias("tokens"),
+        *ev.corroboration_keys(fingerprint_tokens("text", plain), plain),
     )
-    found = ev.corroborate(cut_lineage(tokened), plain)
+    keyed, rows = cut_lineage_counted(tokened)
+    found = ev.corroborate(keyed, plain, rows)
     return found.select(F.col("event_id").alias("doc_id"), "corroboration")
 
 
@@ -241,7 +243,7 @@ FROM k GROUP BY behavior""",
 )
 def key_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources and documents per combination of three anchors."""
-    documents = ev.with_terms(table(spark, sf_dir, "documents"), "text", LX)
+    documents = ev.with_terms(texts(spark, sf_dir), "text", LX)
     # Counts per (anchor set, source) first: equal sets are expanded once.
     anchors = F.sort_array(F.array_intersect("tokens", strings(LX.anchors)))
     sets = (
@@ -271,7 +273,7 @@ SELECT d.doc_id, CAST(coalesce(m.r, 0) AS BIGINT) AS target_relevance
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""",
 )
 def target_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "event_id")
+    documents = texts(spark, sf_dir).withColumnRenamed("doc_id", "event_id")
     terms = ev.with_terms(documents, "text", LX).select("event_id", "terms")
     found = ev.target_relevance(terms, benchmark_blocks(spark, sf_dir), LX)
     joined = terms.select("event_id").join(found, "event_id", "left")
@@ -368,7 +370,7 @@ SELECT lang, count(DISTINCT source) FILTER (c > 0 OR d > 0) >= 2 AS signal FROM
 )
 def missing_rule_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a language has two independent scored sources (or an explicit durable wording)."""
-    events = table(spark, sf_dir, "documents").select(
+    events = texts(spark, sf_dir).select(
         F.col("lang").alias("source_kind"),
         F.col("source").alias("session_id"),
         F.col("doc_id").alias("locator"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -50,3 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from the written copy."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` that also returns the number of rows, counted while they are written."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, int(seen.get["rows"])
+
+
+def spread_small(df: DataFrame, key: str, split_bytes: int = 128 << 20) -> DataFrame:
+    """Use all cores for an input that is too small to be split across them.
+
+    Only inputs below one default split per core are redistributed; anything larger already has
+    enough splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores, key) if int(str(size)) < cores * split_bytes else df
