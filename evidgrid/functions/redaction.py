@@ -94,48 +94,45 @@ def placeholder(kind: str, value: Column) -> Column:
 def _apply(state: Column, detector: Detector) -> Column:
     """Replace the matches of one detector; texts without a match are passed through."""
     text = state["text"]
+    parts = [
+        F.split(text, detector.pattern, -1).alias("pieces"),
+        extract_all(text, detector.pattern).alias("matches"),
+    ]
+    if detector.prefix_group:
+        parts.append(extract_all(text, detector.pattern, detector.prefix_group).alias("prefixes"))
+        parts.append(extract_all(text, detector.pattern, detector.value_group).alias("values"))
+
+    def rewritten(found: Column) -> Column:
+        values = found["values"] if detector.prefix_group else found["matches"]
 
-    def rewritten(pieces: Column, matches: Column, prefixes: Column, values: Column) -> Column:
         def accepted(value: Column) -> Column:
-            if detector.kind != "high_entropy":
-                return F.lit(True)
             return shannon_entropy(value) >= lx.ENTROPY_BITS
 
-        def stitched(i: Column) -> Column:
+        def stitched(match: Column, i: Column) -> Column:
             value = F.get(values, i)
-            prefix = F.get(prefixes, i) if detector.prefix_group else F.lit("")
-            secret = F.concat(prefix, placeholder(detector.kind, value))
-            kept = F.when(accepted(value), secret).otherwise(F.get(matches, i))
-            return F.concat(kept, F.get(pieces, i + 1))
-
-        body = F.transform(F.sequence(F.lit(0), F.size(matches) - 1), stitched)
-        found = F.transform(
-            F.filter(values, accepted),
+            secret = placeholder(detector.kind, value)
+            if detector.prefix_group:
+                secret = F.concat(F.get(found["prefixes"], i), secret)
+            if detector.kind == "high_entropy":
+                secret = F.when(accepted(value), secret).otherwise(match)
+            return F.concat(secret, F.get(found["pieces"], i + 1))
+
+        kept = F.filter(values, accepted) if detector.kind == "high_entropy" else values
+        findings = F.transform(
+            kept,
             lambda value: F.struct(
                 F.lit(detector.kind).alias("kind"),
                 F.lit(detector.confidence).alias("confidence"),
                 content_sha(value).alias("digest"),
             ),
         )
+        body = F.array_join(F.transform(found["matches"], stitched), "")
         return F.struct(
-            F.concat(F.get(pieces, F.lit(0)), F.array_join(body, "")).alias("text"),
-            F.concat(state["findings"], found).alias("findings"),
+            F.concat(F.get(found["pieces"], F.lit(0)), body).alias("text"),
+            F.concat(state["findings"], findings).alias("findings"),
         )
 
-    replaced = let(
-        F.split(text, detector.pattern, -1),
-        lambda pieces: let(
-            extract_all(text, detector.pattern),
-            lambda matches: let(
-                extract_all(text, detector.pattern, detector.prefix_group),
-                lambda prefixes: let(
-                    extract_all(text, detector.pattern, detector.value_group),
-                    lambda values: rewritten(pieces, matches, prefixes, values),
-                ),
-            ),
-        ),
-    )
-    return F.when(text.rlike(detector.pattern), replaced).otherwise(state)
+    return F.when(text.rlike(detector.pattern), let(F.struct(*parts), rewritten)).otherwise(state)
 
 
 def redact(text: Column | str, max_chars: int | None = lx.MAX_EXCERPT_CHARS) -> Column:
