@@ -9,7 +9,7 @@ from evidgrid import lexicon as lx
 from evidgrid.functions.exprs import col, extract_all, let
 from evidgrid.functions.identity import digest_prefix, content_sha
 from evidgrid.operators.skew import join_back
-from evidgrid.session import cut_lineage
+from evidgrid.session import cut_lineage, cut_lineage_counted
 
 
 def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
@@ -37,10 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     graph shrinks until no edge is left. Rounds are written to the checkpoint folder: the plan
     stays short and a lost executor costs one round.
     """
-    links = cut_lineage(edges.where("a != b").select("a", "b").distinct())
+    links, size = cut_lineage_counted(edges.where("a != b").select("a", "b").distinct())
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = labels.withColumn("component", F.col("node"))
-    while not links.isEmpty():
+    while size > 0:
         both = links.union(links.select("b", "a"))
         step = (
             both.groupBy(F.col("a").alias("label"))
@@ -54,17 +54,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 "label", F.coalesce("next", "low").alias("low"), "rows"
             )
         )
-        moved = join_back(
-            links.withColumnRenamed("a", "label"), step, "label", "rows", F.col("b")
-        ).select(F.col("low").alias("a"), F.col("b").alias("label"))
-        moved = join_back(moved, step, "label", "rows", F.col("a")).select("a", F.col("low").alias("b"))
-        ordered = moved.where("a != b").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+
+        def moved(df: DataFrame, old: str, new: str, other: str, total: int | None) -> DataFrame:
+            renamed = df.withColumnRenamed(old, "label")
+            found = join_back(renamed, step, "label", "rows", F.col(other), total_rows=total)
+            return found.withColumn(new, F.coalesce("low", "label")).drop("label", "low")
+
+        contracted = moved(moved(links, "a", "x", "b", size), "b", "y", "x", size)
+        ordered = contracted.where("x != y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         )
-        links = cut_lineage(ordered.distinct())
+        links, size = cut_lineage_counted(ordered.distinct())
+        # A label stands for many nodes; its weight decides whether it is a heavy key.
+        weights = labels.groupBy(F.col("component").alias("label")).agg(F.count("*").alias("rows"))
+        targets = step.drop("rows").join(weights, "label")
         renamed = labels.withColumnRenamed("component", "label")
-        sizes = step.withColumn("rows", F.lit(0).cast("long"))
-        mapped = renamed.join(sizes.select("label", "low"), "label", "left")
+        mapped = join_back(renamed, targets, "label", "rows", F.col("node"))
         labels = cut_lineage(
             mapped.select("node", F.coalesce("low", "label").alias("component"))
         )
@@ -172,11 +177,19 @@ def closure_violations(
     )
     # Peel nodes without incoming or outgoing edges; after max_depth + 1 rounds an edge that is
     # left lies on a cycle or on a path that is too long anyway.
-    core = live
+    core, size = cut_lineage_counted(live)
     for _ in range(max_depth + 1):
+        if size == 0:
+            break
         core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         core = core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    core = cut_lineage(core.select("src", "dst"))
+        before = size
+        core, size = cut_lineage_counted(core.select("src", "dst"))
+        if size == before:
+            break
+    found = dangling.unionByName(deep)
+    if size == 0:
+        return found
     walks = core.select(F.col("src").alias("start"), "src", "dst")
     cycles = walks.where("start = dst").select("src", "dst")
     frontier = walks.where("start != dst").select("start", F.col("dst").alias("node")).distinct()
@@ -185,7 +198,7 @@ def closure_violations(
         cycles = cycles.union(nxt.where("start = dst").select(F.col("node").alias("src"), "dst"))
         frontier = nxt.where("start != dst").select("start", F.col("dst").alias("node")).distinct()
     circular = cycles.distinct().select(F.lit("circular_reference").alias("code"), "src", "dst")
-    return dangling.unionByName(deep).unionByName(circular)
+    return found.unionByName(circular)
 
 
 def graph_digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,6 +1,12 @@
 """Runnable queries over the given tables."""
 
-from evidgrid.queries import evidence_queries, text_queries  # noqa: F401
+from evidgrid.queries import (  # noqa: F401
+    cluster_queries,
+    document_queries,
+    evidence_queries,
+    graph_queries,
+    text_queries,
+)
 from evidgrid.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
