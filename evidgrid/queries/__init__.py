@@ -5,6 +5,8 @@ from evidgrid.queries import (  # noqa: F401
     document_queries,
     evidence_queries,
     graph_queries,
+    rule_queries,
+    run_queries,
     text_queries,
 )
 from evidgrid.queries.base import ORACLES, QUERIES
