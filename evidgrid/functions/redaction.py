@@ -159,23 +159,22 @@ def residual_secrets(text: Column | str) -> Column:
     """High-confidence shapes that a redacted text still shows, placeholders left aside."""
     marked = F.regexp_replace(col(text), PLACEHOLDER_PATTERN, PLACEHOLDER_MARK)
 
+    def matches(value: Column, detector: Detector) -> Column:
+        kept = F.filter(
+            extract_all(value, detector.pattern),
+            lambda match: ~F.contains(match, F.lit(PLACEHOLDER_MARK)),
+        )
+        return F.transform(
+            kept,
+            lambda match: F.struct(
+                F.lit(detector.kind).alias("kind"),
+                F.lit("high").alias("confidence"),
+                content_sha(match).alias("digest"),
+            ),
+        )
+
     def scan(value: Column) -> Column:
-        found = [
-            F.transform(
-                F.filter(
-                    extract_all(value, d.pattern),
-                    lambda match: ~F.contains(match, F.lit(PLACEHOLDER_MARK)),
-                ),
-                lambda match, kind=d.kind: F.struct(
-                    F.lit(kind).alias("kind"),
-                    F.lit("high").alias("confidence"),
-                    content_sha(match).alias("digest"),
-                ),
-            )
-            for d in DETECTORS
-            if d.confidence == "high"
-        ]
-        return F.flatten(F.array(*found))
+        return F.flatten(F.array(*[matches(value, d) for d in DETECTORS if d.confidence == "high"]))
 
     return let(marked, scan)
 

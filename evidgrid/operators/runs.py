@@ -171,8 +171,8 @@ def corrupt_blobs(store: DataFrame) -> DataFrame:
 
 def field_disagreements(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field) where two tables differ, missing rows included; null equals null."""
-    a = left.select(key, F.struct(*[F.col(f).cast("string") for f in fields]).alias("_a"))
-    b = right.select(key, F.struct(*[F.col(f).cast("string") for f in fields]).alias("_b"))
+    a = left.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("_a"))
+    b = right.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("_b"))
     joined = a.join(b, key, "full")
     differing = F.array_compact(
         F.array(

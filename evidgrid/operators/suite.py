@@ -254,17 +254,17 @@ def contained_phrases(
     result = None
     if sizes:
         tokens = extract_all(F.col("_t"), pattern)
-        runs = [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("_tok") - n + 1, F.lit(1))),
-                lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("_tok", i, n))),
+
+        def runs_of(found: Column, size: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size + 1, F.lit(1)))
+            return F.transform(
+                starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(found, i, size)))
             )
-            for n in sizes
-        ]
-        shingled = (
-            normal.withColumn("_tok", tokens)
-            .select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_key"))
-        )
+
+        def keys_of(found: Column) -> Column:
+            return F.array_distinct(F.flatten(F.array(*[runs_of(found, n) for n in sizes])))
+
+        shingled = normal.select("text_id", F.explode(let(tokens, keys_of)).alias("_key"))
         candidates = (
             shingled.join(long_enough.select("_key", "phrase_id", "_p"), "_key")
             .select("text_id", "phrase_id", "_p")

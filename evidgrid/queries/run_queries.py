@@ -38,12 +38,8 @@ def sequence_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
         strings(["error"]),
         strings(["view", "click", "purchase"]),
     )
-    return found.select(
-        "user_id",
-        "day",
-        F.array_join("actions", ">").alias("actions"),
-        F.array_join(failures, ";").alias("failures"),
-    )
+    judged = found.withColumn("failures", F.array_join(failures, ";"))
+    return judged.withColumn("actions", F.array_join("actions", ">"))
 
 
 MATRIX_SQL = """
