@@ -35,9 +35,9 @@ def instant_from_text(value: Column | str) -> Column:
     text = F.regexp_replace(F.trim(col(value)), "[zZ]$", "+00:00")
     zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")
     has_offset = text.rlike(r"[T ].*[+-]\d{2}(:?\d{2})?(:\d{2})?$")
-    return F.when(
-        zoned, F.try_to_timestamp(F.when(has_offset, text).otherwise(F.concat(text, F.lit(" UTC"))))
-    )
+    local = F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
+    utc = F.when(has_offset, text).otherwise(F.concat(local, F.lit(" UTC")))
+    return F.when(zoned, F.try_to_timestamp(utc))
 
 
 def normalize_instant(
