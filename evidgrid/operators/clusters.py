@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
+from evidgrid.functions.exprs import let
 from evidgrid.functions.identity import content_sha, digest_prefix
 from evidgrid.functions.text import subject_terms, utf8_bytes
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 from evidgrid.operators.graph import connected_components, star_edges
 from evidgrid.operators.skew import join_back
+from evidgrid.session import cut_lineage, cut_lineage_counted
 
 NUL = "\x00"
 
@@ -29,14 +31,21 @@ def cluster_identity(location: Column, count: Column, xor: Column, total: Column
     return F.concat(F.lit("cand_"), F.left(content_sha(material), F.lit(16)))
 
 
-def _summaries(members: DataFrame, group: str, reason: str, minimum: int) -> DataFrame:
+def _facts(blocks: DataFrame, *more: Column | str) -> DataFrame:
+    """What clusters need of a block: no text, only its size."""
+    return blocks.select(
+        "block_id", "doc", "heading_path", "start", utf8_bytes("raw").alias("bytes"), *more
+    )
+
+
+def _summaries(facts: DataFrame, group: str, reason: str, minimum: int) -> DataFrame:
     """Aggregate the blocks of each group to one summary row."""
     number = digest_prefix(content_sha("block_id"))
-    grouped = members.groupBy(group).agg(
+    grouped = facts.groupBy(group).agg(
         F.first("doc").alias("doc"),
         F.first("heading_path").alias("heading_path"),
         F.count("*").alias("members"),
-        F.sum(utf8_bytes("raw")).alias("pre_bytes"),
+        F.sum("bytes").alias("pre_bytes"),
         F.min(F.struct("start", "block_id"))["block_id"].alias("first_block"),
         F.bit_xor(number).alias("_x"),
         F.sum(F.pmod(number, F.lit(1 << 31))).alias("_s"),
@@ -46,17 +55,23 @@ def _summaries(members: DataFrame, group: str, reason: str, minimum: int) -> Dat
     return kept.withColumn("cluster_id", identity).withColumn("reason", F.lit(reason)).drop("_x", "_s")
 
 
+def _clustered(
+    facts: DataFrame, group: str, reason: str, minimum: int, total_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    summaries = _summaries(facts, group, reason, minimum)
+    lookup = summaries.select(group, "cluster_id", F.col("members").alias("rows"))
+    rows = facts.select("block_id", "start", group)
+    members = join_back(rows, lookup, group, "rows", F.col("block_id"), total_rows=total_rows)
+    members = members.where(F.col("cluster_id").isNotNull())
+    return summaries.drop(group), members.select("cluster_id", "block_id", "start")
+
+
 def exact_duplicates(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summaries, members) of equal normalized blocks at one place, protected blocks aside."""
-    usable = blocks.where(~F.col("protected") & (F.col("normalized") != "")).withColumn(
-        "_key", content_sha(F.concat_ws(NUL, location_key(), "normalized"))
-    )
-    summaries = _summaries(usable, "_key", "exact_duplicate", 2)
-    lookup = summaries.select("_key", "cluster_id", F.col("members").alias("rows"))
-    rows = usable.select("block_id", "start", "_key")
-    members = join_back(rows, lookup, "_key", "rows", F.col("block_id"))
-    members = members.where(F.col("cluster_id").isNotNull()).select("cluster_id", "block_id", "start")
-    return summaries.drop("_key"), members
+    usable = blocks.where(~F.col("protected") & (F.col("normalized") != ""))
+    key = content_sha(F.concat_ws(NUL, location_key(), "normalized")).alias("_key")
+    facts, rows = cut_lineage_counted(_facts(usable, key))
+    return _clustered(facts, "_key", "exact_duplicate", 2, rows)
 
 
 def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
@@ -69,24 +84,30 @@ def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
     if minimum != 2:
         raise ValueError("pairs of terms express an overlap of two")
     exploded = items.select("item", "place", F.explode(F.array_distinct("terms")).alias("term"))
-    place_term = content_sha(F.concat_ws(NUL, "place", "term"))
-    keyed = exploded.withColumn("_key", place_term)
+    place_term = F.md5(F.concat_ws(NUL, "place", "term"))
+    keyed, rows = cut_lineage_counted(exploded.select("item", place_term.alias("_key")))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     counts = counts.withColumn("shared", F.lit(True))
-    shared = join_back(keyed, counts, "_key", "rows", F.col("item")).where(F.col("shared"))
-    # One array per item: bounded by the text of the item.
-    usable = shared.groupBy("item", "place").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    pairs = F.flatten(
-        F.transform(
-            "terms",
-            lambda x, i: F.transform(
-                F.slice(F.col("terms"), i + 2, F.size("terms")), lambda y: F.concat_ws(NUL, x, y)
-            ),
-        )
+    shared = join_back(keyed, counts, "_key", "rows", F.col("item"), total_rows=rows)
+    # One array per item: bounded by the text of the item. Keys already contain the place.
+    usable = (
+        shared.where(F.col("shared"))
+        .groupBy("item")
+        .agg(F.sort_array(F.collect_list("_key")).alias("terms"))
+        .where(F.size("terms") >= 2)
+    )
+    pairs = let(
+        F.col("terms"),
+        lambda terms: F.flatten(
+            F.transform(
+                terms,
+                lambda x, i: F.transform(
+                    F.slice(terms, i + 2, F.size(terms)), lambda y: F.md5(F.concat(x, y))
+                ),
+            )
+        ),
     )
-    pair_rows = usable.where(F.size("terms") >= 2).select("item", "place", F.explode(pairs).alias("pair"))
-    keys = pair_rows.select(F.md5(F.concat_ws(NUL, "place", "pair")).alias("key"), "item")
-    return star_edges(keys, "key", "item")
+    return star_edges(usable.select("item", F.explode(pairs).alias("key")), "key", "item")
 
 
 def exception_components(
@@ -97,20 +118,15 @@ def exception_components(
         blocks.where(~F.col("protected") & F.col("raw").rlike(lexicon.exception))
         .join(claimed.select("block_id").distinct(), "block_id", "left_anti")
     )
-    items = bearing.select(
-        F.col("block_id").alias("item"),
-        location_key().alias("place"),
-        subject_terms("raw", "blocks", lexicon).alias("terms"),
+    facts, rows = cut_lineage_counted(
+        _facts(bearing, subject_terms("raw", "blocks", lexicon).alias("terms"))
     )
+    items = facts.select(F.col("block_id").alias("item"), location_key().alias("place"), "terms")
     components = connected_components(shared_term_edges(items))
-    joined = bearing.join(
+    placed = facts.drop("terms").join(
         components.select(F.col("node").alias("block_id"), "component"), "block_id"
     )
-    summaries = _summaries(joined, "component", "exception_lineage", 2)
-    members = joined.select("component", "block_id", "start")
-    lookup = summaries.select("component", "cluster_id", F.col("members").alias("rows"))
-    members = join_back(members, lookup, "component", "rows", F.col("block_id"))
-    return summaries.drop("component"), members.select("cluster_id", "block_id", "start")
+    return _clustered(placed, "component", "exception_lineage", 2, rows)
 
 
 def qualified_evidence(overlaps: DataFrame) -> DataFrame:
@@ -228,6 +244,7 @@ def merge_overlapping(
     ``summaries``: cluster_id, doc, heading_path, reason, importance. Clusters are linked through
     shared blocks in stars; the components are the merged clusters.
     """
+    summaries, members = cut_lineage(summaries), cut_lineage(members)
     placed = members.join(
         summaries.select("cluster_id", location_key().alias("_place")), "cluster_id"
     ).withColumn("_key", content_sha(F.concat_ws(NUL, "_place", "block_id")))

@@ -17,12 +17,13 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 
     A key with n nodes gives n - 1 edges instead of all pairs.
     """
+    written, rows = cut_lineage_counted(members.select(key, node))
     hubs = (
-        members.groupBy(key)
+        written.groupBy(key)
         .agg(F.min(node).alias("a"), F.count("*").alias("rows"))
         .where(F.col("rows") > 1)
     )
-    linked = join_back(members.select(key, node), hubs, key, "rows", F.col(node))
+    linked = join_back(written, hubs, key, "rows", F.col(node), total_rows=rows)
     return (
         linked.where(F.col("a").isNotNull() & (F.col("a") != F.col(node)))
         .select("a", F.col(node).alias("b"))
@@ -33,21 +34,28 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node as component, for nodes that have an edge.
 
-    Each round maps every label to the smallest label next to it and contracts the edges, so the
-    graph shrinks until no edge is left. Rounds are written to the checkpoint folder: the plan
-    stays short and a lost executor costs one round.
+    Every round each label moves to the neighbour that comes first in a hashed order, which is
+    another one in each round, and the edges are contracted. The hashed order breaks long chains
+    into short ones, so the graph shrinks by a constant factor per round whatever its shape.
+    Rounds are written to the checkpoint folder: the plan stays short and a lost executor costs
+    one round.
     """
     links, size = cut_lineage_counted(edges.where("a != b").select("a", "b").distinct())
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = labels.withColumn("component", F.col("node"))
+    labels = labels.withColumn("label", F.col("node"))
+    turn = 0
     while size > 0:
+        turn += 1
+
+        def ranked(name: str) -> Column:
+            return F.struct(F.xxhash64(F.col(name), F.lit(turn)).alias("h"), F.col(name).alias("n"))
+
         both = links.union(links.select("b", "a"))
-        step = (
-            both.groupBy(F.col("a").alias("label"))
-            .agg(F.min("b").alias("low"), F.count("*").alias("rows"))
-            .withColumn("low", F.least("label", "low"))
+        step = both.groupBy(F.col("a").alias("label")).agg(
+            F.min(ranked("b")).alias("low"), F.count("*").alias("rows")
         )
-        # One hop further: the target of the target is at most as large.
+        step = step.withColumn("low", F.least(ranked("label"), F.col("low"))["n"])
+        # One hop further: the target of the target comes no later.
         ahead = step.select(F.col("label").alias("low"), F.col("low").alias("next"))
         step = cut_lineage(
             step.join(ahead, "low", "left").select(
@@ -66,14 +74,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         links, size = cut_lineage_counted(ordered.distinct())
         # A label stands for many nodes; its weight decides whether it is a heavy key.
-        weights = labels.groupBy(F.col("component").alias("label")).agg(F.count("*").alias("rows"))
-        targets = step.drop("rows").join(weights, "label")
-        renamed = labels.withColumnRenamed("component", "label")
-        mapped = join_back(renamed, targets, "label", "rows", F.col("node"))
-        labels = cut_lineage(
-            mapped.select("node", F.coalesce("low", "label").alias("component"))
-        )
-    return labels
+        weights = labels.groupBy("label").agg(F.count("*").alias("rows"))
+        mapped = join_back(labels, step.drop("rows").join(weights, "label"), "label", "rows", F.col("node"))
+        labels = cut_lineage(mapped.select("node", F.coalesce("low", "label").alias("label")))
+    names = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("rows"))
+    return join_back(labels, names, "label", "rows", F.col("node")).select("node", "component")
 
 
 # --- references -------------------------------------------------------------------------------
