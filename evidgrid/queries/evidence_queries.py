@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidgrid.functions.exprs import strings
@@ -79,16 +79,18 @@ pos AS (SELECT *, row_number() OVER (ORDER BY rank_score DESC, ts DESC, event_id
                count(*) OVER () AS total FROM ranked)"""
 
 
-FEATURES = [
-    fingerprint_tokens("text", LX).alias("tokens"),
-    correction_score("text", LX).cast("long").alias("correction_score"),
-    directive_score("text", LX).cast("long").alias("directive_score"),
-]
+def features() -> list[Column]:
+    """What the scores need of a document, computed on the scan."""
+    return [
+        fingerprint_tokens("text", LX).alias("tokens"),
+        correction_score("text", LX).cast("long").alias("correction_score"),
+        directive_score("text", LX).cast("long").alias("directive_score"),
+    ]
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score table of the deduplicated documents; texts are read once, on the scan."""
-    narrow = dedup_latest(document_events(spark, sf_dir, FEATURES))
+    narrow = dedup_latest(document_events(spark, sf_dir, features()))
     kept = narrow.select("event_id", "doc_id", "source_kind", "authority", "ts", "session_id", *ev.FEATURES)
     return ev.score_events(kept, benchmark_blocks(spark, sf_dir), LX)
 
@@ -312,7 +314,7 @@ ORDER BY q.target_relevance DESC, q.correction_score DESC, q.n_shared DESC, ts D
 def polarity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top opposite-polarity pairs between benchmark passages and all documents."""
     blocks = benchmark_blocks(spark, sf_dir)
-    narrow = dedup_latest(document_events(spark, sf_dir, [*FEATURES, *ev.polarity_columns("text", LX)]))
+    narrow = dedup_latest(document_events(spark, sf_dir, [*features(), *ev.polarity_columns("text", LX)]))
     kept = narrow.select("event_id", "ts", "session_id", "neg", "pos", *ev.FEATURES)
     pairs = ev.opposite_polarity(blocks, ev.score_events(kept, blocks, LX, keep_tokens=True), LX)
     return pairs.select(
