@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidgrid import lexicon as lx
 from evidgrid.functions.exprs import col, extract_all, let
 from evidgrid.functions.identity import digest_prefix, content_sha
-from evidgrid.operators.skew import join_back
+from evidgrid.operators.skew import beside, join_back
 from evidgrid.session import cut_lineage, cut_lineage_counted
 
 
@@ -226,10 +226,7 @@ def graph_digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             content_sha(F.concat_ws(":", f"{name}s", "x", "s")).alias(f"{name}_digest"),
         )
 
-    # Both sides are single rows.
-    n = folded(nodes, node_sha, "node").withColumn("_one", F.lit(1))
-    e = folded(edges, edge_sha, "edge").withColumn("_one", F.lit(1))
-    return n.join(e, "_one").drop("_one")
+    return beside(folded(nodes, node_sha, "node"), folded(edges, edge_sha, "edge"))
 
 
 def graph_diff(before: DataFrame, after: DataFrame) -> DataFrame:

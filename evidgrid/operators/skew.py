@@ -22,6 +22,14 @@ MAX_HOT = 2_000
 CHUNK = "_chunk"
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row tables."""
+    united = rows[0]
+    for row in rows[1:]:
+        united = united.unionByName(row, allowMissingColumns=True)
+    return united.agg(*[F.max(name).alias(name) for name in united.columns])
+
+
 def join_back(
     facts: DataFrame,
     lookup: DataFrame,

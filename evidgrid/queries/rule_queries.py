@@ -55,11 +55,11 @@ def total_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "allow_list",
-    """SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""",
+    """SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)""",
 )
 def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers whose nation is not the nation of a supplier with a positive balance."""
-    allowed = table(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    """Customers whose nation is not the nation of a supplier with a high balance."""
+    allowed = table(spark, sf_dir, "supplier").where("s_acctbal > 8000")
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return ru.outside_allow_list(rows, "c_nationkey", allowed, "s_nationkey").select("c_custkey", "c_nationkey")
 

@@ -313,21 +313,47 @@ def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rn.integrity_audit(runs, {"text": ("text", "text_sha"), "source": ("source", "source_sha")})
 
 
+def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderdate").alias("at"),
+        F.when(F.col("o_orderstatus") == "F", "attended").otherwise("unattended").alias("mode"),
+    )
+
+
 @query(
     "ledger",
-    """SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'attended' ELSE 'unattended' END AS mode,
-  CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS BIGINT) AS attended_applies FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000""",
+    """SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'attended' ELSE 'unattended' END AS mode
+FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000""",
 )
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 1000 orders as a ledger with the attended total over all of them."""
-    entries = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("at"),
-        F.when(F.col("o_orderstatus") == "F", "attended").otherwise("unattended").alias("mode"),
+    """The last 1000 orders as a ledger."""
+    newest, _ = rn.ledger(order_entries(spark, sf_dir))
+    return newest.select("run_id", "mode")
+
+
+@query(
+    "ledger_totals",
+    """SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS attended_applies FROM orders""",
+)
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, totals = rn.ledger(order_entries(spark, sf_dir))
+    return totals
+
+
+@query(
+    "validated_responses",
+    """WITH t AS (SELECT conv_id, turn, length(text) <= 2000 AND regexp_matches(text, '[^ ]') AS ok FROM conversations),
+e AS (SELECT count(DISTINCT turn) AS n FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, CASE WHEN NOT (bool_and(ok) AND count(*) = (SELECT n FROM e)) THEN 'invalid_verification_output' END AS code FROM t GROUP BY conv_id""",
+)
+def validated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as runs that must answer every turn number exactly once."""
+    turns = table(spark, sf_dir, "conversations")
+    results = turns.select(
+        F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("case_ref"), F.array("text").alias("steps")
     )
-    newest, totals = rn.ledger(entries)
-    one = F.lit(1).alias("_one")
-    joined = newest.select("*", one).join(totals.select("attended_applies", one), "_one")  # one row
-    return joined.select("run_id", "mode", "attended_applies")
+    return su.validate_responses(results, turns.select(F.col("turn").alias("case_ref")))
 
 
 # --- ingest ---------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidgrid.functions.identity import content_sha
 from evidgrid.functions.text import line_count, scope_paths, split_frontmatter, utf8_bytes
 from evidgrid.operators.runs import corrupt_blobs, new_blobs, valid_marker
+from evidgrid.operators.skew import beside
 
 
 def scan_documents(spark: SparkSession, path: str | list[str], glob: str = "*.md") -> DataFrame:
@@ -50,11 +51,11 @@ def write_inspection_report(
     """Counts-only report: document facts and one row of totals, as JSON."""
     document_facts(documents).write.mode("overwrite").json(f"{path}/documents")
     counts = events.agg(
-        F.count("*").alias("events_total"), F.coalesce(F.sum(F.size("redactions")), F.lit(0)).alias("redactions")
-    ).withColumn("_one", F.lit(1))
-    chosen = selected.agg(F.count("*").alias("events_selected")).withColumn("_one", F.lit(1))
-    totals = stats.withColumn("_one", F.lit(1)).join(counts, "_one").join(chosen, "_one").drop("_one")
-    totals.write.mode("overwrite").json(f"{path}/totals")
+        F.count("*").alias("events_total"),
+        F.coalesce(F.sum(F.size("redactions")), F.lit(0)).alias("redactions"),
+    )
+    chosen = selected.agg(F.count("*").alias("events_selected"))
+    beside(stats, counts, chosen).write.mode("overwrite").json(f"{path}/totals")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
