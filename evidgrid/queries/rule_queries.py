@@ -413,3 +413,108 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.usage_totals(calls, ["user_id"], 70, 1300, 600).select(
         "user_id", "calls", "input_tokens", "output_tokens", "code"
     )
+
+
+# --- rule tables over proposals derived from the labels ---------------------------------------------
+
+
+def cited_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as blocks and as events."""
+    documents = texts(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    blocks = documents.select(
+        key.alias("block_id"),
+        F.col("lang").alias("doc"),
+        F.array("source").alias("heading_path"),
+        F.col("text").alias("raw"),
+        (F.col("doc_id") % 13 == 0).alias("protected"),
+    )
+    events = documents.select(
+        key.alias("event_id"),
+        "text",
+        F.lit("history").alias("source_kind"),
+        F.col("source").alias("session_id"),
+        F.concat(F.lit("documents:"), key).alias("locator"),
+        (F.col("doc_id") % 3).cast("int").alias("correction_score"),
+        (F.col("doc_id") % 2).cast("int").alias("directive_score"),
+        F.lit(3).alias("authority"),
+        F.lit(1).alias("corroboration"),
+        F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        F.sha2("text", 256).alias("content_sha256"),
+    )
+    return blocks, events
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the beginning of their document as one line."""
+    from evidgrid.functions.text import collapse_spaces
+
+    heads = texts(spark, sf_dir).select(
+        "doc_id", "lang", "source", collapse_spaces(F.left("text", F.lit(200))).alias("head")
+    )
+    return table(spark, sf_dir, "labels").join(heads, "doc_id")
+
+
+@query("nomination_checks")
+def nomination_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominations built from all labels: class by number, one source, evidence of twice the number."""
+    from evidgrid import lexicon as lx
+
+    blocks, events = cited_tables(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    kinds = strings(list(lx.CANDIDATE_CLASSES))
+    kind = F.element_at(kinds, (F.col("doc_id") % len(lx.CANDIDATE_CLASSES) + 1).cast("int"))
+    nominations = labelled(spark, sf_dir).select(
+        F.col("doc_id").alias("index"),
+        kind.alias("candidate_class"),
+        F.when(F.col("quality") == 1, "git").otherwise("other").alias("domain"),
+        F.when(kind == "missing_rule", strings([])).otherwise(F.array(key)).alias("source_ids"),
+        F.array(key, (F.col("doc_id") * 2).cast("string")).alias("evidence_ids"),
+        F.col("head").alias("behavioral_intent"),
+        F.lit("from a label").alias("reason"),
+        F.col("lang").alias("applies_when"),
+        F.col("source").alias("does_not_apply_when"),
+    )
+    checked = ru.validate_nominations(nominations, blocks, events)
+    return checked.select("index", "candidate_class", "code", "admission", "admission_reason", "nomination_id")
+
+
+@query("change_checks")
+def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes built from all labels: removals and replacements with evidence of twice the number."""
+    blocks, events = cited_tables(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    action = F.when(F.col("doc_id") % 2 == 0, "remove").otherwise("replace")
+    rows = labelled(spark, sf_dir)
+    changes = rows.select(
+        F.col("doc_id").alias("index"),
+        action.alias("action"),
+        F.array(key).alias("source_ids"),
+        F.when(action == "replace", F.col("head")).otherwise("").alias("replacement"),
+        F.lit(None).cast("string").alias("screened"),
+        F.col("lang").alias("destination"),
+        F.array("source").alias("heading_path"),
+        F.array((F.col("doc_id") * 2).cast("string")).alias("evidence_ids"),
+        F.when(F.col("toxic") == 1, " ").otherwise("from a label").alias("reason"),
+        F.lit("attended").alias("minimum_apply_mode"),
+        F.lit("").alias("enforcement_target"),
+        F.lit("").alias("deterministic_check"),
+        F.lit("").alias("relocation_basis"),
+    )
+    keep = blocks.select("block_id").join(rows.select(key.alias("block_id")), "block_id", "left_anti")
+    targets = table(spark, sf_dir, "documents").select(F.col("lang").alias("doc"), F.lit(False).alias("scoped")).distinct()
+    checked = ru.validate_changes(changes, keep, blocks, events, targets)
+    return checked.select("index", "action", "code", "lineage_depth", "source_only_consolidation")
+
+
+@query("structural_collisions")
+def structural_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the documents of a source contain texts that exclude each other on two subjects."""
+    documents = texts(spark, sf_dir)
+    conflicts = documents.select(F.col("source").alias("conflict_id")).distinct().select(
+        "conflict_id", F.lit("with the tion").alias("subject_a"), F.lit("mit der von").alias("subject_b")
+    )
+    grounding = documents.select(
+        F.col("source").alias("conflict_id"), F.col("doc_id").alias("text_id"), "text"
+    )
+    return ru.structural_collisions(conflicts, grounding)
