@@ -19,6 +19,7 @@ class Detector(NamedTuple):
     pattern: str
     prefix_group: int  # 0: the whole match is the secret
     value_group: int
+    needs: tuple[str, ...] = ()  # one of these literals is part of every match
 
 
 # The shapes that count as secrets, in the order in which they are applied.
@@ -29,6 +30,7 @@ DETECTORS = (
         r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
         0,
         0,
+        ("PRIVATE KEY-----",),
     ),
     Detector(
         "credential_header",
@@ -36,6 +38,7 @@ DETECTORS = (
         r"(?im)^(\s*(?:authorization|proxy-authorization|cookie|set-cookie)\s*:\s*)([^\r\n]+)$",
         1,
         2,
+        (":",),
     ),
     Detector(
         "credential_assignment",
@@ -45,8 +48,9 @@ DETECTORS = (
         r"((?!\[REDACTED)[A-Za-z0-9._~+/=-]{8,})",
         1,
         2,
+        (":", "="),
     ),
-    Detector("url_userinfo", "high", r"(?i)(https?://)([^\s/@:]+:[^\s/@]+)@", 1, 2),
+    Detector("url_userinfo", "high", r"(?i)(https?://)([^\s/@:]+:[^\s/@]+)@", 1, 2, ("://",)),
     Detector(
         "api_key",
         "high",
@@ -54,6 +58,7 @@ DETECTORS = (
         r"xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})(?U:\b)",
         0,
         0,
+        ("sk-", "gh", "xox", "AKIA"),
     ),
     Detector(
         "jwt",
@@ -61,6 +66,7 @@ DETECTORS = (
         r"(?U:\b)eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?U:\b)",
         0,
         0,
+        ("eyJ",),
     ),
     Detector(
         "uuid",
@@ -69,6 +75,7 @@ DETECTORS = (
         r"[0-9a-fA-F]{12}(?U:\b)",
         0,
         0,
+        ("-",),
     ),
     Detector(
         "high_entropy",
@@ -91,6 +98,14 @@ def placeholder(kind: str, value: Column) -> Column:
     )
 
 
+def _may_match(text: Column, detector: Detector) -> Column:
+    """Cheap necessary condition: a byte search instead of a regular expression."""
+    possible = F.lit(not detector.needs)
+    for literal in detector.needs:
+        possible = possible | F.contains(text, F.lit(literal))
+    return possible
+
+
 def _apply(state: Column, detector: Detector) -> Column:
     """Replace the matches of one detector; texts without a match are passed through."""
     text = state["text"]
@@ -132,7 +147,8 @@ def _apply(state: Column, detector: Detector) -> Column:
             F.concat(state["findings"], findings).alias("findings"),
         )
 
-    return F.when(text.rlike(detector.pattern), let(F.struct(*parts), rewritten)).otherwise(state)
+    hit = _may_match(text, detector) & text.rlike(detector.pattern)
+    return F.when(hit, let(F.struct(*parts), rewritten)).otherwise(state)
 
 
 def redact(text: Column | str, max_chars: int | None = lx.MAX_EXCERPT_CHARS) -> Column:
@@ -160,8 +176,9 @@ def residual_secrets(text: Column | str) -> Column:
     marked = F.regexp_replace(col(text), PLACEHOLDER_PATTERN, PLACEHOLDER_MARK)
 
     def matches(value: Column, detector: Detector) -> Column:
+        found = F.when(_may_match(value, detector), extract_all(value, detector.pattern))
         kept = F.filter(
-            extract_all(value, detector.pattern),
+            F.coalesce(found, F.array().cast("array<string>")),
             lambda match: ~F.contains(match, F.lit(PLACEHOLDER_MARK)),
         )
         return F.transform(
