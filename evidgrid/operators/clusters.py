@@ -107,7 +107,8 @@ def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
             )
         ),
     )
-    return star_edges(usable.select("item", F.explode(pairs).alias("key")), "key", "item")
+    keys = usable.select("item", F.explode_outer(pairs).alias("key")).where(F.col("key").isNotNull())
+    return star_edges(keys, "key", "item")
 
 
 def exception_components(

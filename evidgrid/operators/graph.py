@@ -101,7 +101,8 @@ def extract_references(documents: DataFrame) -> DataFrame:
     cleaned = F.filter(
         F.transform(found, lambda r: F.regexp_replace(r, r"[.,;:!?)\]}]+$", "")), lambda r: r != ""
     )
-    return documents.select("doc", F.posexplode(cleaned).alias("pos", "ref"))
+    found = documents.select("doc", F.posexplode_outer(cleaned).alias("pos", "ref"))
+    return found.where(F.col("pos").isNotNull())
 
 
 def fold_path(path: Column) -> Column:

@@ -164,8 +164,10 @@ def collect_events(
 
 def redaction_totals(events: DataFrame, findings: str = "redactions") -> DataFrame:
     """Number of findings by kind and confidence."""
+    # The outer form keeps the optimizer from computing the array a second time for a size filter.
     return (
-        events.select(F.explode(findings).alias("f"))
+        events.select(F.explode_outer(findings).alias("f"))
+        .where(F.col("f").isNotNull())
         .groupBy(F.col("f.kind").alias("kind"), F.col("f.confidence").alias("confidence"))
         .agg(F.count("*").alias("findings"))
     )

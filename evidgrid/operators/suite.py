@@ -264,7 +264,10 @@ def contained_phrases(
         def keys_of(found: Column) -> Column:
             return F.array_distinct(F.flatten(F.array(*[runs_of(found, n) for n in sizes])))
 
-        shingled = normal.select("text_id", F.explode(let(tokens, keys_of)).alias("_key"))
+        # Outer form: no second evaluation of the array for an inferred size filter.
+        shingled = normal.select(
+            "text_id", F.explode_outer(let(tokens, keys_of)).alias("_key")
+        ).where(F.col("_key").isNotNull())
         candidates = (
             shingled.join(long_enough.select("_key", "phrase_id", "_p"), "_key")
             .select("text_id", "phrase_id", "_p")

@@ -68,8 +68,8 @@ SELECT doc_id, token, entropy, entropy >= {ENTROPY_BITS} AND length(token) >= 40
 def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long unbroken tokens with their entropy; hex digits alone stay below the threshold."""
     tokens = texts(spark, sf_dir).select(
-        "doc_id", F.explode(extract_all(F.col("text"), r"[A-Za-z0-9_+/=-]{24,}")).alias("token")
-    )
+        "doc_id", F.explode_outer(extract_all(F.col("text"), r"[A-Za-z0-9_+/=-]{24,}")).alias("token")
+    ).where(F.col("token").isNotNull())
     counted = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     entropy = F.round(tx.shannon_entropy("token"), 6)
     flagged = (F.col("entropy") >= ENTROPY_BITS) & (F.length("token") >= 40)
