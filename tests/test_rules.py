@@ -275,15 +275,15 @@ def test_contained_phrases_brute_force(spark):
 
 def test_reference_graph(spark):
     docs = [
-        ("/p/CLAUDE.md", "See @a.md, `@code.md` and @~/h.md.\n```\n@fenced.md\n```\nmail@x.y"),
+        ("/p/ROOT.md", "See @a.md, `@code.md` and @~/h.md.\n```\n@fenced.md\n```\nmail@x.y"),
         ("/p/a.md", "@./b.md @../p/c.md"), ("/p/b.md", "@d.md"), ("/p/c.md", ""), ("/p/d.md", "@e.md"), ("/p/e.md", "@f.md"), ("/p/f.md", ""),
         ("/home/user/h.md", "@h2.md"), ("/home/user/h2.md", "@h.md"),
     ]
     df = spark.createDataFrame(docs, "doc string, content string")
     edges = gr.reference_edges(df)
-    assert ("/p/CLAUDE.md", "/home/user/h.md") in {(r.src, r.dst) for r in edges.collect()}
+    assert ("/p/ROOT.md", "/home/user/h.md") in {(r.src, r.dst) for r in edges.collect()}
     assert edges.count() == 9 - 0 and not edges.where("dst like '%code%' or dst like '%fenced%'").count()
-    roots = spark.createDataFrame([("/p/CLAUDE.md",)], "node string")
+    roots = spark.createDataFrame([("/p/ROOT.md",)], "node string")
     codes = {(r.code, r.src, r.dst) for r in gr.closure_violations(roots, edges, df).collect()}
     assert codes == {
         ("depth_exceeded", "/p/e.md", "/p/f.md"),
