@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,20 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that they need no installation of it; once a session."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    name = f"{package.name}-{context.applicationId}.zip"
+    if any(listed.endswith(name) for listed in context.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / name
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(package.rglob("*.py")):
+            packed.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 class Scratch:
     """Intermediate Parquet tables of one run, in the folder that all executors share.
 
@@ -39,6 +56,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidgrid.llm.common import Scratch, table
+from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,45 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {SQL_UPPER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query(
+    "op5_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+    bw AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
+    sizes AS (SELECT DISTINCT n FROM win),
+    dg AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                 FROM d, sizes WHERE len(w) >= n)),
+    hit AS (SELECT DISTINCT doc_id, n, i, item_id FROM dg JOIN win USING (n, g)),
+    marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+               FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit)
+               GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+    FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words that occur in windows of benchmark items."""
+    found = contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark)
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
