@@ -12,6 +12,7 @@ from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
+from evidgrid.llm.substring_dedup import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +107,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op10_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+               FROM documents),
+    g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    f AS (SELECT h, min(doc_id) AS earliest FROM g GROUP BY h),
+    r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+          FROM g JOIN f USING (h) WHERE earliest < doc_id),
+    c AS (SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+             list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id)
+    """,
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the word windows that an earlier document already has."""
+    spans = repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark))
+    return spans.drop("removed")
