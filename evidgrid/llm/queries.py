@@ -12,6 +12,7 @@ from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
+from evidgrid.llm.jaccard_join import similar_documents
 from evidgrid.llm.substring_dedup import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +131,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the word windows that an earlier document already has."""
     spans = repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark))
     return spans.drop("removed")
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of documents that similarity links reach."""
+    return similar_documents(table(spark, sf_dir, "documents"), Scratch(spark))
