@@ -3,12 +3,13 @@
 The shingles of a document are put into one order for the whole corpus, rare ones first. Two sets
 that are similar enough share a shingle in their prefixes. Documents with the same prefix and size
 form one group; groups that share a prefix shingle are compared by size and by the place of that
-shingle, which bounds what they can have in common; group pairs that are left are expand to the
+shingle, which bounds what they can have in common; group pairs that are left are expanded to the
 different sets of their members and verified.
 
 Order. Counting every shingle exactly would shuffle all of them, so the order comes from a sketch:
-2 ** ``SKETCH_BITS`` counters, one per hash value, added up over the corpus and rounded to a byte.
-Any order gives the same links; a finer sketch gives shorter lists. Its size is fixed.
+counters, one per hash value, added up over the corpus and rounded to a byte. There is one counter
+for every ``CELL_BYTES`` of text up to 2 ** ``MOST_BITS``, which bounds what is broadcast. Any order
+gives the same links; a finer sketch gives shorter lists.
 
 Large groups of near copies. The wanted result is the component of every document, so the pairs of
 a list are not all needed. First every list links its members to the one with the fewest rare
@@ -35,7 +36,8 @@ from evidgrid.llm.rolling import Hasher, inside, mixed, signed
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SKETCH_BITS = 24
+#: Bytes of text for one counter of the sketch, and its size at least and at most.
+CELL_BYTES, LEAST_BITS, MOST_BITS = 64, 14, 26
 #: The sketch travels in so many pieces.
 PIECES = 64
 BITMAP = 1_024
@@ -300,7 +302,6 @@ def similar_documents(
     scratch: Scratch,
     size: int = SHINGLE,
     percent: int = PERCENT,
-    bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -317,6 +318,8 @@ def similar_documents(
         F.xxhash64("text").alias("mark"),
         "text",
     )
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (total // CELL_BYTES).bit_length()))
     rows = scratch.save(profile(texts, size, bits), "profile")
     sketch = sketch_of(rows, bits)
     # Equal sets are one node, named by its smallest (id, hash of the text).
