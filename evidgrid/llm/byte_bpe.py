@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid.llm.common import ship_package, text_slices
+from evidgrid.llm.rolling import spread
 
 #: Buckets end at these lengths in bytes, then at doubled ones.
 BUCKETS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32)
@@ -213,12 +214,6 @@ class Vocabulary:
         return self.token_bytes[spread(self.token_start[ids], self.token_length[ids])]
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of the runs ``starts .. starts + lengths``, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """Encodes texts and remembers the pieces it has met, up to ``REMEMBERED``."""
 

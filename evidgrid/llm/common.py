@@ -109,3 +109,53 @@ def text_slices(
 
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, scratch: Scratch
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` documents of each label 0 and 1, written.
+
+    The documents come first in the order of a hash of their id, so a sample does not depend on how
+    the tables are laid out. Null labels and ids are left out; of several labels the largest holds;
+    of rows that repeat an id one is taken.
+    """
+    known = (
+        labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg((F.max(label) > 0).cast("int").alias("label"))
+    )
+    chosen = None
+    for value in (0, 1):
+        part = (
+            known.where(F.col("label") == value)
+            .orderBy(F.xxhash64("doc_id"), "doc_id")
+            .limit(per_class)
+        )
+        chosen = part if chosen is None else chosen.union(part)
+    picked = scratch.save(chosen, f"{label}-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(picked), "doc_id"
+    )
+    return scratch.save(rows.dropDuplicates(["doc_id"]), f"{label}-sample")
+
+
+class Adam:
+    """Adam steps over a list of parameter arrays, changed in place."""
+
+    def __init__(self, parameters: list[np.ndarray], rate: float):
+        self.parameters, self.rate, self.turn = parameters, rate, 0
+        self.first = [np.zeros_like(p) for p in parameters]
+        self.second = [np.zeros_like(p) for p in parameters]
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.turn += 1
+        for p, g, m, v in zip(self.parameters, gradients, self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            scale = np.sqrt(v / (1 - 0.999**self.turn)) + 1e-8
+            p -= self.rate * (m / (1 - 0.9**self.turn)) / scale
+
+
+def sigmoid(values: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * values))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidgrid.llm import quality, toxicity
 from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
@@ -137,3 +138,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of documents that similarity links reach."""
     return similar_documents(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity and whether it counts as toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.severity(docs, toxicity.train(docs, labels, Scratch(spark)))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_documents(docs, quality.train(docs, labels, Scratch(spark)))
