@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidgrid.llm import quality, toxicity
+from evidgrid.llm import pii, quality, toxicity
 from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
@@ -152,3 +152,26 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score_documents(docs, quality.train(docs, labels, Scratch(spark)))
+
+
+def joined_spans(name: str) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    parts = F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(parts, ",")
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.train(docs, Scratch(spark)))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
