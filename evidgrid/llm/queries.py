@@ -13,6 +13,7 @@ from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
+from evidgrid.llm.html_extract import main_texts
 from evidgrid.llm.jaccard_join import similar_documents
 from evidgrid.llm.substring_dedup import repeated_spans
 
@@ -175,3 +176,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined_spans("base"), 256).alias("base_sha256"),
         joined_spans("spans").alias("spans"),
     )
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    return main_texts(table(spark, sf_dir, "pages"), Scratch(spark))
