@@ -19,7 +19,7 @@ from evidgrid.session import checkpoint_dir
 #: Rows of a key-only table that may be broadcast; a larger table takes a shuffle join.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a task turns into Python objects at once; a longer single text stands alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that ends a word: blank and the controls 9 to 13; all other bytes belong to words.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -15,6 +15,7 @@ from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
 from evidgrid.llm.html_extract import main_texts
 from evidgrid.llm.jaccard_join import similar_documents
+from evidgrid.llm.license_scan import COPYRIGHT_LINE, OTHER, SPELLINGS, known_digests, scan
 from evidgrid.llm.substring_dedup import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +183,40 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its main text."""
     return main_texts(table(spark, sf_dir, "pages"), Scratch(spark))
+
+
+def sql_canonical(text: str) -> str:
+    """Canonical form of a license text in SQL."""
+    out = f"translate(regexp_replace({text}, '{COPYRIGHT_LINE}', '', 'g'), {SQL_UPPER})"
+    out = f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+KNOWN_SQL = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digests())
+
+
+@query(
+    "op2_license_scan",
+    f"""
+    WITH known(digest, license) AS (VALUES {KNOWN_SQL}),
+    units AS (
+      SELECT DISTINCT doc_id, length(unit) = length(text) AS whole,
+             sha256({sql_canonical('unit')}) AS digest
+      FROM (SELECT doc_id, text, unnest(list_concat([text],
+                   regexp_split_to_array(text, '\n[ \t\r]*\n'),
+                   regexp_split_to_array(text, '\n'))) AS unit FROM documents)),
+    found AS (
+      SELECT doc_id, max(license) FILTER (whole) AS whole_license,
+             count(DISTINCT digest) AS n_units,
+             string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+      FROM units JOIN known USING (digest) GROUP BY doc_id)
+    SELECT doc_id, whole_license, coalesce(n_units, 0) AS n_units,
+           coalesce(licenses, '') AS licenses
+    FROM documents LEFT JOIN found USING (doc_id)
+    """,
+)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the known licenses that it is or quotes as a paragraph or line."""
+    return scan(table(spark, sf_dir, "documents"))
