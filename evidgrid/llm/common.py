@@ -73,13 +73,25 @@ class Scratch:
 
 
 def join_keys(
-    rows: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_ROWS
+    rows: DataFrame, keys: DataFrame, on: str | list[str] | Column, how: str, most: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join a written, narrow ``keys`` table: broadcast up to ``most`` rows, else by shuffle."""
     small = keys.count() <= most
     return rows.join(F.broadcast(keys) if small else keys, on, how)
 
 
+def drop_rows(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows named by the written table ``keys``: id, mark (hash of the text).
+
+    A null id is equal to a null id. The columns of ``docs`` stay as they are.
+    """
+    named = keys.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    same = field("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
+        F.xxhash64("text") == F.col("__mark")
+    )
+    return join_keys(docs, named, same, "left_anti", most)
+
+
 def byte_table(keep: Iterable[int]) -> bytes:
     """Translation that lower-cases A-Z and blanks every byte outside ``keep``."""
     kept = set(keep)

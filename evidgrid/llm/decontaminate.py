@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, byte_table, text_slices
+from evidgrid.llm.common import Scratch, byte_table, drop_rows, text_slices
 
 WINDOW = 13
 #: Item words that are broadcast together; more items make more blocks.
@@ -29,11 +29,11 @@ BLOCK_WORDS = 200_000
 #: Letters, digits and every byte of a character beyond ASCII.
 WORD_BYTES = byte_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 INDEX_SCHEMA = (
-    "segment string, doc_ids array<bigint>, n_words array<int>, terms array<binary>, "
-    "counts array<int>, positions array<int>"
+    "segment string, doc_ids array<bigint>, marks array<bigint>, n_words array<int>, "
+    "terms array<binary>, counts array<int>, positions array<int>"
 )
 MATCH_SCHEMA = (
-    "segment string, place int, doc_id bigint, n_words bigint, "
+    "segment string, place int, doc_id bigint, mark bigint, n_words bigint, "
     "runs array<struct<start:int,end:int>>, items array<string>"
 )
 
@@ -53,6 +53,7 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
         [
             ("segment", pa.string()),
             ("doc_ids", pa.list_(pa.int64())),
+            ("marks", pa.list_(pa.int64())),
             ("n_words", pa.list_(pa.int32())),
             ("terms", pa.list_(pa.binary())),
             ("counts", pa.list_(pa.int32())),
@@ -76,7 +77,8 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             row = [
                 [f"{task}-{number}"],
-                [batch.column(batch.schema.get_field_index("doc_id")).to_pylist()],
+                [batch.column(0).to_pylist()],
+                [batch.column(1).to_pylist()],
                 [lengths],
                 [list(codes)],
                 [np.bincount(ids, minlength=len(codes)).astype(np.int32)],
@@ -86,7 +88,9 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 [pa.array(v, f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
+    )
     return scratch.save(narrow.mapInArrow(build, INDEX_SCHEMA), "index")
 
 
@@ -171,7 +175,6 @@ def search_block(windows: Windows, slop: int) -> Callable:
                     return one.column(one.schema.get_field_index(name)).flatten()
 
                 lengths = values("n_words").to_numpy()
-                doc_ids = values("doc_ids")
                 docs = len(lengths)
                 first = np.concatenate(([0], np.cumsum(lengths.astype(np.int64) + 1)))
                 cover = np.zeros(int(first[-1]) + 1, np.int64)
@@ -205,7 +208,8 @@ def search_block(windows: Windows, slop: int) -> Callable:
                     {
                         "segment": [one.column(0)[0].as_py()] * docs,
                         "place": pa.array(range(docs), pa.int32()),
-                        "doc_id": doc_ids,
+                        "doc_id": values("doc_ids"),
+                        "mark": values("marks"),
                         "n_words": pa.array(lengths.astype(np.int64)),
                         "runs": pa.array(
                             [runs.get(d, []) for d in range(docs)],
@@ -264,6 +268,7 @@ def search(
     # One row per document and block; the runs of different blocks may overlap.
     merged = matched.groupBy("segment", "place").agg(
         F.max("doc_id").alias("doc_id"),
+        F.max("mark").alias("mark"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -272,7 +277,8 @@ def search(
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items, contaminated.
+    """One row per document: doc_id, mark (hash of the text), n_words, n_hit, n_items, items,
+    contaminated.
 
     Contaminated: at least one word is hit and at least every twentieth.
     """
@@ -292,9 +298,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     counted = found.withColumn("n_hit", covered)
     return counted.select(
         "doc_id",
+        "mark",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark, scratch).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("id"), "mark").distinct()
+    return drop_rows(docs, scratch.save(gone, "gone"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, join_keys, text_slices
+from evidgrid.llm.common import Scratch, drop_rows, join_keys, text_slices
 from evidgrid.llm.components import components
 from evidgrid.llm.rolling import Hasher, inside, mixed, signed
 
@@ -303,14 +303,15 @@ def similar_documents(
     size: int = SHINGLE,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, mark, kept.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets;
     component_id is the smallest doc_id that links reach, the own one included. A text with fewer
     words than a shingle has its whole sequence as its one shingle; without words it has none and
     links with nothing. A row without an id takes part and never names a component, unless it has
     only such rows, which gives null. Rows that repeat an id are judged by their own texts and have
-    the smallest id of what they reach. An empty table gives an empty table; other columns are not
+    the smallest id of what they reach. ``mark`` is a hash of the text; ``kept`` is true for one
+    document of each component, the one with its smallest id. An empty table gives an empty table; other columns are not
     looked at.
     """
     texts = docs.select(
@@ -416,11 +417,26 @@ def similar_documents(
         "component", F.coalesce("component", "node")
     )
     real = F.when(F.col("id") != NO_ID, F.col("id"))
-    ids = reached.where("n > 0").groupBy("component").agg(F.min(real).alias("lowest"))
-    ids = ids.withColumnRenamed("component", "c")
-    joined = reached.join(ids, (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")
+    first = F.min(F.struct(F.col("id") == NO_ID, "id", "mark"))
+    heads = (
+        reached.where("n > 0")
+        .groupBy("component")
+        .agg(F.min(real).alias("lowest"), first.alias("head"))
+        .withColumnRenamed("component", "c")
+    )
+    joined = reached.join(heads, (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")
+    head = (F.col("head.id") == F.col("id")) & (F.col("head.mark") == F.col("mark"))
     return joined.select(
         real.alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("lowest")).otherwise(real).alias("component_id"),
+        "mark",
+        F.coalesce(head, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that ``similar_documents`` keeps, with all their columns."""
+    found = similar_documents(docs, scratch)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("id"), "mark").distinct()
+    return drop_rows(docs, scratch.save(gone, "gone"))

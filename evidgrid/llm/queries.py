@@ -139,7 +139,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of documents that similarity links reach."""
-    return similar_documents(table(spark, sf_dir, "documents"), Scratch(spark))
+    found = similar_documents(table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_toxicity")
