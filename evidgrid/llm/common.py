@@ -85,9 +85,13 @@ def drop_rows(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_ROWS) -> D
 
     A null id is equal to a null id. The columns of ``docs`` stay as they are.
     """
-    named = keys.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    same = field("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-        F.xxhash64("text") == F.col("__mark")
+    taken = {name.lower() for name in docs.columns}
+    own_id, own_mark = "key_id", "key_mark"
+    while own_id in taken or own_mark in taken:
+        own_id, own_mark = f"_{own_id}", f"_{own_mark}"
+    named = keys.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark))
+    same = field("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (
+        F.xxhash64("text") == F.col(own_mark)
     )
     return join_keys(docs, named, same, "left_anti", most)
 

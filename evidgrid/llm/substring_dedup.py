@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid.llm.common import Scratch, join_keys, text_slices
-from evidgrid.llm.rolling import Hasher, inside, signed
+from evidgrid.llm.rolling import BASE_WINDOW, Hasher, inside, signed
 
 WINDOW = 50
 KEY = ["doc_id", "mark"]
