@@ -211,16 +211,28 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> Dat
         "windows",
     )
     scratch.release("candidates")
-    earliest = windows.groupBy("a", "h").agg(F.min("doc_id").alias("earliest"))
-    gone = scratch.save(
+    # Counted with map-side sums and written: the join back can then split a window that very many
+    # documents share, which it could not in one stage with the sums.
+    earliest = scratch.save(
+        windows.groupBy("a", "h")
+        .agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+        .where("earliest < latest")
+        .drop("latest"),
+        "earliest",
+    )
+    removed = scratch.save(
         windows.where("later")
         .join(earliest, ["a", "h"])
         .where("earliest < doc_id")
-        .groupBy(*KEY)
+        .select(*KEY, "start"),
+        "removed",
+    )
+    gone = scratch.save(
+        removed.groupBy(*KEY)
         .agg(F.collect_set("start").alias("starts")),
         "gone",
     )
-    scratch.release("windows")
+    scratch.release("windows", "earliest", "removed")
     touched = join_keys(texts, gone.select("doc_id").distinct(), "doc_id", "left_semi")
     changed = scratch.save(
         cut(touched.join(gone, KEY).select(*KEY, "text", "starts"), size), "changed"
