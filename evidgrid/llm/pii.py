@@ -391,14 +391,19 @@ def train(docs: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Tagger |
     The sample takes the documents that come first by a hash of their id. A text longer than 20,000
     characters is left out of it, which bounds what is sent to the driver.
     """
-    sample = scratch.save(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    usable = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
+    ).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    # Ids are sorted without their texts; the few texts are fetched afterwards.
+    picked = scratch.save(
+        usable.select("doc_id", "mark")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
         .limit(rows),
-        "pii-sample",
+        "pii-ids",
     )
-    texts = [row.text for row in sample.orderBy("doc_id", F.xxhash64("text")).collect()]
+    sample = usable.join(F.broadcast(picked), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = [row.text for row in sample.orderBy("doc_id", "mark").collect()]
     if not any(base_spans(text) for text in texts):
         return None
     draw = np.random.default_rng(5)
