@@ -6,7 +6,7 @@ from helpers import corpus, edited, sentence
 from test_models import rude
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, mark string"
-ITEM = sentence(77, 40)
+ITEM = sentence(7_777, 40)
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +14,9 @@ def folder(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("tables"))
     texts = [(i, t) for i, t in corpus() if i is not None and i < 40 or i == 50]
     texts += [(1_000 + i, rude(i, 0 if i % 4 else 6)) for i in range(300)]
-    texts += [(2_000, sentence(90, 80)), (2_001, sentence(90, 80).upper())]
-    texts += [(2_002, edited(sentence(90, 80), [40])), (2_003, sentence(91, 60_000))]
-    texts += [(3_000, f"{ITEM} {sentence(92, 300)}"), (3_001, f"{ITEM} {sentence(93, 900)}")]
+    texts += [(2_000, sentence(9_90, 80)), (2_001, sentence(9_90, 80).upper())]
+    texts += [(2_002, edited(sentence(9_90, 80), [40])), (2_003, sentence(9_91, 60_000))]
+    texts += [(3_000, f"{ITEM} {sentence(9_92, 300)}"), (3_001, f"{ITEM} {sentence(9_93, 900)}")]
     rows = [(i, t, "en", "s", len(t or ""), "?") for i, t in texts]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/documents.parquet")
     labels = [(1_000 + i, 1, int(i % 4 == 0)) for i in range(200)]
