@@ -33,7 +33,7 @@ LONG_PIECE = 2_048
 #: Cells of one matrix.
 MATRIX_CELLS = 2_000_000
 #: Distinct pieces that a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 MOST_VOCABULARY = 1_000_000
 NONE = np.iinfo(np.int64).max
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

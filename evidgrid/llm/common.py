@@ -18,6 +18,8 @@ from evidgrid.session import checkpoint_dir
 
 #: Rows of a key-only table that may be broadcast; a larger table takes a shuffle join.
 BROADCAST_ROWS = 1_000_000
+#: Bytes and rows of an Arrow batch: JVM and Python worker hold whole batches of texts.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 #: Bytes of text that a task turns into Python objects at once; a longer single text stands alone.
 SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +37,12 @@ def field(name: str) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, so that they need no installation of it; once a session."""
+    """Give the executors this package, so that they need no installation of it; once a session.
+
+    Arrow batches of the session are bounded too: by default they are bounded by rows alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     package = Path(__file__).resolve().parents[1]
     name = f"{package.name}-{context.applicationId}.zip"

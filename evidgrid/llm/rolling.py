@@ -9,7 +9,7 @@ import xxhash
 BASE_WINDOW, BASE_RUN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Distinct words whose hashes a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
