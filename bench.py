@@ -36,6 +36,10 @@ HEADLINE = (
     "bounded_closure",
     "lineage_chain",
     "best_support",
+    "linked_components",
+    "nomination_checks",
+    "change_checks",
+    "structural_collisions",
 )
 
 
@@ -52,9 +56,12 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cores,
         spark__driver__memory="12g",
+        # The tables are single small files: one split each.
+        evidgrid__read__partitions=cores,
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{folder}/documents.parquet").count()  # start the executors
+    # Start the executors and compile the common code before the clock runs.
+    QUERIES["evidence_scores"](spark, folder).write.format("noop").mode("overwrite").save()
     timings = {}
     for name in HEADLINE:
         start = time.time()

@@ -16,7 +16,7 @@ from evidgrid.functions.text import subject_terms, utf8_bytes
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 from evidgrid.operators.graph import connected_components, star_edges
 from evidgrid.operators.skew import join_back
-from evidgrid.session import cut_lineage, cut_lineage_counted
+from evidgrid.session import cut_lineage
 
 NUL = "\x00"
 
@@ -56,12 +56,12 @@ def _summaries(facts: DataFrame, group: str, reason: str, minimum: int) -> DataF
 
 
 def _clustered(
-    facts: DataFrame, group: str, reason: str, minimum: int, total_rows: int
+    facts: DataFrame, group: str, reason: str, minimum: int
 ) -> tuple[DataFrame, DataFrame]:
     summaries = _summaries(facts, group, reason, minimum)
     lookup = summaries.select(group, "cluster_id", F.col("members").alias("rows"))
     rows = facts.select("block_id", "start", group)
-    members = join_back(rows, lookup, group, "rows", F.col("block_id"), total_rows=total_rows)
+    members = join_back(rows, lookup, group, "rows", F.col("block_id"))
     members = members.where(F.col("cluster_id").isNotNull())
     return summaries.drop(group), members.select("cluster_id", "block_id", "start")
 
@@ -70,8 +70,8 @@ def exact_duplicates(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summaries, members) of equal normalized blocks at one place, protected blocks aside."""
     usable = blocks.where(~F.col("protected") & (F.col("normalized") != ""))
     key = content_sha(F.concat_ws(NUL, location_key(), "normalized")).alias("_key")
-    facts, rows = cut_lineage_counted(_facts(usable, key))
-    return _clustered(facts, "_key", "exact_duplicate", 2, rows)
+    facts = cut_lineage(_facts(usable, key))
+    return _clustered(facts, "_key", "exact_duplicate", 2)
 
 
 def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
@@ -85,10 +85,10 @@ def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
         raise ValueError("pairs of terms express an overlap of two")
     exploded = items.select("item", "place", F.explode(F.array_distinct("terms")).alias("term"))
     place_term = F.md5(F.concat_ws(NUL, "place", "term"))
-    keyed, rows = cut_lineage_counted(exploded.select("item", place_term.alias("_key")))
+    keyed = cut_lineage(exploded.select("item", place_term.alias("_key")))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     counts = counts.withColumn("shared", F.lit(True))
-    shared = join_back(keyed, counts, "_key", "rows", F.col("item"), total_rows=rows)
+    shared = join_back(keyed, counts, "_key", "rows", F.col("item"))
     # One array per item: bounded by the text of the item. Keys already contain the place.
     usable = (
         shared.where(F.col("shared"))
@@ -119,7 +119,7 @@ def exception_components(
         blocks.where(~F.col("protected") & F.col("raw").rlike(lexicon.exception))
         .join(claimed.select("block_id").distinct(), "block_id", "left_anti")
     )
-    facts, rows = cut_lineage_counted(
+    facts = cut_lineage(
         _facts(bearing, subject_terms("raw", "blocks", lexicon).alias("terms"))
     )
     items = facts.select(F.col("block_id").alias("item"), location_key().alias("place"), "terms")
@@ -127,7 +127,7 @@ def exception_components(
     placed = facts.drop("terms").join(
         components.select(F.col("node").alias("block_id"), "component"), "block_id"
     )
-    return _clustered(placed, "component", "exception_lineage", 2, rows)
+    return _clustered(placed, "component", "exception_lineage", 2)
 
 
 def qualified_evidence(overlaps: DataFrame) -> DataFrame:

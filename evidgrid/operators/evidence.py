@@ -18,7 +18,7 @@ from evidgrid.functions.text import (
 )
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 from evidgrid.operators.skew import join_back
-from evidgrid.session import cut_lineage, cut_lineage_counted
+from evidgrid.session import cut_lineage
 
 
 def with_terms(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -57,7 +57,7 @@ def corroboration_keys(
 
 
 def corroborate(
-    keyed: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, total_rows: int | None = None
+    keyed: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON
 ) -> DataFrame:
     """Add ``corroboration``: how many independent sessions support an event.
 
@@ -66,9 +66,7 @@ def corroborate(
     least 1.
     """
     by_fingerprint = _witnesses(keyed, "fingerprint_key").withColumnRenamed("witnesses", "_by_fp")
-    found = join_back(
-        keyed, by_fingerprint, "fingerprint_key", "rows", F.col("event_id"), total_rows=total_rows
-    )
+    found = join_back(keyed, by_fingerprint, "fingerprint_key", "rows", F.col("event_id"))
 
     # Events with the same anchor set have the same keys: expand sets, not events.
     def expanded(df: DataFrame) -> DataFrame:
@@ -87,9 +85,7 @@ def corroborate(
         .groupBy("anchor_set")
         .agg(F.max("witnesses").alias("_by_anchors"), F.max("rows").alias("rows"))
     )
-    found = join_back(
-        found, by_set, "anchor_set", "rows", F.col("event_id"), total_rows=total_rows
-    )
+    found = join_back(found, by_set, "anchor_set", "rows", F.col("event_id"))
     support = F.greatest(
         F.lit(1),
         F.coalesce(F.col("_by_fp"), F.lit(0)),
@@ -166,8 +162,8 @@ def score_events(
     and must not go back to the texts.
     """
     keys = corroboration_keys("tokens", lexicon)
-    narrow, rows = cut_lineage_counted(features.select("*", *keys))
-    scored = corroborate(narrow, lexicon, rows)
+    narrow = cut_lineage(features.select("*", *keys))
+    scored = corroborate(narrow, lexicon)
     scored = scored if keep_tokens else scored.drop("tokens")
     if blocks is None:
         return scored.withColumn("target_relevance", F.lit(0).cast("long"))
@@ -326,11 +322,6 @@ def opposite_polarity(
     )
 
 
-def attach_text(selected: DataFrame, events: DataFrame) -> DataFrame:
-    """Bring the texts back for a bounded selection."""
-    return events.select("event_id", "text").join(F.broadcast(selected), "event_id")
-
-
 def independent_groups(events: DataFrame, by: list[str]) -> DataFrame:
     """Number of independent witnesses per key (session, else place of origin)."""
     key = independence_key("session_id", "source_kind", "locator")

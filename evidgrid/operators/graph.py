@@ -17,13 +17,13 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 
     A key with n nodes gives n - 1 edges instead of all pairs.
     """
-    written, rows = cut_lineage_counted(members.select(key, node))
+    written = cut_lineage(members.select(key, node))
     hubs = (
         written.groupBy(key)
         .agg(F.min(node).alias("a"), F.count("*").alias("rows"))
         .where(F.col("rows") > 1)
     )
-    linked = join_back(written, hubs, key, "rows", F.col(node), total_rows=rows)
+    linked = join_back(written, hubs, key, "rows", F.col(node))
     return (
         linked.where(F.col("a").isNotNull() & (F.col("a") != F.col(node)))
         .select("a", F.col(node).alias("b"))
@@ -63,12 +63,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         )
 
-        def moved(df: DataFrame, old: str, new: str, other: str, total: int | None) -> DataFrame:
+        def moved(df: DataFrame, old: str, new: str, other: str) -> DataFrame:
             renamed = df.withColumnRenamed(old, "label")
-            found = join_back(renamed, step, "label", "rows", F.col(other), total_rows=total)
+            found = join_back(renamed, step, "label", "rows", F.col(other))
             return found.withColumn(new, F.coalesce("low", "label")).drop("label", "low")
 
-        contracted = moved(moved(links, "a", "x", "b", size), "b", "y", "x", size)
+        contracted = moved(moved(links, "a", "x", "b"), "b", "y", "x")
         ordered = contracted.where("x != y").select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         )
@@ -123,7 +123,7 @@ def resolve_reference(doc: Column | str, ref: Column | str, home: str = "/home/u
     target, base = col(ref), col(doc)
     parent = F.regexp_extract(base, r"^(.*)/[^/]*$", 1)
     chosen = (
-        F.when(target.startswith("~/"), F.concat(F.lit(home), F.substring(target, 2, 1 << 20)))
+        F.when(target.startswith("~/"), F.concat(F.lit(home), F.substr(target, F.lit(2))))
         .when(target.startswith("/"), target)
         .otherwise(F.concat_ws("/", parent, target))
     )

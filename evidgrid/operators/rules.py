@@ -741,10 +741,6 @@ def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFra
     return joined.select("conflict_id", (grounded & hit).alias("collides"))
 
 
-def distinct_subjects(a: Column | str, b: Column | str) -> Column:
-    return label_key(a) != label_key(b)
-
-
 def evidence_fingerprint(events: DataFrame, by: list[str]) -> DataFrame:
     """Digest of the ordered (hash, id, time) list of a bounded citation set per key."""
     mark = F.struct("content_sha256", F.col("event_id").alias("id"), iso_instant("ts").alias("timestamp"))
@@ -752,7 +748,3 @@ def evidence_fingerprint(events: DataFrame, by: list[str]) -> DataFrame:
         F.sort_array(F.collect_set(F.struct(F.col("event_id").alias("k"), mark.alias("m")))), lambda x: x["m"]
     )
     return events.groupBy(*by).agg(canonical_digest(ordered).alias("evidence_fingerprint"))
-
-
-def words(text: Column | str) -> Column:
-    return extract_all(collapse_spaces(text), lx.WORD_TOKEN)

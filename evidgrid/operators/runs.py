@@ -206,9 +206,3 @@ def ledger(entries: DataFrame, keep: int = lx.LEDGER_KEEP, order: tuple[str, ...
         F.count("*").alias("entries"), F.count_if(F.col("mode") == "attended").alias("attended_applies")
     )
     return newest, totals
-
-
-def latest_per_run(log: DataFrame, run: str = "run_id") -> DataFrame:
-    newest = Window.partitionBy(run).orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    ranked = log.withColumn("_n", F.row_number().over(newest))
-    return ranked.where("_n = 1").drop("_n")

@@ -1,8 +1,7 @@
 """Work on ordered or keyed data where one key may hold a large share of the rows.
 
-* ``join_back`` attaches an aggregate to the rows it came from. Heavy keys are answered by a
-  broadcast of at most ``max_hot`` rows, so they never meet in one shuffle partition; all other
-  keys take an ordinary shuffle join. The choice of heavy keys changes the plan, not the result.
+* ``join_back`` attaches an aggregate to the rows it came from. Every heavy key is cut into parts by
+  a salt, so it never meets in one shuffle partition; all other keys have one part.
 * ``range_chunks`` / ``running_total`` / ``previous_value`` replace windows over a whole key: rows
   are range-partitioned by (key, order), each chunk is scanned on its own, and only one carry row
   per chunk boundary travels further.
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from evidgrid.session import cut_lineage
 
 HOT_ROWS = 100_000
-MAX_HOT = 2_000
 CHUNK = "_chunk"
 
 
@@ -37,38 +35,36 @@ def join_back(
     rows: str,
     salt: Column,
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Left join ``lookup`` (unique by ``key``, ``rows`` = its row count) onto ``facts``.
 
-    Where all facts together are known to be fewer than a heavy key, the join is a plain one.
+    A key with more than ``hot_rows`` rows is cut into parts: its facts are dealt out by ``salt``
+    and its lookup row is repeated for every part. This holds for every such key. The table of hot
+    keys has at most one row per ``hot_rows`` facts; Spark broadcasts it where it is small.
     """
     values = [name for name in lookup.columns if name not in (key, rows)]
-    if total_rows is not None and total_rows < hot_rows:
-        return facts.join(lookup.drop(rows), key, "left").select(*facts.columns, *values)
-    hot = (
-        lookup.where(F.col(rows) >= hot_rows)
-        .orderBy(F.col(rows).desc(), F.col(key))
-        .limit(max_hot)
-        .select(F.col(key), F.struct(*values).alias("_hot"))
+    parts = F.ceil(F.col(rows) / hot_rows).cast("int")
+    hot = lookup.where(F.col(rows) > hot_rows).select(
+        F.col(key).alias("_hot_key"), parts.alias("_parts")
     )
-    flagged = facts.join(F.broadcast(hot), key, "left")
-    # Rows already answered get a key of their own that matches nothing and spreads evenly.
-    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(salt), F.lit(4096)).cast("string"))
-    flagged = flagged.withColumn(
-        "_key",
-        F.when(
-            F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")
-        ).otherwise(spread),
+    dealt = F.xxhash64(salt)
+    flagged = facts.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_part",
+        # Rows without a key match nothing; they are spread as well.
+        F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(4096)))
+        .when(F.col("_parts").isNotNull(), F.pmod(dealt, F.col("_parts")))
+        .otherwise(F.lit(0))
+        .cast("int"),
     )
-    cold = lookup.select(
-        F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_cold")
+    repeated = lookup.select(
+        F.col(key).alias("_lookup_key"),
+        F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("_lookup_part"),
+        F.struct(*values).alias("_found"),
     )
-    joined = flagged.join(cold, "_key", "left")
-    picked = F.coalesce(F.col("_hot"), F.col("_cold"))
+    same = (F.col(key) == F.col("_lookup_key")) & (F.col("_part") == F.col("_lookup_part"))
+    joined = flagged.join(repeated, same, "left")
     return joined.select(
-        *[F.col(name) for name in facts.columns], *[picked[v].alias(v) for v in values]
+        *[F.col(name) for name in facts.columns], *[F.col("_found")[v].alias(v) for v in values]
     )
 
 

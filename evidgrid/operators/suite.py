@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,6 @@ from evidgrid.functions.text import label_key
 # Limits of a suite.
 MAX_ACTIONS = 64
 MAX_PHRASES = 16
-MAX_SELECTORS = 1024
 # End of fixed values.
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -116,8 +114,6 @@ def first_positions(
     Only the first occurrence of an action counts, so the sequence is a fixed number of minima
     (partial aggregates); no key's events are ever gathered.
     """
-    if len(actions) > MAX_ACTIONS:
-        raise ValueError("a suite has at most 64 actions")
     minima = events.groupBy(*keys).agg(
         *[F.min(F.when(F.col(action) == a, position)).alias(f"_p{i}") for i, a in enumerate(actions)]
     )
@@ -206,18 +202,30 @@ def suite_status(judged: DataFrame) -> DataFrame:
     )
 
 
-def coverage_gaps(changed: DataFrame, selectors: Sequence[tuple[str, str]]) -> DataFrame:
-    """Changed blocks (doc, heading_path) that no (suffix, heading text) selector covers."""
-    if len(selectors) > MAX_SELECTORS:
-        raise ValueError("too many selectors for one suite")
+def coverage_gaps(changed: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Changed blocks (doc, heading_path) that no selector (suffix, contained) covers.
+
+    A selector covers documents that end with its suffix under a heading with its text; ``*`` is any
+    heading. Documents meet selectors by equal suffixes, so neither side has a limit.
+    """
+    blocks = changed.select("doc", "heading_path").distinct()
+    ends = blocks.select(
+        "doc",
+        "heading_path",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.length("doc")), lambda n: F.substr(F.col("doc"), n + 1)
+            )
+        ).alias("suffix"),
+    )
     heading = F.lower(F.array_join("heading_path", " > "))
-    covered = F.lit(False)
-    for suffix, contained in selectors:
-        hit = F.col("doc").endswith(suffix)
-        if contained != "*":
-            hit = hit & F.contains(heading, F.lit(contained.lower()))
-        covered = covered | hit
-    return changed.where(~covered)
+    listed = selectors.select("suffix", F.lower("contained").alias("contained")).distinct()
+    covered = (
+        ends.join(listed, "suffix")
+        .where((F.col("contained") == "*") | F.contains(heading, F.col("contained")))
+        .select("doc", "heading_path")
+    )
+    return changed.join(covered, ["doc", "heading_path"], "left_anti")
 
 
 def phrase_conflicts(detectors: DataFrame) -> DataFrame:
@@ -229,67 +237,74 @@ def phrase_conflicts(detectors: DataFrame) -> DataFrame:
 
 
 def contained_phrases(
-    texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase", words: int = 4
+    texts: DataFrame,
+    phrases: DataFrame,
+    text: str = "text",
+    phrase: str = "phrase",
+    words: int = 4,
+    characters: int = 8,
 ) -> DataFrame:
     """(text_id, phrase_id) for phrases that occur verbatim in a text, spaces and case aside.
 
-    A phrase may begin and end inside a word, but its inner words are whole, so a text that
-    contains it also has its run of inner words. Runs are matched by equality, only candidates
-    are compared as text. Phrases too short to have inner words must be few.
+    A phrase may begin and end inside a word, but its inner words are whole, so a text that contains
+    it also has its run of inner words. A phrase without inner words is found by its first
+    characters instead, which may stand anywhere. Both kinds of keys meet the texts in one join;
+    only candidates are compared as text. An empty phrase is in no text.
     """
     pattern = lx.WORD_TOKEN
-    listed = phrases.select("phrase_id", label_key(phrase).alias("_p")).withColumn(
+    listed = phrases.select("phrase_id", label_key(phrase).alias("_p")).where("_p <> ''").withColumn(
         "_w", extract_all(F.col("_p"), pattern)
     )
-    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    keyed = listed.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2)).withColumn("_inner", inner)
-    long_enough = keyed.where("_n >= 1").withColumn(
-        "_key", F.xxhash64(F.concat_ws(" ", F.slice("_inner", F.lit(1), F.col("_n"))))
+    inner = F.greatest(F.size("_w") - 2, F.lit(0))
+    sized = listed.select(
+        "phrase_id",
+        "_p",
+        F.slice("_w", F.lit(2), F.least(F.lit(words), inner)).alias("_run"),
+        F.least(F.lit(characters), F.length("_p")).alias("_c"),
     )
-    normal = texts.select("text_id", label_key(text).alias("_t"))
-    sizes = [r["_n"] for r in long_enough.select("_n").distinct().collect()]  # at most ``words``
-    short = keyed.where("_n < 1").select("phrase_id", "_p").limit(MAX_ACTIONS * MAX_PHRASES + 1).collect()
-    if len(short) > MAX_ACTIONS * MAX_PHRASES:
-        raise ValueError("too many phrases without an inner word")
-    result = None
-    if sizes:
-        tokens = extract_all(F.col("_t"), pattern)
-
-        def runs_of(found: Column, size: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size + 1, F.lit(1)))
-            return F.transform(
-                starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(found, i, size)))
-            )
-
-        def keys_of(found: Column) -> Column:
-            return F.array_distinct(F.flatten(F.array(*[runs_of(found, n) for n in sizes])))
-
-        # Outer form: no second evaluation of the array for an inferred size filter.
-        shingled = normal.select(
-            "text_id", F.explode_outer(let(tokens, keys_of)).alias("_key")
-        ).where(F.col("_key").isNotNull())
-        candidates = (
-            shingled.join(long_enough.select("_key", "phrase_id", "_p"), "_key")
-            .select("text_id", "phrase_id", "_p")
-            .distinct()
-        )
-        result = (
-            candidates.join(normal, "text_id")
-            .where(F.contains("_t", F.col("_p")))
-            .select("text_id", "phrase_id")
-        )
-    if short:
-        hits = F.array_compact(
-            F.array(*[F.when(F.contains(F.col("_t"), F.lit(r["_p"])), F.lit(r["phrase_id"])) for r in short])
-        )
-        few = normal.select("text_id", F.explode(hits).alias("phrase_id"))
-        result = few if result is None else result.unionByName(few)
-    return result
+    by_run = F.size("_run") > 0
 
+    def run_key(run: Column) -> Column:
+        return F.xxhash64(F.lit("w"), F.concat_ws(" ", run))
 
-def suite_case(actions: Sequence[str]) -> Column:
-    return strings(list(actions))
+    def start_key(value: Column, start: Column, length: Column | int) -> Column:
+        return F.xxhash64(F.lit("c"), F.substr(value, start, F.lit(length)))
 
+    keyed = sized.select(
+        "phrase_id",
+        "_p",
+        F.when(by_run, F.size("_run")).otherwise(-F.col("_c")).alias("_n"),
+        F.when(by_run, run_key(F.col("_run")))
+        .otherwise(F.xxhash64(F.lit("c"), F.substr("_p", F.lit(1), F.col("_c"))))
+        .alias("_key"),
+    )
+    # At most ``words`` + ``characters`` different kinds of keys, however many phrases there are.
+    kinds = [r["_n"] for r in keyed.select("_n").distinct().collect()]
+    normal = texts.select("text_id", label_key(text).alias("_t"))
 
-def escape_phrase(phrase: str) -> str:
-    return re.sub(r"\s+", " ", phrase.strip()).lower()
+    def runs_of(found: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: run_key(F.slice(found, i, size)))
+
+    def starts_of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: start_key(F.col("_t"), i, size))
+
+    def keys_of(found: Column) -> Column:
+        parts = [runs_of(found, n) if n > 0 else starts_of(-n) for n in sorted(kinds)]
+        return F.array_distinct(F.flatten(F.array(F.array().cast("array<bigint>"), *parts)))
+
+    # Outer form: no second evaluation of the array for an inferred size filter.
+    shingled = normal.select(
+        "text_id", F.explode_outer(let(extract_all(F.col("_t"), pattern), keys_of)).alias("_key")
+    ).where(F.col("_key").isNotNull())
+    candidates = (
+        shingled.join(keyed.select("_key", "phrase_id", "_p"), "_key")
+        .select("text_id", "phrase_id", "_p")
+        .distinct()
+    )
+    return (
+        candidates.join(normal, "text_id")
+        .where(F.contains("_t", F.col("_p")))
+        .select("text_id", "phrase_id")
+    )

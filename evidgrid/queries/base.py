@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidgrid.functions.identity import content_sha, event_id
 from evidgrid.lexicon import Lexicon
-from evidgrid.session import spread_small
+from evidgrid.session import READ_CONF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,9 +59,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table with long texts, on all cores also where it is a single small file."""
+    """A table with long texts, dealt out as the session asks for."""
     keys = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-    return spread_small(table(spark, sf_dir, name), keys[name])
+    rows, parts = table(spark, sf_dir, name), spark.conf.get(READ_CONF, None)
+    return rows.repartition(int(parts), keys[name]) if parts else rows
 
 
 def as_of() -> Column:

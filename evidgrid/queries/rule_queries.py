@@ -446,11 +446,15 @@ def cited_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the beginning of their document as one line."""
+    """Labels with the shortest line of their document, the first one among equals."""
     from evidgrid.functions.text import collapse_spaces
 
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(F.length(line).alias("n"), i.alias("i"), line.alias("line")),
+    )
     heads = texts(spark, sf_dir).select(
-        "doc_id", "lang", "source", collapse_spaces(F.left("text", F.lit(200))).alias("head")
+        "doc_id", "lang", "source", collapse_spaces(F.array_min(lines)["line"]).alias("head")
     )
     return table(spark, sf_dir, "labels").join(heads, "doc_id")
 

@@ -89,14 +89,15 @@ def suite_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "coverage_gaps",
-    """SELECT page_id FROM pages WHERE NOT ((ends_with(url, '#top')) OR (ends_with(url, 'ref=x') AND contains(lower(substr(html, 1, 60)), 'lang="fr"')))""",
+    """SELECT page_id FROM pages WHERE NOT ((ends_with(url, '#top')) OR (ends_with(url, 'ref=x') AND contains(lower(regexp_extract(html, '<html[^>]*>')), 'lang="fr"')))""",
 )
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that no (suffix, text) selector covers."""
     pages = texts(spark, sf_dir, "pages").select(
-        "page_id", F.col("url").alias("doc"), F.array(F.left("html", F.lit(60))).alias("heading_path")
+        "page_id", F.col("url").alias("doc"), F.array(F.regexp_extract("html", "<html[^>]*>", 0)).alias("heading_path")
     )
-    return su.coverage_gaps(pages, [("#top", "*"), ("ref=x", 'lang="fr"')]).select("page_id")
+    selectors = spark.sql("""SELECT * FROM VALUES ('#top', '*'), ('ref=x', 'lang="fr"') AS s(suffix, contained)""")
+    return su.coverage_gaps(pages, selectors).select("page_id")
 
 
 @query(

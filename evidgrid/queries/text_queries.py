@@ -237,7 +237,7 @@ def safe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "substantive_quotes",
-    f"""WITH q AS (SELECT conv_id, turn, text, substr(text, 1, 24) AS quote FROM conversations)
+    f"""WITH q AS (SELECT conv_id, turn, text, string_split(text, '. ')[-1] AS quote FROM conversations)
 SELECT conv_id, turn, contains(text, quote) AND length(trim(quote)) >= 12 AND len(list_distinct(list_filter(
   regexp_extract_all(lower(quote), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3))) >= 2 AS substantive FROM q""",
 )
@@ -245,7 +245,7 @@ def substantive_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        tx.substantive_quote(F.left("text", F.lit(24)), "text").alias("substantive"),
+        tx.substantive_quote(F.element_at(F.split("text", r"\. "), -1), "text").alias("substantive"),
     )
 
 

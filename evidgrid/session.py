@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Session setting: partitions that a table with long texts is dealt to when it is read. Unset, the
+#: splits of the files stay as they are.
+READ_CONF = "evidgrid.read.partitions"
 
 
 def build_session(app_name: str = "evidgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,6 +21,8 @@ def build_session(app_name: str = "evidgrid", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Checkpoint files go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -58,14 +63,3 @@ def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     return written, int(seen.get["rows"])
-
-
-def spread_small(df: DataFrame, key: str, split_bytes: int = 128 << 20) -> DataFrame:
-    """Use all cores for an input that is too small to be split across them.
-
-    Only inputs below one default split per core are redistributed; anything larger already has
-    enough splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if int(str(size)) < cores * split_bytes else df

@@ -273,6 +273,27 @@ def test_contained_phrases_brute_force(spark):
     assert {(r.text_id, r.phrase_id) for r in found.collect()} == want
 
 
+def test_contained_phrases_without_inner_words_have_no_limit(spark):
+    texts = [(i, f"alpha{i} beta{i * 3}x, gamma") for i in range(0, 5_000, 50)]
+    phrases = [(i, f"a{i}") for i in range(5_000)] + [(9_000, "gamma"), (9_001, ", g"), (9_002, ""), (9_003, "x")]
+    table = spark.createDataFrame(texts, "text_id int, text string")
+    listed = spark.createDataFrame(phrases, "phrase_id int, phrase string")
+    want = {(t, p) for t, a in texts for p, b in phrases if b and b in a}
+    found = su.contained_phrases(table, listed)
+    assert {(r.text_id, r.phrase_id) for r in found.collect()} == want
+    assert su.contained_phrases(table, listed.limit(0)).count() == 0
+
+
+def test_coverage_selectors_are_a_table(spark):
+    blocks = [("/a/x.md", ["Top", "Rules"]), ("/a/y.md", ["Top"]), ("/b/x.md", ["Other"]), ("", ["Top"])]
+    selectors = [("x.md", "rules"), ("/y.md", "*"), ("z", "*")] + [(f"s{i}", "*") for i in range(2_000)]
+    found = su.coverage_gaps(
+        spark.createDataFrame(blocks, "doc string, heading_path array<string>"),
+        spark.createDataFrame(selectors, "suffix string, contained string"),
+    )
+    assert {r.doc for r in found.collect()} == {"/b/x.md", ""}
+
+
 def test_reference_graph(spark):
     docs = [
         ("/p/ROOT.md", "See @a.md, `@code.md` and @~/h.md.\n```\n@fenced.md\n```\nmail@x.y"),
