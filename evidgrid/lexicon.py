@@ -127,20 +127,19 @@ AUTHORITY_LEVELS = (
 )
 CANDIDATE_CLASSES = (
     "contradiction",
-    "enforcement_candidate",
-    "missing_rule",
-    "overspecified",
     "temporal_supersession",
     "underspecified",
+    "overspecified",
     "wrong_scope",
+    "enforcement_candidate",
+    "missing_rule",
 )
 EVIDENCE_REQUIRED_CLASSES = ("missing_rule", "temporal_supersession", "enforcement_candidate")
 DOMAINS = (
-    "coding_style",
     "communication",
+    "coding_style",
     "documentation",
     "git",
-    "other",
     "privacy",
     "release",
     "research",
@@ -148,6 +147,7 @@ DOMAINS = (
     "testing",
     "tooling",
     "workflow",
+    "other",
 )
 CLASS_WEIGHTS = {
     "contradiction": 75,
