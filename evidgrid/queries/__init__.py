@@ -2,6 +2,7 @@
 
 from evidgrid.queries import (  # noqa: F401
     cluster_queries,
+    detail_queries,
     document_queries,
     evidence_queries,
     graph_queries,

@@ -346,7 +346,7 @@ def recency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
        CAST(arg_min(event_id, ts) AS BIGINT) AS event_id FROM events GROUP BY ALL""",
 )
 def oldest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest event per day and type."""
+    """Whether the earliest event per day and type is the only one, and which it is."""
     events = table(spark, sf_dir, "events")
     return events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         (F.min("ts") == F.max("ts")).alias("single"),
