@@ -22,6 +22,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(value: Column | str) -> Column:
+    """Without Unicode white space at both ends; ``trim`` takes blanks only."""
+    return F.regexp_replace(col(value), r"(?U)^\s+|\s+$", "")
+
+
 def strings(values: Iterable[str]) -> Column:
     """Literal ``array<string>``, also for an empty collection."""
     values = list(values)

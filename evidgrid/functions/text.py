@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import NOT_SPACE, SPACE, any_of, col, extract_all, let, strings
+from evidgrid.functions.exprs import NOT_SPACE, SPACE, any_of, col, extract_all, let, strings, strip
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 
 MILLISECOND_BOUNDARY = 10_000_000_000
@@ -371,7 +371,7 @@ def substantive_quote(quote: Column | str, text: Column | str) -> Column:
     )
     return (
         F.contains(col(text), value)
-        & (F.length(F.trim(value)) >= 12)
+        & (F.length(strip(value)) >= 12)
         & (F.size(terms) >= 2)
     )
 

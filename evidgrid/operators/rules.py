@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import extract_all
+from evidgrid.functions.exprs import extract_all, strip
 from evidgrid.functions.identity import canonical_digest, independence_key, safe_line
 from evidgrid.functions.redaction import has_high, redact, residual_secrets
 from evidgrid.functions.text import (
@@ -46,6 +46,12 @@ def cited(df: DataFrame, key: str, ids: str, known: DataFrame, known_id: str) ->
     return joined.select(key, "id", F.coalesce("_hit", F.lit(False)).alias("found"), "n")
 
 
+def only_cited(known: DataFrame, known_id: str, rows: DataFrame, ids: str) -> DataFrame:
+    """The known rows whose id is cited."""
+    named = rows.select(F.explode(ids).alias(known_id)).distinct()
+    return known.join(named, known_id, "left_semi")
+
+
 def citation_problems(df: DataFrame, key: str, ids: str, known: DataFrame, known_id: str) -> DataFrame:
     """(key, id, code) for unknown and repeated citations."""
     checked = cited(df, key, ids, known, known_id)
@@ -166,6 +172,9 @@ def validate_nominations(nominations: DataFrame, blocks: DataFrame, events: Data
     Citations are joined once per side and reduced to flags per nomination.
     """
     base = nominations.withColumn("_intent_terms", subject_terms("behavioral_intent", "analyst"))
+    # Texts are looked at only where they are cited.
+    blocks = only_cited(blocks, "block_id", nominations, "source_ids")
+    events = only_cited(events, "event_id", nominations, "evidence_ids")
     place = F.concat_ws(NUL, "doc", F.array_join("heading_path", "\x1f"))
     known_blocks = blocks.select(
         F.col("block_id").alias("id"),
@@ -189,7 +198,7 @@ def validate_nominations(nominations: DataFrame, blocks: DataFrame, events: Data
     known_events = events.select(
         F.col("event_id").alias("id"),
         F.lit(True).alias("hit"),
-        ((F.length(F.trim("text")) < 12) | (F.size(subject_terms("text", "analyst")) < 2)).alias("small"),
+        ((F.length(strip("text")) < 12) | (F.size(subject_terms("text", "analyst")) < 2)).alias("small"),
         (F.col("source_kind") == "node_active").alias("node"),
         F.col("text").rlike(lx.EXPLICIT_DURABLE_PATTERN).alias("durable"),
         ((F.col("correction_score") > 0) | F.col("text").rlike(lx.EXPLICIT_REVERSAL_PATTERN)).alias("reversal"),
@@ -224,11 +233,6 @@ def validate_nominations(nominations: DataFrame, blocks: DataFrame, events: Data
         )
     )
     fields = ("behavioral_intent", "reason", "applies_when", "does_not_apply_when")
-    unsafe = false
-    for name in fields:
-        unsafe = unsafe | ~safe_line(name, 2000)
-    # One scan for all fields; the separator keeps a pattern from reaching across fields.
-    secret = _secret(F.concat_ws("\n\x1f\n", *fields))
     signal = F.coalesce("_node", false) | F.coalesce("_durable", false) | F.coalesce("_two_scored", false)
     rules = [
         ("invalid_semantic_nomination", ~kind.isin(*lx.CANDIDATE_CLASSES) | ~F.col("domain").isin(*lx.DOMAINS)),
@@ -243,8 +247,15 @@ def validate_nominations(nominations: DataFrame, blocks: DataFrame, events: Data
         ("unknown_evidence", F.coalesce("_unknown_evidence", false)),
         ("duplicate_evidence", F.size(F.array_distinct("evidence_ids")) != n_evidence),
         ("insufficient_evidence_text", F.coalesce("_small", false)),
-        ("invalid_semantic_nomination", unsafe),
-        ("secret_in_semantic_nomination", secret),
+        # Field by field: the shape of a field first, then its content.
+        *[
+            rule
+            for name in fields
+            for rule in (
+                ("invalid_semantic_nomination", ~safe_line(name, 2000)),
+                ("secret_in_semantic_nomination", _secret(F.col(name))),
+            )
+        ],
         ("ungrounded_semantic_intent", grounding < 3),
         ("insufficient_missing_rule_evidence", (kind == "missing_rule") & ~signal),
         ("unproven_temporal_supersession", (kind == "temporal_supersession") & ~F.coalesce("_reversal", false)),
@@ -363,7 +374,7 @@ def validate_changes(
         )
     )
     witness = independence_key("session_id", "source_kind", "locator")
-    cited_events = events.select(
+    cited_events = only_cited(events, "event_id", changes, "evidence_ids").select(
         F.col("event_id").alias("id"),
         "text",
         F.lit(True).alias("hit"),
@@ -419,14 +430,14 @@ def validate_changes(
     action = F.col("action")
     n_sources, n_evidence = F.size("source_ids"), F.size("evidence_ids")
     text = F.coalesce("replacement", F.lit(""))
-    blank = F.trim(text) == ""
+    blank = strip(text) == ""
     source_text = F.coalesce("_source_text", F.lit(""))
     evidence_text = F.when(action == "escalate", F.lit("")).otherwise(F.coalesce("_evidence_text", F.lit("")))
     moved_single = (action == "relocate") & (n_sources == 1) & blank
     effective = F.when(action == "escalate", source_text).when(moved_single, source_text).otherwise(text)
     source_only = bounded & (action == "replace") & (n_sources >= 2) & (n_evidence == 0)
     spare_removal = bounded & (action == "remove") & (n_evidence == 0) & F.coalesce("_spare_copy", false)
-    bad_part = F.exists("heading_path", lambda h: (F.trim(h) == "") | h.rlike(r"[\r\n\x00]"))
+    bad_part = F.exists("heading_path", lambda h: (strip(h) == "") | h.rlike(r"[\r\n\x00]"))
     joined = (
         joined.withColumn("_text", effective)
         .withColumn("_source", source_text)
@@ -503,12 +514,12 @@ def validate_changes(
             & F.col("_text").rlike(lx.SELF_ATTESTED_PATTERN)
             & ~F.col("_text").rlike(lx.EXTERNAL_CRITERION_PATTERN),
         ),
-        ("missing_reason", F.col("reason").isNull() | (F.trim("reason") == "")),
+        ("missing_reason", F.col("reason").isNull() | (strip("reason") == "")),
         ("invalid_apply_mode", ~F.col("minimum_apply_mode").isin("attended", "unattended")),
         ("invalid_enforcement_target", ~target.isin("", "hook", "settings")),
         ("invalid_relocation_basis", ~relocation.isin("", "contextual", "organization")),
         ("invalid_enforcement_target", (action == "escalate") & (target == "")),
-        ("invalid_deterministic_check", (action == "escalate") & (F.trim("deterministic_check") == "")),
+        ("invalid_deterministic_check", (action == "escalate") & (strip("deterministic_check") == "")),
         (
             "invalid_enforcement_fields",
             (action != "escalate") & ((target != "") | (F.col("deterministic_check") != "")),
@@ -589,7 +600,7 @@ def validate_suggestions(suggestions: DataFrame, nominations: DataFrame, events:
         ("unknown_missing_rule_nomination", F.col("_known").isNull()),
         ("duplicate_new_rule_suggestion", F.col("index") > F.col("_first")),
         ("target_not_allowlisted", F.col("_ok").isNull()),
-        ("missing_reason", F.trim("reason") == ""),
+        ("missing_reason", strip("reason") == ""),
         (
             "ungrounded_operational_action",
             F.size(dropped_terms(extract_terms("rendered", actions), extract_terms("_support", actions))) > 0,

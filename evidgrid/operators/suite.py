@@ -85,9 +85,21 @@ def detected_actions(text: Column | str, detectors: Mapping[str, Sequence[str]])
 def detect(results: DataFrame, detectors: Mapping[str, Sequence[str]]) -> DataFrame:
     """Add ``actions`` (ordered names) to rows with ``steps`` and optionally ``allowed``."""
     with_text = results.withColumn("_text", joined_steps("steps"))
-    names = F.transform(detected_actions("_text", detectors), lambda a: a["action"])
+    found = detected_actions("_text", detectors)
     if "allowed" in results.columns:
-        names = F.filter(names, lambda a: F.array_contains("allowed", a))
+        # At equal positions the allowed actions keep their own order.
+        kept = F.filter(found, lambda a: F.array_contains("allowed", a["action"]))
+        found = F.sort_array(
+            F.transform(
+                kept,
+                lambda a: F.struct(
+                    a["pos"].alias("pos"),
+                    F.array_position("allowed", a["action"]).alias("rank"),
+                    a["action"].alias("action"),
+                ),
+            )
+        )
+    names = F.transform(found, lambda a: a["action"])
     return with_text.withColumn("actions", names).drop("_text")
 
 

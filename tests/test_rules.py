@@ -284,6 +284,14 @@ def test_contained_phrases_without_inner_words_have_no_limit(spark):
     assert su.contained_phrases(table, listed.limit(0)).count() == 0
 
 
+def test_equal_positions_keep_the_order_of_the_allowed_actions(spark):
+    detectors = {"alpha": ["run"], "beta": ["run tests"], "gamma": ["stop"]}
+    rows = [(["run tests then stop"], ["beta", "alpha", "gamma"]), (["run tests then stop"], ["gamma", "alpha", "beta"])]
+    table = spark.createDataFrame(rows, "steps array<string>, allowed array<string>")
+    got = [r.actions for r in su.detect(table, detectors).collect()]
+    assert got == [["beta", "alpha", "gamma"], ["alpha", "beta", "gamma"]]
+
+
 def test_coverage_selectors_are_a_table(spark):
     blocks = [("/a/x.md", ["Top", "Rules"]), ("/a/y.md", ["Top"]), ("/b/x.md", ["Other"]), ("", ["Top"])]
     selectors = [("x.md", "rules"), ("/y.md", "*"), ("z", "*")] + [(f"s{i}", "*") for i in range(2_000)]
