@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -130,8 +131,20 @@ def text_slices(
             start = stop
 
 
-def sha256_hex(value: Column) -> Column:
-    return F.sha2(value, 256)
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; gives the freed memory of a finished task back to the system.
+
+    Spark keeps Python workers for later tasks, and the allocators keep what they once had.
+    """
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
 
 
 def labelled_sample(

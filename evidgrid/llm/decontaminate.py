@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, byte_table, drop_rows, text_slices
+from evidgrid.llm.common import Scratch, byte_table, drop_rows, lean, text_slices
 
 WINDOW = 13
 #: Item words that are broadcast together; more items make more blocks.
@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
     )
-    return scratch.save(narrow.mapInArrow(build, INDEX_SCHEMA), "index")
+    return scratch.save(narrow.mapInArrow(lean(build), INDEX_SCHEMA), "index")
 
 
 class Windows:
@@ -259,7 +259,7 @@ def search(
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             yield from search_block(shared.value, slop)(batches)
 
-        parts.append(index.mapInArrow(run, MATCH_SCHEMA))
+        parts.append(index.mapInArrow(lean(run), MATCH_SCHEMA))
     if len(parts) == 1:
         return parts[0].drop("segment", "place")
     matched = parts[0]

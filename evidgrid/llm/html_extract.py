@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, text_slices
+from evidgrid.llm.common import Scratch, lean, text_slices
 
 #: A class needs this many pages and this share of the host's pages, and so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 5, 0.6, 2
@@ -222,7 +222,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             yield emit()
 
     return pages.select("url", "html").mapInArrow(
-        run,
+        lean(run),
         "host string, token bigint, text boolean, pages bigint, total bigint, vector bigint, "
         "place double",
     )
@@ -332,7 +332,7 @@ def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
             )
 
     return joined.select("page_id", "url", "html", "tokens").mapInArrow(
-        run, "page_id bigint, url string, text string, n_chars bigint"
+        lean(run), "page_id bigint, url string, text string, n_chars bigint"
     )
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, drop_rows, join_keys, text_slices
+from evidgrid.llm.common import Scratch, drop_rows, join_keys, lean, text_slices
 from evidgrid.llm.components import components
 from evidgrid.llm.rolling import Hasher, inside, mixed, signed
 
@@ -128,7 +128,7 @@ def profile(texts: DataFrame, size: int, bits: int) -> DataFrame:
 
     names = ["id", "mark", "n", "sum1", "sum2", "piece", "cells"]
     return texts.mapInArrow(
-        run,
+        lean(run),
         "id bigint, mark bigint, n bigint, sum1 bigint, sum2 bigint, piece int, cells binary",
     )
 
@@ -153,7 +153,7 @@ def sketch_of(rows: DataFrame, bits: int) -> np.ndarray:
         rows.where("piece IS NOT NULL")
         .select("piece", "cells")
         .repartition(PIECES, "piece")
-        .mapInArrow(add, "piece int, cells binary")
+        .mapInArrow(lean(add), "piece int, cells binary")
     )
     whole = np.zeros(1 << bits, np.uint8)
     for row in pieces.collect():  # 2 ** bits bytes in all
@@ -213,7 +213,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int, bits
             )
 
     return texts.mapInArrow(
-        run,
+        lean(run),
         "id bigint, mark bigint, n bigint, prefix1 bigint, prefix2 bigint, "
         "entries array<struct<s:bigint,k:bigint>>, bitmap array<bigint>",
     )
@@ -234,7 +234,7 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
                 names=["id", "mark", "set"],
             )
 
-    return texts.mapInArrow(run, "id bigint, mark bigint, set array<bigint>")
+    return texts.mapInArrow(lean(run), "id bigint, mark bigint, set array<bigint>")
 
 
 def may_link(n1: str, k1: str, n2: str, k2: str, percent: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Adam, Scratch, sigmoid, text_slices
+from evidgrid.llm.common import Adam, Scratch, lean, sigmoid, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Sampled documents for training, of those with a digit or an at sign.
@@ -443,5 +443,5 @@ def personal_data(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, f"doc_id bigint, base {kind}, spans {kind}"
+        lean(run), f"doc_id bigint, base {kind}, spans {kind}"
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Adam, Scratch, labelled_sample, sigmoid, text_slices
+from evidgrid.llm.common import Adam, Scratch, labelled_sample, lean, sigmoid, text_slices
 
 #: Training documents of each label.
 TRAIN_ROWS = 3_000
@@ -151,7 +151,7 @@ def train(
             )
 
     schema = "doc_id bigint, label int, bag array<array<double>>"
-    rows = sorted(sample.mapInArrow(run, schema).collect(), key=lambda row: row.doc_id)
+    rows = sorted(sample.mapInArrow(lean(run), schema).collect(), key=lambda row: row.doc_id)
     model = Model()
     if len({row.label for row in rows}) == 2:
         bags = [np.array(row.bag) for row in rows]
@@ -184,5 +184,5 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text"
-    ).mapInArrow(run, "doc_id bigint, held_out boolean, score double")
+    ).mapInArrow(lean(run), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, join_keys, text_slices
+from evidgrid.llm.common import Scratch, join_keys, lean, text_slices
 from evidgrid.llm.rolling import BASE_WINDOW, Hasher, inside, signed
 
 WINDOW = 50
@@ -58,7 +58,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             )
 
     return docs.mapInArrow(
-        run, "doc_id bigint, mark bigint, n_words bigint, sha string, anchors array<bigint>"
+        lean(run), "doc_id bigint, mark bigint, n_words bigint, sha string, anchors array<bigint>"
     )
 
 
@@ -110,7 +110,7 @@ def shared_windows(texts: DataFrame, size: int) -> DataFrame:
                     )
 
     return texts.mapInArrow(
-        run, "doc_id bigint, mark bigint, start int, a bigint, h bigint, later boolean"
+        lean(run), "doc_id bigint, mark bigint, start int, a bigint, h bigint, later boolean"
     )
 
 
@@ -156,7 +156,7 @@ def cut(texts: DataFrame, size: int) -> DataFrame:
             )
 
     return texts.mapInArrow(
-        run,
+        lean(run),
         "doc_id bigint, mark bigint, n_removed bigint, kept_sha256 string, "
         "removed array<struct<start:bigint,end:bigint>>",
     )

@@ -24,7 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Adam, Scratch, byte_table, labelled_sample, sigmoid, text_slices
+from evidgrid.llm.common import (
+    Adam,
+    Scratch,
+    byte_table,
+    labelled_sample,
+    lean,
+    sigmoid,
+    text_slices,
+)
 from evidgrid.llm.rolling import BASE_RUN, REMEMBERED, Hasher, inside, mixed, signed, spread
 
 #: Training documents of each label.
@@ -156,7 +164,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
             )
 
     return sample.mapInArrow(
-        run,
+        lean(run),
         "doc_id bigint, label int, words array<bigint>, counts array<int>, votes array<bigint>",
     )
 
@@ -313,7 +321,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, severity double, grade int, p_toxic double, toxic boolean"
+        lean(run), "doc_id bigint, severity double, grade int, p_toxic double, toxic boolean"
     )
 
 
@@ -326,4 +334,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch, texts in text_slices(batches, "text"):
             yield batch.filter(pa.array(scorer.grades(texts)[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
