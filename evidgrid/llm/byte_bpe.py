@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import ship_package, text_slices
+from evidgrid.llm.common import lean, ship_package, text_slices
 from evidgrid.llm.rolling import spread
 
 #: Buckets end at these lengths in bytes, then at doubled ones.
@@ -272,7 +272,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, ids array<int>"
+        lean(run), "doc_id bigint, ids array<int>"
+    )
+
+
+def _decoded(words: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Bytes of the ids of every text, as a binary column."""
+    ends = np.concatenate(([0], np.cumsum(words.token_length[ids])))
+    bounds = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+    data = np.ascontiguousarray(words.decode(ids))
+    return pa.Array.from_buffers(
+        pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
     )
 
 
@@ -281,26 +291,20 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
         for whole in batches:
             step = max(1, int(whole.num_rows * 1_000_000 / max(1, _elements(whole.column(1)))))
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
                 ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 counts = pa.compute.list_value_length(batch.column(1)).fill_null(0).to_numpy()
-                data = words.decode(ids)
-                ends = np.concatenate(([0], np.cumsum(words.token_length[ids])))
-                bounds = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
-                column = pa.Array.from_buffers(
-                    pa.binary(),
-                    batch.num_rows,
-                    [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))],
-                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), column], names=["doc_id", "ids", "decoded"]
+                    [batch.column(0), batch.column(1), _decoded(shared.value, ids, counts)],
+                    names=["doc_id", "ids", "decoded"],
                 )
 
-    return encoded.mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(
+        lean(run), "doc_id bigint, ids array<int>, decoded binary"
+    )
 
 
 def _elements(lists: pa.ListArray) -> int:
@@ -308,7 +312,27 @@ def _elements(lists: pa.ListArray) -> int:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded bytes of every document; an empty table gives an empty table."""
+    """doc_id, ids and decoded bytes of every document; an empty table gives an empty table.
+
+    The same as ``decode(encode(docs))``, but the ids are decoded where they are made: they do not
+    go through the JVM, and a task has one Python worker instead of two.
+    """
     ship_package(docs.sparkSession)
-    vocabulary = Vocabulary.read(path, pattern)
-    return decode(encode(docs, vocabulary), vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path, pattern))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch, texts in text_slices(batches, "text"):
+            flat, counts = encoder.encode(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    _ragged(pa.array(flat), counts),
+                    _decoded(shared.value, flat, counts),
+                ],
+                names=["doc_id", "ids", "decoded"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        lean(run), "doc_id bigint, ids array<int>, decoded binary"
+    )

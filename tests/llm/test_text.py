@@ -8,7 +8,7 @@ import pytest
 from helpers import corpus, frame, sentence
 
 from evidgrid.llm import pii
-from evidgrid.llm.byte_bpe import LONG_PIECE, Encoder, Vocabulary, encode, round_trip
+from evidgrid.llm.byte_bpe import LONG_PIECE, Encoder, Vocabulary, decode, encode, round_trip
 from evidgrid.llm.common import Scratch
 from evidgrid.llm.html_extract import Page, main_texts
 from evidgrid.llm.license_scan import KNOWN, MIT, NEEDED, canonical_text, scan
@@ -135,6 +135,8 @@ def test_round_trip_of_a_table(spark, reference_encoder):
     want = [(i, reference_encoder.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
     assert got == sorted(want, key=str)
     vocabulary = Vocabulary.read(VOCABULARY, public_tokenizers.PATTERN)
+    apart = decode(encode(frame(spark, rows), vocabulary), vocabulary).collect()
+    assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in apart), key=str) == got
     assert encode(frame(spark, []), vocabulary).count() == 0
 
 
