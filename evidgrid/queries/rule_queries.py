@@ -9,7 +9,7 @@ from evidgrid.functions.exprs import strings
 from evidgrid.functions.text import extract_terms, normalize_block, utf8_bytes
 from evidgrid.operators import metrics as mt
 from evidgrid.operators import rules as ru
-from evidgrid.queries.base import query, table, texts
+from evidgrid.queries.base import query, sql_list, table, texts
 from evidgrid.queries.text_queries import SQL_NORMAL
 
 WORDS = "with from mit von dans avec sur par para una".split()
@@ -446,7 +446,7 @@ def cited_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the shortest line of their document, the first one among equals."""
+    """Labels with the letters of the shortest line of their document, the first one among equals."""
     from evidgrid.functions.text import collapse_spaces
 
     lines = F.transform(
@@ -454,12 +454,52 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda line, i: F.struct(F.length(line).alias("n"), i.alias("i"), line.alias("line")),
     )
     heads = texts(spark, sf_dir).select(
-        "doc_id", "lang", "source", collapse_spaces(F.array_min(lines)["line"]).alias("head")
+        "doc_id",
+        "lang",
+        "source",
+        collapse_spaces(F.regexp_replace(F.array_min(lines)["line"], r"[^\p{L} ]", " ")).alias("head"),
     )
     return table(spark, sf_dir, "labels").join(heads, "doc_id")
 
 
-@query("nomination_checks")
+def sql_analyst_terms(text: str) -> str:
+    from evidgrid import lexicon as lx
+    from evidgrid.queries.text_queries import SQL_NORMAL
+
+    normal = SQL_NORMAL.replace("(text,", f"({text},")
+    return (
+        f"list_distinct(list_filter(regexp_extract_all({normal}, '[\\p{{L}}\\p{{N}}]+'), "
+        f"lambda t: length(t) >= 3 AND NOT list_contains({sql_list(lx.ANALYST_STOP)}, t)))"
+    )
+
+
+@query(
+    "nomination_checks",
+    f"""WITH h AS (SELECT doc_id, arg_min(line, length(line) * 1000000 + i) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id),
+d AS (SELECT doc_id, source, text, {sql_analyst_terms("text")} AS terms FROM documents),
+n AS (SELECT l.doc_id, ['contradiction', 'temporal_supersession', 'underspecified', 'overspecified', 'wrong_scope', 'enforcement_candidate', 'missing_rule'][CAST(l.doc_id % 7 + 1 AS INTEGER)] AS kind,
+  trim(regexp_replace(regexp_replace(h.line, '[^\\p{{L}} ]', ' ', 'g'), '\\s+', ' ', 'g')) || CASE WHEN l.doc_id % 17 = 0 THEN ' password=planted-value-9' ELSE '' END AS head
+  FROM labels l JOIN h USING (doc_id)),
+j AS (SELECT n.*, a.source AS s1, b.source AS s2, b.doc_id IS NULL AS unknown, {sql_analyst_terms("n.head")} AS intent,
+  list_concat(a.terms, coalesce(b.terms, [])) AS grounds,
+  length(trim(a.text)) < 12 OR len(a.terms) < 2 OR coalesce(length(trim(b.text)) < 12 OR len(b.terms) < 2, false) AS small
+  FROM n JOIN d a USING (doc_id) LEFT JOIN d b ON b.doc_id = 2 * n.doc_id)
+SELECT doc_id AS index, kind AS candidate_class,
+  CASE WHEN kind <> 'missing_rule' AND doc_id % 13 = 0 THEN 'protected_change'
+    WHEN unknown THEN 'unknown_evidence'
+    WHEN doc_id = 0 THEN 'duplicate_evidence'
+    WHEN small THEN 'insufficient_evidence_text'
+    WHEN head = '' OR length(head) > 2000 THEN 'invalid_semantic_nomination'
+    WHEN doc_id % 17 = 0 THEN 'secret_in_semantic_nomination'
+    WHEN len(list_intersect(intent, grounds)) < 3 THEN 'ungrounded_semantic_intent'
+    WHEN kind = 'missing_rule' AND (doc_id % 3 = 0 OR s1 = s2) THEN 'insufficient_missing_rule_evidence'
+    WHEN kind = 'temporal_supersession' AND doc_id % 3 = 0 THEN 'unproven_temporal_supersession'
+    WHEN kind = 'enforcement_candidate' AND s1 = s2 THEN 'insufficient_escalation_lineage' END AS code,
+  CASE WHEN kind = 'missing_rule' THEN 'suggestion_candidate' ELSE 'mutable_candidate' END AS admission,
+  CASE WHEN kind = 'missing_rule' THEN 'evidence_grounded_reversible_introduction' ELSE 'same_target_same_heading_sources' END AS admission_reason
+FROM j""",
+)
 def nomination_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nominations built from all labels: class by number, one source, evidence of twice the number."""
     from evidgrid import lexicon as lx
@@ -468,19 +508,20 @@ def nomination_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     kinds = strings(list(lx.CANDIDATE_CLASSES))
     kind = F.element_at(kinds, (F.col("doc_id") % len(lx.CANDIDATE_CLASSES) + 1).cast("int"))
+    planted = F.when(F.col("doc_id") % 17 == 0, " password=planted-value-9").otherwise("")
     nominations = labelled(spark, sf_dir).select(
         F.col("doc_id").alias("index"),
         kind.alias("candidate_class"),
         F.when(F.col("quality") == 1, "git").otherwise("other").alias("domain"),
         F.when(kind == "missing_rule", strings([])).otherwise(F.array(key)).alias("source_ids"),
         F.array(key, (F.col("doc_id") * 2).cast("string")).alias("evidence_ids"),
-        F.col("head").alias("behavioral_intent"),
+        F.concat("head", planted).alias("behavioral_intent"),
         F.lit("from a label").alias("reason"),
         F.col("lang").alias("applies_when"),
         F.col("source").alias("does_not_apply_when"),
     )
     checked = ru.validate_nominations(nominations, blocks, events)
-    return checked.select("index", "candidate_class", "code", "admission", "admission_reason", "nomination_id")
+    return checked.select("index", "candidate_class", "code", "admission", "admission_reason")
 
 
 @query("change_checks")
