@@ -114,11 +114,26 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("text_id").alias("doc_id"), F.col("phrase_id").alias("item_id"))
 
 
-@query("detected_actions")
+@query(
+    "detected_actions",
+    """WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace(CASE WHEN conv_id % 4 = 0 THEN 'Never ' || text ELSE text END, '\\s+', ' ', 'g'))) AS t FROM conversations),
+k AS (SELECT conv_id, turn, t, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')) AS w,
+  generate_subscripts(regexp_extract_all(t, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), 1) AS i FROM t),
+p AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM k),
+d(action, phrase) AS (VALUES ('link_with', 'with'), ('link_with', 'mit'), ('link_with', 'avec'), ('place_in', 'in'), ('place_in', 'dans'),
+  ('and_then', 'and'), ('and_then', 'und'), ('and_then', 'et')),
+c AS (SELECT conv_id, turn, action, pos, regexp_replace(regexp_split_to_array(substr(t, CAST(pos - least(pos, 160) + 1 AS BIGINT), CAST(least(pos, 160) AS BIGINT)),
+  '[.;:!?\\n]|,\\s*(?:and|but|then)\\s+')[-1], '[`*_~()\\[\\]{}]', ' ', 'g') AS clause FROM p JOIN d ON p.w = d.phrase),
+f AS (SELECT conv_id, turn, action, min(pos) AS pos FROM c WHERE NOT coalesce(regexp_matches(clause,
+  '(?:^|[^\\p{L}\\p{N}_])(?:do not|don''t|never|avoid|without|rather than|instead of|not)(?:$|[^\\p{L}\\p{N}_])'), false) GROUP BY ALL),
+g AS (SELECT conv_id, turn, string_agg(action, '>' ORDER BY pos) AS actions FROM f GROUP BY ALL)
+SELECT conv_id, turn, coalesce(actions, '') AS actions FROM t LEFT JOIN g USING (conv_id, turn)""",
+)
 def detected_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Affirmed phrases in all conversation turns (negations in several languages' prose are rare)."""
+    """Affirmed phrases in all conversation turns; a quarter of the conversations starts negated."""
     detectors = {"link_with": ["with", "mit", "avec"], "place_in": ["in", "dans"], "and_then": ["and", "und", "et"]}
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array("text").alias("steps"))
+    said = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("Never "), "text")).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(said).alias("steps"))
     return su.detect(turns, detectors).select("conv_id", "turn", F.array_join("actions", ">").alias("actions"))
 
 
