@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
@@ -676,6 +676,49 @@ def conflict_ties(conflicts: DataFrame, events: DataFrame, seen: DataFrame | Non
     )
 
 
+def _incomparable(sets: DataFrame) -> DataFrame:
+    """(conflict_id, excluded) where an exclusive set and another one each have a term of their own.
+
+    ``sets``: conflict_id, pair, set, exclusive; sets meet within a pair. A set is comparable with
+    all others exactly when every set of at least its size has all its terms, and the sets of at
+    most its size have no other terms. Both are counts per term and size; sets are not paired.
+    """
+    key = ["conflict_id", "pair"]
+    sized = sets.withColumn("n", F.size("set"))
+    sizes = sized.groupBy(*key, "n").agg(
+        F.count("*").alias("sets"), F.max("exclusive").alias("exclusive")
+    )
+    larger = Window.partitionBy(*key).orderBy(F.col("n").desc())
+    sizes = sizes.withColumn("at_least", F.sum("sets").over(larger))
+    terms = (
+        sized.select(*key, "n", "exclusive", F.explode("set").alias("term"))
+        .groupBy(*key, "term", "n")
+        .agg(F.count("*").alias("sets"), F.max("exclusive").alias("exclusive"))
+    )
+    larger_with = Window.partitionBy(*key, "term").orderBy(F.col("n").desc())
+    having = terms.withColumn("with_term", F.sum("sets").over(larger_with))
+    lacking = (
+        having.where("exclusive")
+        .select(*key, "n", "with_term")
+        .join(sizes.select(*key, "n", "at_least"), [*key, "n"])
+        .where("with_term < at_least")
+    )
+    fresh = (
+        terms.groupBy(*key, "term")
+        .agg(F.min("n").alias("n"))
+        .groupBy(*key, "n")
+        .agg(F.count("*").alias("fresh"))
+    )
+    smaller = Window.partitionBy(*key).orderBy("n")
+    others = (
+        sizes.join(fresh, [*key, "n"], "left")
+        .withColumn("known", F.sum(F.coalesce("fresh", F.lit(0))).over(smaller))
+        .where("exclusive AND known > n")
+    )
+    found = lacking.select("conflict_id").union(others.select("conflict_id"))
+    return found.distinct().withColumn("excluded", F.lit(True))
+
+
 def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFrame:
     """(conflict_id, collides): local evidence that two subjects exclude each other.
 
@@ -724,18 +767,8 @@ def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFra
         .groupBy("conflict_id")
         .agg(F.max("opposed").alias("opposed"))
     )
-    # Exclusive wording needs two texts with terms of their own: distinct term sets are compared,
-    # and only those with an exclusive word on one side.
     sets = paired.groupBy("conflict_id", "pair", "set").agg(F.max("exclusive").alias("exclusive"))
-    strict = sets.where("exclusive").select("conflict_id", "pair", F.split("set", NUL).alias("x"))
-    others = sets.select("conflict_id", "pair", F.split("set", NUL).alias("y"))
-    exclusive = (
-        strict.join(others, ["conflict_id", "pair"])
-        .where((F.size(F.array_except("x", F.col("y"))) > 0) & (F.size(F.array_except("y", F.col("x"))) > 0))
-        .select("conflict_id")
-        .distinct()
-        .withColumn("excluded", F.lit(True))
-    )
+    exclusive = _incomparable(sets.withColumn("set", F.split("set", NUL)))
     false = F.lit(False)
     joined = (
         subjects.join(touched, "conflict_id", "left")

@@ -66,14 +66,18 @@ def drop_copies(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return watched.dropDuplicatesWithinWatermark(["session_key", "content_sha256"]).drop("session_key")
 
 
-def latest_copies(events: DataFrame) -> DataFrame:
-    """Newest row per (session, content), to be written in update mode and merged by key.
+def latest_copies(events: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Newest row per (session, content) and window of event time, merged by key where it is written.
 
-    State is one row per key; a heavily copied text is reduced inside every task first.
+    A window is forgotten once the watermark has passed its end, so state does not grow for ever;
+    the sink keeps the newest of the rows of a key. A heavily copied text is reduced inside every
+    task first.
     """
     keyed = events.withColumn("session_key", F.coalesce("session_id", F.lit("")))
+    watched = keyed.withWatermark("ts", delay)
     newest = F.max(F.struct("ts", "event_id"))
-    return keyed.groupBy("session_key", "content_sha256").agg(
+    grouped = watched.groupBy(F.window("ts", window), "session_key", "content_sha256")
+    return grouped.agg(
         newest["ts"].alias("ts"), newest["event_id"].alias("event_id"), F.count("*").alias("copies")
     )
 

@@ -1,5 +1,7 @@
 """One reject code per bad row, suites, runs and graphs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from evidgrid.functions.identity import content_sha
@@ -231,6 +233,21 @@ def test_conflicts(spark):
     assert {r.conflict_id: r.collides for r in ru.structural_collisions(pairs, ground).collect()} == {1: True, 2: True, 3: False}
 
 
+def test_exclusive_sets_without_pairing_them(spark):
+    draw = random.Random(8)
+    sets = set()
+    for conflict in range(60):
+        for _ in range(draw.randint(1, 5)):
+            terms = tuple(sorted(draw.sample("abcde", draw.randint(1, 4))))
+            sets.add((conflict, "p", terms))
+    rows = [(c, p, list(t), draw.random() < 0.4) for c, p, t in sorted(sets)]
+    want = {
+        c for c, _, x, strict in rows for d, _, y, _ in rows if c == d and strict and set(x) - set(y) and set(y) - set(x)
+    }
+    table = spark.createDataFrame(rows, "conflict_id int, pair string, set array<string>, exclusive boolean")
+    assert {r.conflict_id for r in ru._incomparable(table).collect()} == want
+
+
 def test_detectors_respect_words_and_negation(spark):
     detectors = {"run_npm_test": ["npm test"], "run_pnpm_test": ["pnpm test"]}
     rows = [(1, ["Run `pnpm test`, not `npm test`, before creating the commit."]), (2, ["This is review-only, so do not run `pnpm test` or `npm test`."]), (3, ["Avoid it. Npm  test first, and then pnpm test"])]

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give on the same rows."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def test_dedup_streams(spark, tmp_path):
     assert sorted(r.event_id for r in latest.collect()) == sorted(r.event_id for r in batch.collect())
 
 
+def test_latest_copies_forgets_closed_windows(spark, tmp_path):
+    day, start = 86_400, 1_700_006_400  # a midnight
+    batches = [
+        [(start + 10, "same words"), (start + 20, "same words")],
+        [(start + 3 * day, "same words")],
+        [(start + 6 * day, "other words")],
+        [(start + 30, "same words")],  # too late
+        [(start + 9 * day, "last words")],
+    ]
+    for i, rows in enumerate(batches):
+        path = lines(tmp_path, f"{i}.jsonl", [{"text": t, "ts": ts, "session_id": "s"} for ts, t in rows])
+        os.utime(f"{path}/{i}.jsonl", (start + i, start + i))
+    events = st.stream_events(ad.from_history_b(st.stream_jsonl(spark, path, max_files=1)))
+    closed = memory(st.latest_copies(events), "closed")
+    assert sorted((r.ts.day, r.copies) for r in closed.collect()) == [(15, 2), (18, 1), (21, 1)]
+
+
 def test_windowed_corroboration(spark, tmp_path):
     records = [{"text": "verify release notes", "ts": 1_700_000_000 + i, "session_id": f"s{i % 3}"} for i in range(9)]
     records.append({"text": "much later entry", "ts": 1_700_900_000, "session_id": "z"})
