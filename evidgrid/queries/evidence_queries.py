@@ -19,7 +19,7 @@ from evidgrid.functions.text import (
 from evidgrid.lexicon import MAX_EVENTS
 from evidgrid.operators import evidence as ev
 from evidgrid.operators.ingest import dedup_latest, within_lookback
-from evidgrid.session import cut_lineage_counted
+from evidgrid.session import cut_lineage
 from evidgrid.queries.base import (
     AS_OF,
     DEDUPED_SQL,
@@ -227,8 +227,8 @@ def fingerprint_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("session_id"),
         *ev.corroboration_keys(fingerprint_tokens("text", plain), plain),
     )
-    keyed, rows = cut_lineage_counted(tokened)
-    found = ev.corroborate(keyed, plain, rows)
+    keyed = cut_lineage(tokened)
+    found = ev.corroborate(keyed, plain)
     return found.select(F.col("event_id").alias("doc_id"), "corroboration")
 
 
