@@ -136,7 +136,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop("removed")
 
 
-@query("op1_ngram_jaccard_join")
+@query(
+    "op1_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {SQL_UPPER}),
+                                        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i
+                FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+          FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+          WHERE 100 * c >= 85 * (a.n + b.n - c)),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+    SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+    FROM r JOIN d ON d.doc_id = r.x LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of documents that similarity links reach."""
     found = similar_documents(table(spark, sf_dir, "documents"), Scratch(spark))
