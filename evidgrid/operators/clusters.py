@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import let
 from evidgrid.functions.identity import content_sha, digest_prefix
 from evidgrid.functions.text import subject_terms, utf8_bytes
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
@@ -96,18 +95,12 @@ def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
         .agg(F.sort_array(F.collect_list("_key")).alias("terms"))
         .where(F.size("terms") >= 2)
     )
-    pairs = let(
-        F.col("terms"),
-        lambda terms: F.flatten(
-            F.transform(
-                terms,
-                lambda x, i: F.transform(
-                    F.slice(terms, i + 2, F.size(terms)), lambda y: F.md5(F.concat(x, y))
-                ),
-            )
-        ),
+    # Pairs are rows, not one array: a block with many terms is passed on piece by piece.
+    placed = usable.select("item", "terms", F.posexplode("terms").alias("at", "first"))
+    later = F.slice("terms", F.col("at") + 2, F.size("terms"))
+    keys = placed.select("item", "first", F.explode(later).alias("second")).select(
+        "item", F.md5(F.concat("first", "second")).alias("key")
     )
-    keys = usable.select("item", F.explode_outer(pairs).alias("key")).where(F.col("key").isNotNull())
     return star_edges(keys, "key", "item")
 
 

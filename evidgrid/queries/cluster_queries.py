@@ -15,9 +15,10 @@ LX = FIXTURE_LEXICON.__class__(
 )
 
 
-def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blocks of one place per language."""
+def document_blocks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as blocks of one place per language, with further columns of the documents."""
     return texts(spark, sf_dir).select(
+        *more,
         F.col("lang").alias("doc"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("block_id"),
         F.array("lang").alias("heading_path"),
@@ -225,13 +226,7 @@ FROM n LEFT JOIN d USING (lang, source, normalized) LEFT JOIN r ON n.lang = r.la
 def candidate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates inside a (language, source) section are mutable, the rest of the language context."""
     blocks = (
-        document_blocks(spark, sf_dir)
-        .join(
-            texts(spark, sf_dir).select(
-                F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("block_id"), "source"
-            ),
-            "block_id",
-        )
+        document_blocks(spark, sf_dir, "source")
         .withColumn("heading_path", F.array(F.lit("all"), F.col("doc"), F.col("source")))
         .withColumn("heading_path", F.slice("heading_path", 2, 2))
         .withColumn("protected", F.lit(False))
