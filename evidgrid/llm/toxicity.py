@@ -36,7 +36,7 @@ from evidgrid.llm.common import (
 from evidgrid.llm.rolling import BASE_RUN, REMEMBERED, Hasher, inside, mixed, signed, spread
 
 #: Training documents of each label.
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 2_000
 #: Documents of the sample that share one of so many least hashes of word runs share one vote.
 VOTES, RUN = 8, 8
 #: Evidence that a feature needs: standard errors, and the log-odds themselves.
