@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import extract_all, strip
+from evidgrid.functions.exprs import strip
 from evidgrid.functions.identity import canonical_digest, independence_key, safe_line
 from evidgrid.functions.redaction import has_high, redact, residual_secrets
 from evidgrid.functions.text import (
     catch_alls,
     code_anchors,
-    collapse_spaces,
     extract_terms,
     has_stage_gate,
     iso_instant,

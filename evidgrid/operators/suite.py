@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import col, extract_all, let, prefix_sums, strings
+from evidgrid.functions.exprs import col, extract_all, let, prefix_sums
 from evidgrid.functions.text import label_key
 
 # Limits of a suite.

@@ -16,7 +16,6 @@ from evidgrid.queries.base import (
     query,
     sql_iso,
     sql_list,
-    sql_tokens,
     table,
     texts,
 )
