@@ -24,8 +24,6 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 #: Bytes of text that a task turns into Python objects at once; a longer single text stands alone.
 SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: White space that ends a word: blank and the controls 9 to 13; all other bytes belong to words.
-BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
