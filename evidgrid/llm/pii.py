@@ -2,13 +2,14 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns with checks. A tagger is trained in
 numpy from labelled spans: the base spans of a bounded sample, half of them rewritten in forms that
-the patterns miss (at signs spelled out, numbers without a country code or with other separators).
-Its spans are added where they meet the checks of their kind and touch no base span.
-
-A span of any kind has a digit or an at sign, or an at spelled out next to them; a window without a
-digit and an at sign cannot yield a span that meets the checks, so the tagger need not see it. All
-other windows of a text are decoded, at any length: they overlap by half, and each character takes
-its label from the window in which it stands furthest from the border.
+the patterns miss (at signs spelled out, with and without digits in the address; cards and numbers
+with other separators; numbers without a country code). Its spans are added where they meet the
+checks of their kind and touch no base span.
+
+A text that meets the checks of a kind has a digit, an at sign, or an at spelled out before a domain.
+Windows with one of these are decoded, and from them on, in both directions, as many more as a tagged
+span goes on; what is found is what decoding all windows would find. Windows overlap by half, and
+each character takes its label from the window in which it stands furthest from the border.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ TRAIN_ROWS = 1_500
 #: Training windows at most.
 TRAIN_WINDOWS = 4_000
 WINDOW, STEP = 96, 48
-EMBED, HIDDEN, BATCH, EPOCHS, RATE = 12, 16, 64, 6, 0.01
+EMBED, HIDDEN, BATCH, EPOCHS, RATE = 12, 16, 64, 6, 0.03
 LABELS = 1 + 2 * len(KINDS)
 CHARACTERS = 128
 
@@ -40,7 +41,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]? ?(?:@|at) ?[)\]]? ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]+ ?[(\[]? ?(?:@|[Aa][Tt]) ?[)\]]? ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+)
+#: An at that stands as a word before a domain.
+AT_DOMAIN = re.compile(r"(?<![A-Za-z])[Aa][Tt](?![A-Za-z]) ?[)\]]? ?[A-Za-z0-9-]++\.[A-Za-z0-9-]")
 
 Span = tuple[int, int, int]  # kind, start, end in code points
 
@@ -104,7 +109,8 @@ def base_spans(text: str) -> list[Span]:
 def meets_checks(kind: int, text: str) -> bool:
     """Whether a tagged text could be of its kind."""
     if kind == 0:
-        return SPELLED.fullmatch(text) is not None and TRIGGER.search(text) is not None
+        marked = TRIGGER.search(text) or AT_DOMAIN.search(text)
+        return SPELLED.fullmatch(text) is not None and marked is not None
     if kind == 1:
         return IP.fullmatch(text) is not None and valid_ip(text)
     return valid_card(text) if kind == 2 else valid_phone(text)
@@ -272,38 +278,43 @@ class Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that have a digit or an at sign."""
+    """Starts of the overlapping windows that have a digit, an at sign or an at before a domain."""
     starts = set()
-    for found in TRIGGER.finditer(text):
-        last = found.start() // STEP
-        starts.update(k * STEP for k in (last - 1, last) if k >= 0)
+    for pattern in (TRIGGER, AT_DOMAIN):
+        for found in pattern.finditer(text):
+            last = found.start() // STEP
+            starts.update(k * STEP for k in (last - 1, last) if k >= 0)
     return sorted(starts)
 
 
 def tag(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     """Tagged spans of whole texts: windows are decoded together and joined per text."""
-    places, rows = [], []
-    points = []
-    for number, text in enumerate(texts):
-        starts = window_starts(text)
-        points.append(codes(text) if starts else None)
-        for start in starts:
-            row = np.zeros(WINDOW, np.int64)
-            part = points[number][start : start + WINDOW]
-            row[: len(part)] = part
-            rows.append(row)
-            places.append((number, start))
+    wanted = [(n, start) for n, text in enumerate(texts) for start in window_starts(text)]
+    points = {n: codes(texts[n]) for n in {n for n, _ in wanted}}
+    known = set(wanted)
     labels: dict[int, dict[int, int]] = {}
     margin = (WINDOW - STEP) // 2
-    for first in range(0, len(rows), 256):
-        decoded = tagger.decode(np.stack(rows[first : first + 256]))
-        for (number, start), line in zip(places[first : first + 256], decoded, strict=True):
-            seen = labels.setdefault(number, {})
-            for offset in np.flatnonzero(line):
-                inner = margin <= offset < margin + STEP
+    while wanted:
+        beside = []
+        for first in range(0, len(wanted), 256):
+            places = wanted[first : first + 256]
+            rows = np.zeros((len(places), WINDOW), np.int64)
+            for row, (number, start) in zip(rows, places, strict=True):
+                part = points[number][start : start + WINDOW]
+                row[: len(part)] = part
+            for (number, start), line in zip(places, tagger.decode(rows), strict=True):
+                seen = labels.setdefault(number, {})
                 # The middle of a window decides; its borders only count where no middle reaches.
-                if inner or (start == 0 and offset < margin):
+                low, high = margin if start else 0, margin + STEP
+                for offset in np.flatnonzero(line[low:high]) + low:
                     seen[start + int(offset)] = int(line[offset])
+                # A span that goes on beyond the middle is followed into the next window.
+                if start and line[low] and line[low] % 2 == 0:
+                    beside.append((number, start - STEP))
+                if line[high - 1] and start + high < len(points[number]):
+                    beside.append((number, start + STEP))
+        wanted = sorted(set(beside) - known)
+        known.update(wanted)
     out: list[list[Span]] = [[] for _ in texts]
     for number, seen in labels.items():
         spans, current = [], None
@@ -327,6 +338,10 @@ def find_spans(tagger: Tagger | None, texts: list[str]) -> Iterator[tuple[list[S
         edges = [start for start, _ in taken]
         added = []
         for kind, start, end in more:
+            while kind == 0 and start > 0 and text[start - 1] in LOCAL:
+                start -= 1
+            while kind == 0 and end < len(text) and text[end] in LOCAL:
+                end += 1
             while start < end and text[start] in " .,;:":
                 start += 1
             while end > start and text[end - 1] in " .,;:":
@@ -341,13 +356,31 @@ def find_spans(tagger: Tagger | None, texts: list[str]) -> Iterator[tuple[list[S
 # --- training -------------------------------------------------------------------------------------
 
 
+def made_up(draw: np.random.Generator, least: int) -> str:
+    """``least`` to ``least`` + 2 words with dots between them, one in eight with a digit."""
+    words = []
+    for _ in range(least + int(draw.integers(0, 3))):
+        word = "".join(draw.choice(list("aaeeiioubcdfghklmnprstvw"), int(draw.integers(2, 13))))
+        words.append(word + (str(draw.integers(0, 10)) if draw.random() < 0.125 else ""))
+    return ".".join(words)
+
+
 def rewritten(kind: int, text: str, draw: np.random.Generator) -> str:
     """A form of a span that its pattern does not match."""
     if kind == 0:
-        return text.replace("@", draw.choice([" (at) ", " [at] ", " at "]))
+        local, domain = text.split("@")
+        if draw.random() < 0.75:  # an address of other words, mostly without digits
+            local, domain = made_up(draw, 1), made_up(draw, 2)
+        return local + draw.choice([" (at) ", " [at] ", " at ", " AT "]) + domain
+    if kind == 2:
+        number, apart = digits(text), str(draw.choice([".", "/", "  ", " - "]))
+        return apart.join(number[i : i + 4] for i in range(0, len(number), 4))
     if kind == 3:
         tail = text[1:].lstrip("0123456789").lstrip()
-        return tail if valid_phone(tail) else text
+        tail = tail if valid_phone(tail) else text[1:]
+        if draw.random() < 0.5:
+            tail = str(draw.choice([".", "/", " "])).join(re.findall("[0-9]+", tail))
+        return tail
     return text
 
 
@@ -385,6 +418,13 @@ def training_windows(
     return np.array(rows)[order], np.array(marks)[order]
 
 
+def balanced(marks: np.ndarray) -> np.ndarray:
+    """Chance of every window to be drawn: all kinds are drawn alike, emails twice as often."""
+    kinds = np.array([next((k for k in range(4) if (row == 2 * k + 1).any()), 4) for row in marks])
+    weights = np.array([2.0, 1, 1, 1, 1])[kinds] / np.bincount(kinds, minlength=5)[kinds]
+    return weights / weights.sum()
+
+
 def train(docs: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Tagger | None:
     """Tagger from the base spans of at most ``rows`` documents; None if none has a span.
 
@@ -411,8 +451,9 @@ def train(docs: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Tagger |
     tagger = Tagger()
     adam = Adam(tagger.parameters, RATE)
     turns = max(EPOCHS * -(-len(x) // BATCH), 200)
+    share = balanced(y)
     for _ in range(turns):
-        chosen = draw.integers(0, len(x), min(BATCH, len(x)))
+        chosen = draw.choice(len(x), min(BATCH, len(x)), p=share)
         tagger.step(x[chosen], y[chosen], adam)
     return tagger
 

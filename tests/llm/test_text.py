@@ -4,6 +4,7 @@ import base64
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import corpus, frame, sentence
 
@@ -209,3 +210,51 @@ def test_tagger_learns_and_adds_spans(spark):
     assert out[3].spans == [] and out[40].spans == []
     assert pii.train(frame(spark, [(1, "no data")]), Scratch(spark)) is None
     assert pii.personal_data(frame(spark, []), None).count() == 0
+
+
+def test_spelled_emails_of_letters_alone(spark):
+    draw = random.Random(6)
+    rows = [
+        (i, f"{sentence(i, 12)} {sentence(2 * i, 1)}.{draw.randint(10, 99)}@mail{i % 7}.example.com "
+            f"{sentence(i + 1, 9)} 4111-1111-1111-1111 and +1 (274) 555-{draw.randint(1000, 9999)} end")
+        for i in range(300)
+    ]
+    tagger = pii.train(frame(spark, rows), Scratch(spark))
+    found = 0
+    for i in range(20):
+        for form in ("jane.doe (at) example.com", "firstname.familyname (at) department.example2.org"):
+            text = f"{sentence(i, 5 * i)} {form} {sentence(i + 1, 30)}"
+            _, spans = next(pii.find_spans(tagger, [text]))
+            at = text.index(form)
+            found += (0, at, at + len(form)) in spans
+    assert found >= 36
+    for word in ("at", "AT"):
+        assert pii.meets_checks(0, f"jane.doe {word} example.com")
+    assert not pii.meets_checks(0, "whatever.com")
+
+
+class Marker:
+    """A tagger that labels everything but blanks as the inside of an email."""
+
+    def decode(self, x):
+        return np.array([np.where(row > 0, [2] * len(row), 0) * (row != 32) for row in x])
+
+
+def test_skipped_windows_hold_no_span():
+    long = f"{'a' * 400} (at) {'b' * 300}.org"
+    prose = sentence(1, 90).replace("at", "xx")
+    text = f"{prose} {long} {prose}"
+    assert len(pii.window_starts(text)) == 2 and pii.window_starts(prose) == []
+    middle = text.index("(at)")
+    first, last = text.index("a" * 400), text.index(".org") + 3
+    spans = pii.tag(Marker(), [text])[0]
+    assert any(s <= first and e == first + 400 for _, s, e in spans)
+    assert any(s == middle + 5 and e > last for _, s, e in spans)
+
+
+def test_rewritten_numbers_are_not_patterns():
+    draw = np.random.default_rng(1)
+    for kind, text in ((2, "4111-1111-1111-1111"), (2, "4111111111111111"), (3, "+1 (274) 555-9629")):
+        for _ in range(20):
+            form = pii.rewritten(kind, text, draw)
+            assert pii.base_spans(form) == [] and pii.meets_checks(kind, form)
