@@ -56,6 +56,11 @@ OUTSIDE_NAMES = frozenset(
     "related replies reply search share sharing sidebar social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
+#: Elements that no class, id or role puts outside.
+WHOLE = frozenset("html body main article".split())
+#: Where a block stands: in the page, in an article under an outside name, outside by a name (an
+#: article in it is free of that name), outside by its element.
+INSIDE, UNDER, NAMED, OUT = range(4)
 #: An element that ends others left open: the new tag, and what it closes.
 ENDS = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -77,9 +82,9 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[str] = []  # paths of tags and blocks, in page order
-        self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, outside, in article
+        self.blocks: list[tuple[str, str, int, int]] = []  # path, text, state, 1 in main, 2 in article
         self.at: list[int] = []  # token number of each block
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        stack: list[tuple[str, str, int, int]] = [("", "", INSIDE, 0)]
         pending: list[str] = []
         place = stack[0]
 
@@ -99,7 +104,7 @@ class Page:
             if found.start() > last:
                 if not pending:
                     place = next(e for e in reversed(stack) if e[0] in BLOCKS or not e[0])
-                    if stack[-1][2]:
+                    if stack[-1][2] >= NAMED:
                         place = stack[-1]
                 pending.append(html.unescape(source[last : found.start()]))
             last = found.end()
@@ -114,7 +119,7 @@ class Page:
                     continue
                 level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if level:
-                    if any(entry[0] in BLOCKS or entry[2] for entry in stack[level:]):
+                    if any(entry[0] in BLOCKS or entry[2] >= NAMED for entry in stack[level:]):
                         flush()
                     del stack[level:]
                 continue
@@ -128,19 +133,27 @@ class Page:
                         break
             _, path, outside, article = stack[-1]
             named = self._names(found["attributes"]) if found["attributes"] else ()
-            out = outside or tag in OUTSIDE or self._excluded(named)
-            if out and not outside:
+            if outside == OUT or tag in OUTSIDE and not (tag == "header" and article):
+                out = OUT
+            elif tag in WHOLE:
+                out = min(outside, UNDER) if tag == "article" else INSIDE
+            elif self._excluded(named, bool(article)):
+                out = NAMED
+            else:
+                out = outside
+            if out >= NAMED > outside:
                 flush()
             label = tag + "".join(f".{value}" for key, value in named if key == "class")
             path = f"{path}/{label}"
             self.tokens.append(path)
             if tag not in VOID:
-                inside = article or tag in ("article", "main") or ("role", "main") in named
+                inside = max(article, int(tag == "main" or ("role", "main") in named))
+                inside = 2 if tag == "article" else inside
                 stack.append((tag, path, out, inside))
         if last < len(source):
             if not pending:
                 place = next(e for e in reversed(stack) if e[0] in BLOCKS or not e[0])
-                if stack[-1][2]:
+                if stack[-1][2] >= NAMED:
                     place = stack[-1]
             pending.append(html.unescape(source[last:]))
         flush()
@@ -152,18 +165,25 @@ class Page:
         ]
 
     @staticmethod
-    def _excluded(named: Iterable[tuple[str, str]]) -> bool:
+    def _excluded(named: Iterable[tuple[str, str]], article: bool) -> bool:
+        """Whether a whole class, id or role is an outside name or made of such names only."""
         for key, value in named:
-            words = re.split(r"[^a-z0-9]+", value)
-            if not OUTSIDE_NAMES.isdisjoint(words):
-                return True
-            if key == "role" and not OUTSIDE_ROLES.isdisjoint(words):
-                return True
+            for token in value.split():
+                if key == "role" and token in OUTSIDE_ROLES:
+                    return True
+                if article and token == "header":
+                    continue
+                if token and all(part in OUTSIDE_NAMES for part in re.split("[-_]+", token)):
+                    return True
         return False
 
     def main_text(self, template: frozenset[int] | None) -> str:
-        """Blocks of the article that are no template text, joined in page order."""
-        kept = [block for block in self.blocks if not block[2]]
+        """Blocks of the article that are no template text, joined in page order.
+
+        Articles under an outside name (comments, related) count if the page has no other article.
+        """
+        free = any(state == INSIDE and article == 2 for _, _, state, article in self.blocks)
+        kept = [block for block in self.blocks if block[2] <= (INSIDE if free else UNDER)]
         if any(article for *_, article in kept):
             kept = [block for block in kept if block[3]]
         if template:

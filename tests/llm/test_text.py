@@ -87,6 +87,30 @@ def test_pages_without_article_and_broken_pages():
     assert Page("</p></div></nav>a</b>").main_text(None) == "a"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<html class="no-ads"><body class="has-sidebar"><p>text</p></body></html>',
+        '<body class="sidebar"><article id="comments" class="post comments-open">text</article></body>',
+        '<div id="page" class="header-fixed"><p>text</p></div>',
+        '<div class="widget"><div class="search"><article>text</article></div></div>',
+        '<div class="social">no<main id="search-results" class="search" role="form">text</main></div>',
+        '<main id="search"><div class="related">no<article>text</article></div></main>',
+        '<article>text</article><div class="related"><article>no</article></div>',
+        '<article>text<div class="comments"><article>no</article></div></article>',
+        '<p>text</p><div class="cookie-banner">no</div>',
+    ],
+)
+def test_names_take_no_whole_article(source):
+    assert Page(source).main_text(None) == "text"
+
+
+def test_header_of_an_article_stays():
+    for header in ("<header>", "<header class='entry-header'>", "<header class='header'>"):
+        source = f"<header>no</header><article>{header}<h1>Head</h1></header><p>text</p></article>"
+        assert Page(source).main_text(None) == "Head text"
+
+
 def test_template_text_goes_and_slots_stay(spark):
     rows = [(i, f"https://h.example/{i}", page(f"<p>{sentence(i, 9)}</p>"), "?") for i in range(8)]
     rows += [(100 + i, "https://other.example/", page(f"<p>{sentence(i, 9)}</p>"), "?") for i in (1, 2)]
