@@ -6,8 +6,10 @@ Tokens with the same vector form an equivalence class; a class is kept if enough
 Classes that keep their order are nested by position into the host's template. What a page has
 beside its template are the slots; the main text is made of the slots in the article.
 
-A vector is never collected: pages and occurrences are added up and a hash per page is combined by
-exclusive or, so a host with a third of all pages is aggregated like any other. Only the frequent
+Equal pages of a host count once: each of n copies counts as the inverse of n modulo a prime, so that
+the copies add up to exactly one and no page has to be chosen or moved.
+
+A vector is never collected: pages, occurrences and a hash per page are added up, so a host with a third of all pages is aggregated like any other. Only the frequent
 tokens of a host, fewer than some times the tokens of a page, meet in one place.
 """
 
@@ -22,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import Scratch, lean, text_slices
+from evidgrid.llm.common import Scratch, join_keys, lean, text_slices
 
 #: A class needs this many pages and this share of the host's pages, and so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 5, 0.6, 2
@@ -74,7 +76,8 @@ PIECE = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
-HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
+#: Sums over the pages of a host are taken modulo this prime.
+PRIME = (1 << 61) - 1
 
 
 class Page:
@@ -195,20 +198,39 @@ def token_hash(token: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(token)).astype(np.int64))
 
 
-def host_of(url: str | None) -> str:
-    found = HOST.match(url or "")
-    return found[1].lower() if found else ""
+def host() -> Column:
+    url = F.coalesce("url", F.lit(""))
+    return F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def with_copies(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, html and the number of pages of the host with the same html."""
+    marked = pages.select(
+        host().alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("mark"), "html"
+    )
+    several = scratch.save(
+        marked.groupBy("host", "mark").agg(F.count("*").alias("copies")).where("copies > 1"), "copies"
+    )
+    counted = join_keys(marked, several, ["host", "mark"], "left")
+    return counted.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Partial aggregates of the occurrence vectors: one row per host, token and part of a task."""
+    """Partial aggregates of the occurrence vectors: one row per host, token and part of a task.
+
+    ``pages`` has host, html and copies. ``pages``, ``total`` and ``vector`` are to be added up
+    modulo ``PRIME``.
+    """
     names = ["host", "token", "text", "pages", "total", "vector", "place"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
 
         def emit() -> pa.RecordBatch:
-            rows = [(host, token, *values) for (host, token), values in held.items()]
+            rows = [
+                (host, token, text, *(value % PRIME for value in sums), place)
+                for (host, token), (text, *sums, place) in held.items()
+            ]
             held.clear()
             columns = list(zip(*rows, strict=True))
             kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64()]
@@ -217,10 +239,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
             )
 
         for batch, sources in text_slices(batches, "html"):
-            urls = batch.column(batch.schema.get_field_index("url")).to_pylist()
-            for url, source in zip(urls, sources, strict=True):
-                host, page = host_of(url), Page(source.decode())
-                name = xxhash.xxh3_64(f"{url}\0").intdigest() ^ xxhash.xxh3_64_intdigest(source)
+            hosts, copies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for host, source, many in zip(hosts, sources, copies, strict=True):
+                page = Page(source.decode())
+                name, part = xxhash.xxh3_64_intdigest(source), pow(many, -1, PRIME)
                 texts = set(page.at)
                 first: dict[str, int] = {}
                 for i, token in enumerate(page.tokens):
@@ -230,24 +252,28 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     entry = held.setdefault(
                         (host, token_hash(token)), [first[token] in texts, 0, 0, 0, 0.0]
                     )
-                    entry[1] += 1
-                    entry[2] += count
-                    entry[3] ^= int(np.uint64(mark).astype(np.int64))
-                    entry[4] += first[token] / len(page.tokens)
+                    entry[1] += part
+                    entry[2] += count * part
+                    entry[3] += mark * part
+                    entry[4] += first[token] / len(page.tokens) / many
                 entry = held.setdefault((host, 0), [False, 0, 0, 0, 0.0])
-                entry[1] += 1
+                entry[1] += part
                 if len(held) > HELD:
                     yield emit()
         if held:
             yield emit()
 
-    return pages.select("url", "html").mapInArrow(
+    return pages.select("host", "html", "copies").mapInArrow(
         lean(run),
         "host string, token bigint, text boolean, pages bigint, total bigint, vector bigint, "
         "place double",
     )
 
 
+def added(name: str) -> Column:
+    return (F.sum(F.col(name).cast("decimal(20,0)")) % F.lit(PRIME)).cast("long")
+
+
 def nested(tokens: pd.DataFrame) -> pd.DataFrame:
     """Classes of one host with their parents; ``tokens`` are its frequent tokens.
 
@@ -294,14 +320,14 @@ def nested(tokens: pd.DataFrame) -> pd.DataFrame:
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Template of every host: host, class, parent class, rank, token (hash), whether it is text."""
     vectors = scratch.save(
-        occurrences(pages)
+        occurrences(with_copies(pages, scratch))
         .groupBy("host", "token")
         .agg(
             F.max("text").alias("text"),
-            F.sum("pages").alias("pages"),
-            F.sum("total").alias("total"),
-            F.bit_xor("vector").alias("vector"),
-            (F.sum("place") / F.sum("pages")).alias("place"),
+            added("pages").alias("pages"),
+            added("total").alias("total"),
+            added("vector").alias("vector"),
+            (F.sum("place") / added("pages")).alias("place"),
         )
         .where(F.col("pages") >= LEAST_PAGES),
         "vectors",
@@ -325,11 +351,8 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, given the templates of its host."""
     texts = template.where("text").groupBy("host").agg(F.collect_set("token").alias("tokens"))
-    host = F.lower(
-        F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    )
     keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")
+        F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host")
     )
     small = template.count() <= BROADCAST_TOKENS
     joined = keyed.join(F.broadcast(texts) if small else texts, "host", "left")

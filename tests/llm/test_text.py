@@ -128,6 +128,24 @@ def test_template_text_goes_and_slots_stay(spark):
     assert main_texts(docs.limit(0), Scratch(spark)).count() == 0
 
 
+def test_copies_count_as_one_page(spark):
+    own = "<p>first block</p><p>second block</p>"
+    rows = [(i, f"https://h.example/{i % 3}", f"<article>{own}</article>") for i in range(7)]
+    rows += [(10 + i, f"https://h.example/o{i}", f"<p>{sentence(i, 9)}</p>") for i in range(3)]
+    rows += [(20 + i, "https://h.example/x", f"<p>{sentence(20, 9)}</p>") for i in range(2)]
+    # Another host: copies of one page do not hide the template of the others.
+    rows += [
+        (100 + i, f"https://t.example/{i}", f"<p>Top</p><p>{sentence(min(i, 7), 9)}</p><p>End</p>")
+        for i in range(20)
+    ]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in main_texts(docs, Scratch(spark)).collect()}
+    assert len(found) == len(rows)
+    assert all(found[i] == "first block second block" for i in range(7))
+    assert found[11] == sentence(1, 9) and found[20] == found[21] == sentence(20, 9)
+    assert all(found[100 + i] == sentence(min(i, 7), 9) for i in range(20))
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 
