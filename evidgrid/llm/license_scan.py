@@ -4,21 +4,25 @@ Texts are brought into a canonical form: copyright lines go, A-Z is lower-cased,
 white space become one blank, equivalent spellings become one. The SHA-256 of the canonical form is
 joined with the digests of known license texts and notices. Units that are looked up are whole
 texts, their paragraphs and their lines. Only texts with a word that some known text cannot do
-without are put into canonical form; a text without any of these words cannot equal one.
+without are put into canonical form; a text without any of these words cannot equal one. The known
+texts are an argument; those that come with the package are in ``KNOWN``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid.llm.common import LOWER, UPPER
 
-# License texts and notices, as published, without their copyright lines.
+# Default known texts: notices, license texts as published, without their copyright lines, and the
+# whole texts in the folder ``licenses``, one file per license.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
 and associated documentation files (the "Software"), to deal in the Software without restriction,
 including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
@@ -67,6 +71,15 @@ KNOWN = {
     "Zlib": [ZLIB],
     "all-rights-reserved": ["All rights reserved."],
 }
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+APPENDIX = "APPENDIX: How to apply the Apache License to your work."
+for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+    whole = file.read_text(encoding="utf-8")
+    forms = [f"{TITLES[file.stem]}\n\n{whole}", whole] if file.stem in TITLES else [whole]
+    if APPENDIX in whole:  # often left off
+        forms.append(whole[: whole.index(APPENDIX)])
+    KNOWN[file.stem] = KNOWN.get(file.stem, []) + forms
+
 #: Equivalent spellings, replaced in this order wherever they stand.
 SPELLINGS = (
     ("licence", "license"),
@@ -107,19 +120,49 @@ def known_digests() -> list[tuple[str, str]]:
     ]
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def needed_words(canonical_texts: Iterable[str]) -> tuple[str, ...]:
+    """Words of which every text has one; none if some text has no word that could be looked for.
+
+    ``NEEDED`` first, then the longest word of each text that is left. A word must stand in the raw
+    texts too: ASCII, and no result of ``SPELLINGS``.
+    """
+    words = set(NEEDED)
+    for text in canonical_texts:
+        if any(word in text for word in words):
+            continue
+        able = [
+            word
+            for word in text.split(" ")
+            if word.isascii() and not any(new in word for _, new in SPELLINGS)
+        ]
+        if not able:
+            return ()
+        words.add(max(able, key=lambda word: (len(word), word)))
+    return tuple(sorted(words))
+
+
+def scan(docs: DataFrame, texts_known: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, whole_license, n_units, licenses.
 
-    ``whole_license`` is the license that the whole text is (null if none), ``n_units`` the number
-    of different units (whole text, paragraphs, lines) that are a known text, ``licenses`` their
-    licenses, sorted. Null and empty texts have none. Rows that repeat an id are judged by their own
-    texts; a null id is kept. An empty table gives an empty table; other columns are not looked at.
+    ``texts_known`` (license, text) are the texts to look for, as many as the driver can hold;
+    without it those of ``KNOWN``. ``whole_license`` is the license that the whole text is (null if
+    none), ``n_units`` the number of different units (whole text, paragraphs, lines) that are a known
+    text, ``licenses`` their licenses, sorted. Null and empty texts have none. Rows that repeat an id
+    are judged by their own texts; a null id is kept. An empty table gives an empty table; other
+    columns are not looked at.
     """
     spark = docs.sparkSession
-    values = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digests())
+    digests, needed = known_digests(), NEEDED
+    if texts_known is not None:
+        forms = texts_known.select("license", canonical(F.col("text")).alias("form"))
+        rows = forms.where("license IS NOT NULL AND form != ''").distinct().collect()
+        digests = [(hashlib.sha256(r.form.encode()).hexdigest(), r.license) for r in rows]
+        needed = needed_words(r.form for r in rows)
+    quoted = [(d, n.replace("\\", "\\\\").replace("'", "\\'")) for d, n in digests]
+    values = ", ".join(f"('{digest}', '{name}')" for digest, name in quoted or [("", "")])
     known = spark.sql(f"SELECT * FROM VALUES {values} AS known(digest, license)")
     folded = F.lower(F.col("text"))
-    possible = reduce(lambda a, b: a | b, [folded.contains(word) for word in NEEDED])
+    possible = reduce(lambda a, b: a | b, [folded.contains(w) for w in needed], F.lit(not needed))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = texts.withColumn("mark", F.xxhash64("text"))
     units = F.array_distinct(
@@ -127,7 +170,8 @@ def scan(docs: DataFrame) -> DataFrame:
             F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", r"\n")
         )
     )
-    able = reduce(lambda a, b: a | b, [F.lower("unit").contains(word) for word in NEEDED])
+    lowered = F.lower("unit")
+    able = reduce(lambda a, b: a | b, [lowered.contains(w) for w in needed], F.lit(not needed))
     looked_up = (
         marked.where(possible)
         .select("doc_id", "mark", F.length("text").alias("size"), F.explode(units).alias("unit"))

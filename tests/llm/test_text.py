@@ -50,6 +50,26 @@ def test_every_known_text_has_a_needed_word():
             assert any(word in canonical_text(text) for word in NEEDED)
 
 
+def test_whole_texts_of_more_licenses(spark):
+    names = [name for name in KNOWN if len(KNOWN[name][-1]) > 1_000]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "Unlicense"} <= set(names)
+    rows = [(i, f"Copyright (c) 2020 Someone\n\n{KNOWN[name][-1].upper()}") for i, name in enumerate(names)]
+    out = {r.doc_id: r for r in scan(frame(spark, rows)).collect()}
+    assert [out[i].whole_license for i in range(len(names))] == names
+
+
+def test_known_texts_as_an_argument(spark):
+    texts = [("Own'1", "You may use this freely."), ("Own-2", "Per cent favour"), ("Own-3", "©é"), ("No", " -")]
+    rows = [(1, "you MAY use, this freely"), (2, "percent favor"), (3, "x\n\n É\n\n©É\né"), (4, MIT), (5, "--")]
+    for count in (1, 2, 4):
+        known = spark.createDataFrame(texts[:count], "license string, text string")
+        out = {r.doc_id: r for r in scan(frame(spark, rows), known).collect()}
+        assert out[1].whole_license == "Own'1"
+        assert out[2].whole_license == ("Own-2" if count > 1 else None)
+        assert out[4].licenses == out[5].licenses == ""
+    assert scan(frame(spark, rows), known.limit(0)).count() == len(rows)
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 
