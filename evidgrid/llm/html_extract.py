@@ -3,8 +3,9 @@
 Tokens of a page are its tags and its text blocks, each told apart by the path of open elements.
 Over the pages of one host every token has an occurrence vector: how often it stands in which page.
 Tokens with the same vector form an equivalence class; a class is kept if enough pages have it.
-Classes that keep their order are nested by position into the host's template. What a page has
-beside its template are the slots; the main text is made of the slots in the article.
+Classes that keep their order are nested by position into the host's template. The main text is
+what the article, told by elements, roles and names, has beside the text blocks of the template; the
+nesting is not used to cut pages into slots.
 
 Equal pages of a host count once: each of n copies counts as the inverse of n modulo a prime, so that
 the copies add up to exactly one and no page has to be chosen or moved.
