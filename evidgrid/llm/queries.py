@@ -16,6 +16,7 @@ from evidgrid.llm.exact_dedup import mark_copies
 from evidgrid.llm.html_extract import main_texts
 from evidgrid.llm.jaccard_join import similar_documents
 from evidgrid.llm.license_scan import COPYRIGHT_LINE, OTHER, SPELLINGS, known_digests, scan
+from evidgrid.llm.source_audit import source_audit
 from evidgrid.llm.substring_dedup import repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +241,40 @@ KNOWN_SQL = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digest
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the known licenses that it is or quotes as a paragraph or line."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_source_audit",
+    f"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), {SQL_UPPER}),
+                                         '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+    t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs
+          FROM (SELECT lang, source, k, unnest(w) AS term
+                FROM (SELECT *, row_number() OVER () AS k FROM d)) GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n) AS total FROM t GROUP BY ALL HAVING sum(docs) >= 30),
+    l AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT g.lang, g.source, kept.term, coalesce(t.n, 0)::HUGEINT AS n,
+                 kept.total::HUGEINT AS m, l.v, l.total::HUGEINT AS lang_total,
+                 sum(coalesce(t.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS group_total
+          FROM g JOIN kept USING (lang) JOIN l USING (lang)
+          LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = kept.term),
+    p AS (SELECT *, 1 + (1000000000 * (n + 5)) // (group_total + 5 * v) AS p,
+                 1 + (1000000000 * (m + 5)) // (lang_total + 5 * v) AS q FROM c),
+    pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b USING (lang)
+              WHERE a.source <> b.source),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+    r AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value
+          FROM pairs LEFT JOIN f USING (lang, source, item)
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part
+                                       ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+    SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (lang, source) group with its distance to other sources and its leading terms."""
+    return source_audit(table(spark, sf_dir, "documents"), Scratch(spark))
