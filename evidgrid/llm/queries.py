@@ -13,9 +13,11 @@ from evidgrid.llm.byte_bpe import round_trip
 from evidgrid.llm.common import Scratch, table
 from evidgrid.llm.decontaminate import contamination
 from evidgrid.llm.exact_dedup import mark_copies
+from evidgrid.llm.hard_negatives import hard_negatives
 from evidgrid.llm.html_extract import main_texts
 from evidgrid.llm.jaccard_join import similar_documents
 from evidgrid.llm.license_scan import COPYRIGHT_LINE, OTHER, SPELLINGS, known_digests, scan
+from evidgrid.llm.simhash_neardup import near_duplicates
 from evidgrid.llm.source_audit import source_audit
 from evidgrid.llm.substring_dedup import repeated_spans
 
@@ -278,3 +280,36 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (lang, source) group with its distance to other sources and its leading terms."""
     return source_audit(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                 list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id
+                              ORDER BY score DESC, id)::INTEGER AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor and positive with the rows of other labels that score almost as high."""
+    return hard_negatives(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+@query("op11_simhash_neardup")
+def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component that near fingerprints reach."""
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
