@@ -30,10 +30,13 @@ from evidgrid.llm.components import components
 SHINGLE, SEED = 3, 42
 #: Fingerprints link when at most so many of their 64 bits differ.
 DISTANCE = 3
-#: Fingerprints from which the tree of the shards is made, and points of a shard aimed at.
-SAMPLE, SHARD = 1 << 17, 1 << 14
+#: Fingerprints from which the tree of the shards is made, and points of a shard aimed at. Every level
+#: of that tree sends border points twice, so it is no deeper than parallel work and memory need.
+SAMPLE, SHARD = 1 << 17, 1 << 18
+#: A shard has this part of the points at most, so that small inputs are spread as well.
+SPREAD = 12
 #: Points that one task takes; larger shards are cut into pairs of parts.
-MOST = 1 << 18
+MOST = 1 << 21
 #: Points of a leaf that are all compared; vantage points that are tried for a node.
 LEAF, TRIES = 512, 4
 #: A split must save this share of the comparisons.
@@ -264,7 +267,8 @@ def near_links(
     step = max(1, -(-total // sample))
     some = points.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).select("fp")
     drawn = some.toArrow().column("fp").to_numpy().view(np.uint64)  # about ``sample`` numbers
-    tree, _ = grow(np.sort(drawn), max(1, shard // step), distance)
+    most_drawn = max(1, min(shard // step, len(drawn) // SPREAD))
+    tree, _ = grow(np.sort(drawn), most_drawn, distance)
     shared = points.sparkSession.sparkContext.broadcast(tree)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ def test_every_near_pair_meets_in_a_shard():
             assert any(int(point) in part and int(other) in part for part in held)
 
 
-@pytest.mark.parametrize(("sample", "shard", "most"), [(1 << 17, 1 << 14, 1 << 18), (300, 64, 100)])
+@pytest.mark.parametrize(("sample", "shard", "most"), [(1 << 17, 1 << 18, 1 << 21), (300, 64, 100)])
 def test_shards_and_parts_lose_no_link(spark, sample, shard, most):
     points = clouds(4)
     table = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp bigint")
