@@ -8,6 +8,8 @@ from evidgrid.queries import (  # noqa: F401
     graph_queries,
     rule_queries,
     run_queries,
+    source_queries,
+    stream_queries,
     text_queries,
 )
 from evidgrid.queries.base import ORACLES, QUERIES

@@ -7,6 +7,7 @@ regex dialect.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evidgrid.functions.identity import content_sha, event_id
 from evidgrid.lexicon import Lexicon
-from evidgrid.session import READ_CONF
+from evidgrid.session import READ_CONF, checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +66,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return rows.repartition(int(parts), keys[name]) if parts else rows
 
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder that all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 

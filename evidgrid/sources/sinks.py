@@ -82,10 +82,14 @@ def verify_blobs(spark: SparkSession, path: str) -> DataFrame:
     return corrupt_blobs(spark.read.parquet(path))
 
 
-def scan_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Plans of all run folders (run_id, plan VARIANT); folders without a valid plan are left out."""
-    files = spark.read.text(f"{path}/*/plan.json", wholetext=True).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_id"),
+def scan_runs(spark: SparkSession, path: str, name: str = "plan.json") -> DataFrame:
+    """Plans of all run folders (run_id, plan VARIANT); folders without a valid plan are left out.
+
+    A folder is named by its run, or by a column and its run (``run_id=...``) as Spark writes it.
+    """
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    files = spark.read.text(f"{path}/*/{name}", wholetext=True).select(
+        F.regexp_replace(folder, "^[^=]*=", "").alias("run_id"),
         F.try_parse_json("value").alias("plan"),
     )
     is_object = F.coalesce(F.schema_of_variant("plan").startswith("OBJECT"), F.lit(False))
@@ -104,8 +108,9 @@ MARKER_FIELDS = {
 
 
 def scan_tombstones(spark: SparkSession, path: str) -> DataFrame:
-    """Resolution markers of purged runs; a malformed tombstone fails the job."""
-    files = spark.read.text(f"{path}/*.json", wholetext=True).select(
+    """Resolution markers of purged runs, one file each in any depth; a malformed one fails the job."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    files = reader.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v")
     )
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))

@@ -41,9 +41,14 @@ def stream_jsonl(
     )
 
 
-def stream_events(raw: DataFrame, max_chars: int | None = lx.MAX_EXCERPT_CHARS) -> DataFrame:
-    """Redacted events of a stream of adapter rows; secret-bearing records never get through."""
-    return emitted_events(classify(raw, max_chars=max_chars))
+def stream_events(
+    raw: DataFrame, max_chars: int | None = lx.MAX_EXCERPT_CHARS, classified: bool = False
+) -> DataFrame:
+    """Redacted events of a stream of adapter rows; secret-bearing records never get through.
+
+    ``classified``: the rows have been through ``classify`` before.
+    """
+    return emitted_events(raw if classified else classify(raw, max_chars=max_chars))
 
 
 def counted(raw: DataFrame, name: str) -> DataFrame:
@@ -59,6 +64,22 @@ def counted(raw: DataFrame, name: str) -> DataFrame:
     )
 
 
+QUALITY = (
+    "records_seen",
+    "malformed_records",
+    "unknown_records",
+    "sensitive_records_excluded",
+    "records_emitted",
+)
+QUALITY_SCHEMA = ", ".join(f"{name} bigint" for name in QUALITY)
+
+
+def quality_totals(query: StreamingQuery, name: str) -> tuple[int, ...]:
+    """The counters of ``counted`` summed over the batches that the query still reports."""
+    seen = [p["observedMetrics"][name] for p in query.recentProgress if name in p["observedMetrics"]]
+    return tuple(sum(metrics[counter] or 0 for metrics in seen) for counter in QUALITY)
+
+
 def drop_copies(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Exact copies (session, content) are dropped while they arrive within the delay."""
     keyed = events.withColumn("session_key", F.coalesce("session_id", F.lit("")))
