@@ -121,8 +121,8 @@ def run_steps(
     step is allowed: run_id, ts, event_id, from_state, state, legal.
 
     ``log``: run_id, ts, event_id, state, in any order of arrival. Entries wait in the state of their run until
-    the watermark (``delay`` behind the latest time) has passed them; entries that come even later are
-    dropped. A run whose last state is in ``finished`` ends ``keep`` seconds after it: its state is forgotten
+    the watermark (``delay`` behind the latest time) has passed them; one that comes after a later entry of
+    its run was given out is dropped. A run whose last state is in ``finished`` ends ``keep`` seconds after it: its state is forgotten
     then, and an entry with a later time starts a new run.
     """
     column_store(log.sparkSession)
@@ -149,6 +149,8 @@ def run_steps(
             at, state = known if known else (None, None)
             steps = []
             for when, number, now in due:
+                if at is not None and when < at:
+                    continue
                 if state in ends and when - at > keep * 1_000_000:
                     state = None
                 right = now == initial if state is None else (state, now) in legal

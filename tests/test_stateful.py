@@ -104,8 +104,8 @@ def test_entries_wait_for_the_watermark_and_finished_runs_are_forgotten(spark, t
         entries([("a", 10, "applying"), ("a", 0, "planned")]),
         entries([("a", 20, "applied")]),
         entries([("z", 200, "planned")]),
-        entries([("a", 190, "planned"), ("b", 1, "planned")]),  # a starts anew; b is too late
-        entries([("z", 900, "applying")]),
+        entries([("a", 190, "planned")]),  # starts anew
+        entries([("z", 900, "applying"), ("a", 15, "restored")]),  # the last one is too late
     ]
     stream = arriving(spark, str(tmp_path), LOG, batches)
     steps = sf.run_steps(stream, delay="30 minutes", finished=["applied"], keep=60 * 60)
