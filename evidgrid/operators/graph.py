@@ -207,6 +207,56 @@ def closure_violations(
     return found.unionByName(circular)
 
 
+def reference_chains(
+    roots: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int = lx.MAX_REFERENCE_DEPTH
+) -> DataFrame:
+    """(code, chain): every chain of references from a root that must be cut.
+
+    A chain ends at a document that it already holds (``circular_reference``), at a target that is no
+    document (``dangling_reference``), or one hop beyond ``max_depth`` (``depth_exceeded``); what lies
+    behind is not followed. Chains are carried as paths, so before each hop a path is kept only if its
+    end still can lead to such a place in the hops that are left: a sound graph carries no paths.
+    """
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    loose = dangling_edges(links, nodes).select("dst").distinct().withColumn("loose", F.lit(True))
+
+    def before(ends: DataFrame) -> DataFrame:
+        named = ends.select(F.col("node").alias("dst"))
+        return links.join(named, "dst", "left_semi").select(F.col("src").alias("node"))
+
+    # By hops: nodes with a walk of so many references, and with a dangling target in at most so many.
+    opened = [None, cut_lineage(links.select(F.col("src").alias("node")).distinct())]
+    nearby = [None, cut_lineage(before(loose.select(F.col("dst").alias("node"))).distinct())]
+    for _ in range(max_depth):
+        opened.append(cut_lineage(before(opened[-1]).distinct()))
+        nearby.append(cut_lineage(before(nearby[-1]).union(nearby[-1]).distinct()))
+    paths = roots.select(F.col("node").alias("src"), F.array("node").alias("path")).distinct()
+    found = None
+    for depth in range(max_depth + 1):
+        left = max_depth + 1 - depth
+        useful = opened[left].union(nearby[left]).distinct().withColumnRenamed("node", "src")
+        steps = (
+            paths.join(useful, "src", "left_semi")
+            .join(links, "src")
+            .join(loose, "dst", "left")
+            .select(
+                "path", "dst",
+                F.when(F.array_contains("path", F.col("dst")), "circular_reference")
+                .when(F.lit(depth == max_depth), "depth_exceeded")
+                .when(F.coalesce("loose", F.lit(False)), "dangling_reference")
+                .alias("code"),
+                F.concat("path", F.array("dst")).alias("chain"),
+            )
+        )
+        steps = cut_lineage(steps)
+        ended = steps.where("code IS NOT NULL").select("code", "chain")
+        found = ended if found is None else found.union(ended)
+        paths = steps.where("code IS NULL").select(
+            F.col("dst").alias("src"), F.col("chain").alias("path")
+        )
+    return found
+
+
 def graph_digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: counts and order-independent digests of the nodes and edges of a graph.
 

@@ -114,6 +114,43 @@ def closure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.closure_violations(roots, edges, nodes, max_depth=2)
 
 
+@query(
+    "reference_chains",
+    """WITH c AS (SELECT c_custkey, 'r' || r_regionkey AS r, 'r' || r_regionkey || ' -> n' || n_nationkey || ' -> c' || c_custkey AS chain
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'circular_reference' AS code, chain || ' -> ' || r AS chain FROM c WHERE c_custkey % 50 = 0
+UNION ALL SELECT 'dangling_reference', 'r' || r_regionkey || ' -> n' || n_nationkey || ' -> s' || s_suppkey || ' -> lost' || s_suppkey
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 = 0
+UNION ALL SELECT 'depth_exceeded', chain || ' -> o' || o_orderkey || ' -> p' || o_orderkey || ' -> x' || o_orderkey
+FROM orders JOIN c ON o_custkey = c_custkey WHERE o_orderkey % 100 = 0""",
+)
+def reference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains to cut: some customers refer back to their region, some suppliers to nothing, and some
+    orders go on for two more hops."""
+    roots, edges = hierarchy(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+
+    def named(kind: str, key: str):
+        return F.concat(F.lit(kind), F.col(key).cast("string"))
+
+    back = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").join(nation, "c_nationkey")
+    nowhere = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0")
+    deep = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+    documents = roots.union(edges.select("dst")).union(
+        deep.select(F.explode(F.array(named("p", "o_orderkey"), named("x", "o_orderkey"))))
+    )
+    planted = (
+        back.select(named("c", "c_custkey"), named("r", "n_regionkey"))
+        .union(nowhere.select(named("s", "s_suppkey"), named("lost", "s_suppkey")))
+        .union(deep.select(named("o", "o_orderkey"), named("p", "o_orderkey")))
+        .union(deep.select(named("p", "o_orderkey"), named("x", "o_orderkey")))
+    )
+    found = gr.reference_chains(
+        roots, edges.union(planted), documents.distinct().withColumnRenamed("node", "doc")
+    )
+    return found.select("code", F.array_join("chain", " -> ").alias("chain"))
+
+
 @query(
     "graph_diff",
     """WITH a AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer),

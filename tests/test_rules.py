@@ -347,6 +347,23 @@ def test_reference_graph(spark):
     assert {(r.change, r.src) for r in diff.collect()} == {("removed", "/home/user/h2.md")}
 
 
+def test_reference_chains(spark):
+    links = [
+        ("r", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"),
+        ("r", "x"), ("x", "gone"), ("x", "x"), ("s", "t"), ("t", "u"), ("other", "lost"),
+    ]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "r a b c d e f x s t u other".split()], "doc string")
+    roots = spark.createDataFrame([("r",), ("s",)], "node string")
+    found = gr.reference_chains(roots, edges, nodes, 4)
+    assert {(r.code, "".join(r.chain)) for r in found.collect()} == {
+        ("circular_reference", "raba"), ("circular_reference", "rxx"), ("dangling_reference", "rxgone"),
+        ("depth_exceeded", "rabcde"),
+    }
+    sound = edges.where("src IN ('s', 't')")
+    assert gr.reference_chains(roots, sound, nodes, 4).count() == 0
+
+
 def test_lineage(spark):
     rows = [("r0", None, None, None), ("r1", "r0", "q1", "f1"), ("r2", "r1", "q2", "f2"), ("r3", "r2", "q3", "f3"), ("r4", "r3", "q4", "f4"), ("x", "r1", "q1", "f9"), ("y", "r2", "q9", "f1")]
     df = spark.createDataFrame(rows, "run_id string, parent_run_id string, request_id string, fingerprint string")
