@@ -73,12 +73,18 @@ def exact_duplicates(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _clustered(facts, "_key", "exact_duplicate", 2)
 
 
-def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
-    """Edges between items of one place that share at least two terms.
+#: Items with more shared terms than this are not expanded to pairs of terms.
+LARGE_TERMS = 64
 
-    ``items``: item, place, terms. Two items share two terms exactly when they have a term pair in
-    common, so items are linked through term pairs in stars and no list of item pairs is built.
-    Terms that a place uses once cannot be shared and are removed first.
+
+def shared_term_edges(items: DataFrame, minimum: int = 2, large: int = LARGE_TERMS) -> DataFrame:
+    """Edges that have the components of all items of one place that share at least two terms.
+
+    ``items``: item, place, terms. Terms that a place uses once cannot be shared and are removed first.
+    Items of up to ``large`` terms share two exactly when they have a pair of terms in common: they are
+    linked through term pairs in stars, and no list of item pairs is built. The few larger ones count
+    the terms that they have in common with any other item over the lists of their own terms, so an
+    item with n terms costs the rows of n lists, not n * n pairs.
     """
     if minimum != 2:
         raise ValueError("pairs of terms express an overlap of two")
@@ -86,22 +92,28 @@ def shared_term_edges(items: DataFrame, minimum: int = 2) -> DataFrame:
     place_term = F.md5(F.concat_ws(NUL, "place", "term"))
     keyed = cut_lineage(exploded.select("item", place_term.alias("_key")))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    counts = counts.withColumn("shared", F.lit(True))
-    shared = join_back(keyed, counts, "_key", "rows", F.col("item"))
+    counts = cut_lineage(counts)
+    shared = join_back(keyed, counts.withColumn("shared", F.lit(True)), "_key", "rows", F.col("item"))
     # One array per item: bounded by the text of the item. Keys already contain the place.
-    usable = (
+    usable = cut_lineage(
         shared.where(F.col("shared"))
         .groupBy("item")
         .agg(F.sort_array(F.collect_list("_key")).alias("terms"))
         .where(F.size("terms") >= 2)
     )
-    # Pairs are rows, not one array: a block with many terms is passed on piece by piece.
-    placed = usable.select("item", "terms", F.posexplode("terms").alias("at", "first"))
+    small = usable.where(F.size("terms") <= large)
+    placed = small.select("item", "terms", F.posexplode("terms").alias("at", "first"))
     later = F.slice("terms", F.col("at") + 2, F.size("terms"))
     keys = placed.select("item", "first", F.explode(later).alias("second")).select(
         "item", F.md5(F.concat("first", "second")).alias("key")
     )
-    return star_edges(keys, "key", "item")
+    stars = star_edges(keys, "key", "item")
+    big = usable.where(F.size("terms") > large).select(
+        F.col("item").alias("a"), F.explode("terms").alias("_key")
+    )
+    others = usable.select(F.col("item").alias("b"), F.explode("terms").alias("_key"))
+    common = big.join(others, "_key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return stars.union(common.where(F.col("n") >= minimum).select("a", "b"))
 
 
 def exception_components(

@@ -18,7 +18,7 @@ from evidgrid.functions.text import (
 )
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 from evidgrid.operators.skew import join_back
-from evidgrid.session import cut_lineage
+from evidgrid.session import cut_lineage, cut_lineage_counted
 
 
 def with_terms(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -104,14 +104,51 @@ def block_terms(blocks: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFr
     return with_terms(kept, "text", lexicon).drop("tokens").where(F.size("terms") > 0)
 
 
+#: Rows of subject terms (a digest, a term and a flag each, some 120 bytes) that are broadcast.
+BROADCAST_TERMS = 200_000
+#: Rows of one event term above which it is cut into parts.
+HOT_TERM = 100_000
+
+
+def _matched_terms(
+    events: DataFrame, subjects: DataFrame, broadcast_rows: int, hot_rows: int
+) -> DataFrame:
+    """Event terms (event_id, term) joined with the terms of the subjects.
+
+    A bounded table of subject terms is broadcast. A larger one is shuffled; then every term that more
+    than ``hot_rows`` events have is cut into parts by event, and its subject rows are repeated per part.
+    """
+    subjects = cut_lineage(subjects)
+    terms = events.select("event_id", F.explode("terms").alias("term"))
+    if subjects.count() <= broadcast_rows:
+        return terms.repartition("event_id").join(F.broadcast(subjects), "term")
+    # At most one row per ``hot_rows`` event terms.
+    hot = cut_lineage(
+        terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+        .select("term", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+    )
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = terms.join(hot, "term", "left").select(
+        "event_id", "term", F.pmod(F.xxhash64("event_id"), parts).cast("int").alias("part")
+    )
+    repeated = subjects.join(hot, "term", "left").select(
+        *subjects.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    )
+    return dealt.join(repeated, ["term", "part"]).drop("part")
+
+
 def target_relevance(
-    events: DataFrame, blocks: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON
+    events: DataFrame,
+    blocks: DataFrame,
+    lexicon: Lexicon = DEFAULT_LEXICON,
+    broadcast_rows: int = BROADCAST_TERMS,
+    hot_rows: int = HOT_TERM,
 ) -> DataFrame:
     """(event_id, target_relevance) for events that share a term with any block.
 
-    Event terms are spread by event_id once; with that partitioning the match counts per
-    (event, block) and the maximum per event need no further shuffle, so matched pairs never
-    travel. Blocks with the same subject count once.
+    Blocks with the same subject count once. Where the subjects are broadcast, event terms are spread by
+    event_id once and the match counts need no further shuffle; else matches are counted before they
+    are shuffled to their event.
     """
     subjects = (
         block_terms(blocks, lexicon)
@@ -123,8 +160,7 @@ def target_relevance(
         )
         .withColumn("anchor", F.col("term").isin(lexicon.anchors).cast("int"))
     )
-    spread = events.select("event_id", "terms").repartition("event_id")
-    matched = spread.select("event_id", F.explode("terms").alias("term")).join(subjects, "term")
+    matched = _matched_terms(events, subjects, broadcast_rows, hot_rows)
     per_block = matched.groupBy("event_id", "subject_id").agg(
         F.least(F.lit(24), F.count("*") * 2 + F.sum("anchor") * 6).alias("r")
     )
@@ -248,20 +284,28 @@ def polarity_columns(text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) ->
     ]
 
 
+#: Events that the first round of ``opposite_polarity`` looks at; every further round takes twice as many.
+FIRST_EVENTS = 64
+
+
 def opposite_polarity(
     blocks: DataFrame,
     events: DataFrame,
     lexicon: Lexicon = DEFAULT_LEXICON,
     per_block: int = 3,
     overall: int = 30,
+    first_events: int = FIRST_EVENTS,
 ) -> DataFrame:
     """Best opposite-polarity pairs on one subject.
 
-    Events need event_id, tokens, neg, pos, ts, target_relevance, correction_score. Rows without
-    polarity drop out before the term join; the polarity test is part of the join condition; the
-    best of a block are limited inside each task before they are exchanged.
+    Events need event_id, tokens, neg, pos, ts, target_relevance, correction_score. Pairs rank by the
+    relevance and the correction score of their event first. So events are taken in rounds, from the
+    highest scores down, whole scores at a time: once the rounds so far have given ``overall`` pairs (at
+    most ``per_block`` a block), no event with a lower score can give a better one, and the rest is never
+    joined. Within a round the polarity test is part of the join condition and the best of a block are
+    limited inside each task before they are exchanged.
     """
-    left = (
+    left = cut_lineage(
         block_terms(blocks, lexicon)
         .select("block_id", *polarity_columns("text", lexicon), "terms")
         .where(F.col("neg") | F.col("pos"))
@@ -272,9 +316,9 @@ def opposite_polarity(
             F.explode("terms").alias("term"),
         )
     )
-    right = (
-        events.where(F.col("neg") | F.col("pos"))
-        .select(
+    score = F.struct("target_relevance", "correction_score")
+    polar = cut_lineage(
+        events.where(F.col("neg") | F.col("pos")).select(
             "event_id",
             "ts",
             "target_relevance",
@@ -283,22 +327,11 @@ def opposite_polarity(
             F.col("pos").alias("e_pos"),
             F.array_distinct("tokens").alias("terms"),
         )
-        .repartition("event_id")
-        .withColumn("term", F.explode("terms"))
-        .drop("terms")
     )
+    # Both scores are small numbers (0 to 24, 0 to 30): a few hundred rows.
+    scores = polar.groupBy(score.alias("score")).agg(F.count("*").alias("n"))
+    heights = scores.orderBy(F.col("score").desc()).collect()
     opposite = (F.col("b_neg") & F.col("e_pos")) | (F.col("b_pos") & F.col("e_neg"))
-    pairs = (
-        right.join(left, "term")
-        .where(opposite)
-        .groupBy("event_id", "block_id", "ts", "target_relevance", "correction_score")
-        .agg(
-            F.collect_list("term").alias("shared"),
-            F.max(F.col("term").isin(lexicon.strong)).alias("strong"),
-        )
-        .where((F.size("shared") >= 2) | F.col("strong"))
-        .withColumn("n_shared", F.size("shared").cast("long"))
-    )
     order = [
         F.col("target_relevance").desc(),
         F.col("correction_score").desc(),
@@ -307,11 +340,52 @@ def opposite_polarity(
         F.col("block_id"),
         F.col("event_id"),
     ]
-    ranked = pairs.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("block_id").orderBy(*order))
-    )
-    best = ranked.where(F.col("_n") <= per_block).orderBy(*order).limit(overall)
-    return best.select(
+
+    def best_pairs(some: DataFrame) -> DataFrame:
+        pairs = (
+            some.repartition("event_id")
+            .withColumn("term", F.explode("terms"))
+            .drop("terms")
+            .join(left, "term")
+            .where(opposite)
+            .groupBy("event_id", "block_id", "ts", "target_relevance", "correction_score")
+            .agg(
+                F.collect_list("term").alias("shared"),
+                F.max(F.col("term").isin(lexicon.strong)).alias("strong"),
+            )
+            .where((F.size("shared") >= 2) | F.col("strong"))
+            .withColumn("n_shared", F.size("shared").cast("long"))
+        )
+        place = F.row_number().over(Window.partitionBy("block_id").orderBy(*order))
+        return pairs.withColumn("_n", place).where(F.col("_n") <= per_block).drop("_n", "strong")
+
+    found, start, size = None, 0, first_events
+    while found is None or start < len(heights):
+        stop, held = start, 0
+        while stop < len(heights) and (held == 0 or held + heights[stop].n <= size):
+            held += heights[stop].n
+            stop += 1
+        if held:
+            low, high = heights[stop - 1].score, heights[start].score
+            relevance, correction = F.col("target_relevance"), F.col("correction_score")
+            above = (relevance > low.target_relevance) | (
+                (relevance == low.target_relevance) & (correction >= low.correction_score)
+            )
+            below = (relevance < high.target_relevance) | (
+                (relevance == high.target_relevance) & (correction <= high.correction_score)
+            )
+            fresh = best_pairs(polar.where(above & below))
+        else:
+            fresh = best_pairs(polar)
+        # At most ``per_block`` rows a block and round.
+        both = fresh if found is None else found.union(fresh)
+        place = F.row_number().over(Window.partitionBy("block_id").orderBy(*order))
+        kept = both.withColumn("_n", place).where(F.col("_n") <= per_block).drop("_n")
+        found, count = cut_lineage_counted(kept.orderBy(*order).limit(overall))
+        if count >= overall:
+            break
+        start, size = stop, size * 2
+    return found.orderBy(*order).select(
         F.lit("negation_pair").alias("detector"),
         "block_id",
         "event_id",

@@ -371,6 +371,27 @@ def test_lineage(spark):
     assert got == {"r0": "accepted", "r1": "accepted", "r2": "accepted", "r3": "accepted", "r4": "decision_depth_exceeded", "x": "decision_replayed", "y": "decision_replayed"}
 
 
+def test_shared_terms_of_small_and_large_items(spark):
+    draw = random.Random(4)
+    words = [f"w{n}" for n in range(400)]
+    items = [(f"i{n:03d}", f"p{n % 2}", draw.sample(words, draw.randint(0, 9))) for n in range(120)]
+    items += [(f"big{n}", "p0", draw.sample(words, 60)) for n in range(3)]
+    items += [("long1", "p2", [f"t{n}" for n in range(5_000)]), ("long2", "p2", [f"t{n}" for n in range(5_000)])]
+    items += [("near", "p2", ["t1", "t2", "x"]), ("far", "p2", ["t1", "y"])]
+    table = spark.createDataFrame(items, "item string, place string, terms array<string>")
+    groups = {i: {i} for i, _, _ in items}
+    for a, place, terms in items:
+        for b, other, more in items:
+            if place == other and a < b and len(set(terms) & set(more)) >= 2 and groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                for member in groups[b]:
+                    groups[member] = groups[a]
+    want = {i: min(g) for i, g in groups.items() if len(g) > 1}
+    for large in (16, 64):
+        found = gr.connected_components(cl.shared_term_edges(table, large=large)).collect()
+        assert {r.node: r.component for r in found} == want
+
+
 def test_clusters(spark):
     rows = [
         ("f", "a1", ["Rules"], 0, "- Same.\n", "same.", False), ("f", "a2", ["Rules"], 9, "- Same.\n", "same.", False), ("f", "a3", ["Rules"], 18, "- Same.\n", "same.", True),
