@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid.llm.common import Adam, Scratch, lean, sigmoid, text_slices
@@ -27,8 +27,8 @@ from evidgrid.llm.common import Adam, Scratch, lean, sigmoid, text_slices
 KINDS = ("email", "ip", "card", "phone")
 #: Sampled documents for training, of those with a digit or an at sign.
 TRAIN_ROWS = 1_500
-#: Training windows at most.
-TRAIN_WINDOWS = 4_000
+#: Training windows at most, of each kind of span and of those without one.
+TRAIN_WINDOWS = 1_000
 WINDOW, STEP = 96, 48
 EMBED, HIDDEN, BATCH, EPOCHS, RATE = 12, 16, 64, 6, 0.03
 LABELS = 1 + 2 * len(KINDS)
@@ -385,42 +385,80 @@ def rewritten(kind: int, text: str, draw: np.random.Generator) -> str:
 
 
 def training_windows(
-    texts: list[str], draw: np.random.Generator
-) -> tuple[np.ndarray, np.ndarray]:
+    text: str, draw: np.random.Generator
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows and labels around base spans, every other one rewritten, and around other digits."""
-    rows, marks = [], []
-    for text in texts:
-        spans = sorted(base_spans(text), key=lambda span: span[1])
-        pieces, labels, at, flip = [], [], 0, False
-        for kind, start, end in spans:
-            if start < at:
-                continue
-            body = text[start:end]
-            flip = not flip
-            if flip:
-                body = rewritten(kind, body, draw)
-            pieces += [text[at:start], body]
-            labels += [0] * (start - at) + [2 * kind + 1] + [2 * kind + 2] * (len(body) - 1)
-            at = end
-        changed = "".join(pieces) + text[at:]
-        labels += [0] * (len(text) - at)
-        points, truth = codes(changed), np.array(labels, np.int64)
-        for start in window_starts(changed)[:20]:
-            shift = max(0, start - int(draw.integers(0, STEP)))
-            row, mark = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-            part = points[shift : shift + WINDOW]
-            row[: len(part)], mark[: len(part)] = part, truth[shift : shift + WINDOW]
-            if mark[0] and mark[0] % 2 == 0:  # cut inside a span
-                mark[: int(np.argmax(mark != mark[0])) or WINDOW] = 0
-            rows.append(row)
-            marks.append(mark)
-    order = draw.permutation(len(rows))[:TRAIN_WINDOWS]
-    return np.array(rows)[order], np.array(marks)[order]
+    spans = sorted(base_spans(text), key=lambda span: span[1])
+    pieces, labels, at, flip = [], [], 0, False
+    for kind, start, end in spans:
+        if start < at:
+            continue
+        body = text[start:end]
+        flip = not flip
+        if flip:
+            body = rewritten(kind, body, draw)
+        pieces += [text[at:start], body]
+        labels += [0] * (start - at) + [2 * kind + 1] + [2 * kind + 2] * (len(body) - 1)
+        at = end
+    changed = "".join(pieces) + text[at:]
+    labels += [0] * (len(text) - at)
+    points, truth = codes(changed), np.array(labels, np.int64)
+    for start in window_starts(changed):
+        shift = max(0, start - int(draw.integers(0, STEP)))
+        row, mark = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+        part = points[shift : shift + WINDOW]
+        row[: len(part)], mark[: len(part)] = part, truth[shift : shift + WINDOW]
+        if mark[0] and mark[0] % 2 == 0:  # cut inside a span
+            mark[: int(np.argmax(mark != mark[0])) or WINDOW] = 0
+        yield row, mark
+
+
+def drawn_windows(sample: DataFrame, each: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``each`` windows of every kind, from all windows of the whole texts (mark, text).
+
+    Windows are made where the texts are and drawn by a hash; only those drawn come to the driver.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pairs = list(training_windows(text, np.random.default_rng(mark & (1 << 63) - 1)))
+                if not pairs:
+                    continue
+                labels = np.array([labels for _, labels in pairs])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(pairs), mark)),
+                        pa.array(np.arange(len(pairs))),
+                        pa.array(span_kind(labels)),
+                        pa.array([row.astype(np.int32).tobytes() for row, _ in pairs]),
+                        pa.array([row.astype(np.int32).tobytes() for row in labels]),
+                    ],
+                    names=["mark", "number", "kind", "x", "y"],
+                )
+
+    made = sample.select("mark", "text").mapInArrow(
+        lean(run), "mark bigint, number bigint, kind bigint, x binary, y binary"
+    )
+    place = Window.partitionBy("kind").orderBy(F.xxhash64("mark", "number"), "mark", "number")
+    chosen = made.withColumn("place", F.row_number().over(place)).where(F.col("place") <= each)
+    rows = chosen.orderBy("kind", "place").select("x", "y").toArrow()
+    return tuple(
+        np.array([np.frombuffer(value, np.int32) for value in rows.column(i).to_pylist()], np.int64)
+        .reshape(-1, WINDOW)
+        for i in range(2)
+    )
+
+
+def span_kind(labels: np.ndarray) -> np.ndarray:
+    """For every row of labels the first kind that begins in it, or the number of kinds."""
+    begun = np.stack([(labels == 2 * k + 1).any(axis=1) for k in range(len(KINDS))], axis=1)
+    return np.where(begun.any(axis=1), begun.argmax(axis=1), len(KINDS)).astype(np.int64)
 
 
 def balanced(marks: np.ndarray) -> np.ndarray:
     """Chance of every window to be drawn: all kinds are drawn alike, emails twice as often."""
-    kinds = np.array([next((k for k in range(4) if (row == 2 * k + 1).any()), 4) for row in marks])
+    kinds = span_kind(marks)
     weights = np.array([2.0, 1, 1, 1, 1])[kinds] / np.bincount(kinds, minlength=5)[kinds]
     return weights / weights.sum()
 
@@ -428,12 +466,12 @@ def balanced(marks: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Tagger | None:
     """Tagger from the base spans of at most ``rows`` documents; None if none has a span.
 
-    The sample takes the documents that come first by a hash of their id. A text longer than 20,000
-    characters is left out of it, which bounds what is sent to the driver.
+    The sample takes the documents that come first by a hash of their id, whole; of all their windows
+    at most ``TRAIN_WINDOWS`` of every kind are drawn.
     """
     usable = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
-    ).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    ).where(F.col("text").rlike("[0-9@]"))
     # Ids are sorted without their texts; the few texts are fetched afterwards.
     picked = scratch.save(
         usable.select("doc_id", "mark")
@@ -442,12 +480,11 @@ def train(docs: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Tagger |
         .limit(rows),
         "pii-ids",
     )
-    sample = usable.join(F.broadcast(picked), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    texts = [row.text for row in sample.orderBy("doc_id", "mark").collect()]
-    if not any(base_spans(text) for text in texts):
+    sample = usable.join(F.broadcast(picked), ["doc_id", "mark"]).dropDuplicates(["mark"])
+    x, y = drawn_windows(sample)
+    if not y.any():
         return None
     draw = np.random.default_rng(5)
-    x, y = training_windows(texts, draw)
     tagger = Tagger()
     adam = Adam(tagger.parameters, RATE)
     turns = max(EPOCHS * -(-len(x) // BATCH), 200)
