@@ -156,10 +156,13 @@ def collect_events(
     as_of: Column | None = None,
     lookback_days: int = 0,
     max_chars: int | None = lx.MAX_EXCERPT_CHARS,
-) -> DataFrame:
-    """Union of the sources as deduplicated events."""
-    united = reduce(DataFrame.unionByName, sources)
-    return dedup_latest(emitted_events(classify(united, as_of, lookback_days, max_chars)))
+) -> tuple[DataFrame, DataFrame]:
+    """(events, counters) of all sources: deduplicated events in the order of (ts, event_id), and one
+    row of counters that are summed over the sources."""
+    classified = [classify(source, as_of, lookback_days, max_chars) for source in sources]
+    united = reduce(DataFrame.unionByName, [emitted_events(rows) for rows in classified])
+    counters = merge_stats(*[source_stats(rows) for rows in classified])
+    return dedup_latest(united).orderBy("ts", "event_id"), counters
 
 
 def redaction_totals(events: DataFrame, findings: str = "redactions") -> DataFrame:

@@ -11,8 +11,19 @@ from evidgrid.operators import clusters as cl
 from evidgrid.operators import evidence as ev
 from evidgrid.operators import graph as gr
 from evidgrid.operators import ingest as ing
+from evidgrid.lexicon import CANDIDATE_CLASSES
 from evidgrid.operators import rules as ru
-from evidgrid.queries.base import query, table, texts
+from evidgrid.queries.base import (
+    DOCUMENT_EVENTS_SQL,
+    FIXTURE_LEXICON,
+    ORACLES,
+    document_events,
+    query,
+    sql_tokens,
+    table,
+    texts,
+)
+from evidgrid.queries.rule_queries import nomination_checks
 
 # One secret of every kind: kind, confidence, what is written, which part of it is the secret.
 SECRETS = (
@@ -254,16 +265,131 @@ def context_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "accepted_and_rejected",
-    """SELECT lang, CAST(count(*) FILTER (doc_id % 5 <> 0) AS BIGINT) AS accepted, CAST(count(*) FILTER (doc_id % 5 = 0) AS BIGINT) AS rejected
-FROM documents GROUP BY lang""",
+    """WITH c AS (SELECT lang, CASE WHEN text = '' THEN 'blank' WHEN length(text) < 400 THEN 'short' WHEN regexp_matches(text, '[0-9]{4}') THEN 'numbered' END AS code FROM documents)
+SELECT lang, coalesce(code, 'accepted') AS outcome, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL""",
 )
 def accepted_and_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows split by their code into two tables, counted per language."""
-    code = F.when(F.col("doc_id") % 5 == 0, "fifth")
-    kept, refused = ru.split_by_code(table(spark, sf_dir, "documents").select("lang", code.alias("code")))
-    sides = kept.withColumn("ok", F.lit(True)).unionByName(
-        refused.drop("code").withColumn("ok", F.lit(False))
+    """Documents judged by rules in their order and split into two tables."""
+    code = ru.first_code(
+        [
+            ("blank", F.col("text") == ""),
+            ("short", F.length("text") < 400),
+            ("numbered", F.col("text").rlike("[0-9]{4}")),
+        ]
+    )
+    kept, refused = ru.split_by_code(texts(spark, sf_dir).select("lang", code.alias("code")))
+    sides = kept.select("lang", F.lit("accepted").alias("outcome")).union(refused.select("lang", "code"))
+    return sides.groupBy("lang", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "eligible_events",
+    f"""WITH {DOCUMENT_EVENTS_SQL} SELECT event_id, doc_id, doc_id % 3 = 0 AS eligible FROM ev""",
+)
+def eligible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of documents, flagged by a list of allowed ids."""
+    events = document_events(spark, sf_dir, [])
+    allowed = events.where("doc_id % 3 = 0").select("event_id")
+    return ing.flag_eligible(events, allowed).select("event_id", "doc_id", "eligible")
+
+
+@query(
+    "replacement_anchors",
+    """SELECT l_orderkey AS change, CAST(l_linenumber AS VARCHAR) AS block_id,
+  CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1 THEN 'order ' || l_orderkey ELSE '' END AS text FROM lineitem""",
+)
+def replacement_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as changes of their lines: the first line carries the new text."""
+    from evidgrid.operators.segment import replacement_anchor
+
+    # At most seven lines an order.
+    changes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("change")).agg(
+        F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda n: n.cast("string")).alias("source_ids")
+    )
+    named = changes.withColumn("text", F.concat(F.lit("order "), F.col("change").cast("string")))
+    return replacement_anchor(named)
+
+
+@query(
+    "dropped_terms",
+    f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS old, {sql_tokens("regexp_replace(text, '^[^' || chr(10) || ']*', '')")} AS new FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(old, lambda x: NOT list_contains(new, x)))), ' ') AS dropped FROM t""",
+)
+def dropped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading terms of a document that are gone without its first line."""
+    from evidgrid.functions.text import fingerprint_tokens
+
+    old = fingerprint_tokens("text", FIXTURE_LEXICON)
+    new = fingerprint_tokens(F.regexp_replace("text", r"\A[^\n]*", ""), FIXTURE_LEXICON)
+    rows = texts(spark, sf_dir).select("doc_id", old.alias("old"), new.alias("new"))
+    dropped = F.sort_array(ru.dropped_terms(F.col("old"), F.col("new")))
+    return rows.select("doc_id", F.array_join(dropped, " ").alias("dropped"))
+
+
+@query(
+    "appended_sections",
+    """WITH b AS (SELECT doc_id, lang, source, trim(regexp_replace(regexp_replace(text, '[#\\r]', '', 'g'), '\\s+$', '')) AS body FROM documents),
+c AS (SELECT *, '# ' || lang || chr(10) || chr(10) || body || chr(10) || chr(10) AS head, '# ' || source || chr(10) || chr(10) || 'tail' AS tail, '- number ' || doc_id || chr(10) AS added FROM b)
+SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN head || added || chr(10) || tail || chr(10) WHEN 1 THEN head || tail || chr(10) || chr(10) || added || chr(10)
+  ELSE head || tail || chr(10) || chr(10) || '## other' || chr(10) || chr(10) || added END) AS content_sha256 FROM c""",
+)
+def appended_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line put under the first, the last, or a new heading of a document."""
+    from evidgrid.functions.identity import content_sha
+    from evidgrid.operators.segment import append_under_heading
+
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", r"[#\r]", ""), r"\s+\z", ""))
+    content = F.concat(
+        F.lit("# "), "lang", F.lit("\n\n"), body, F.lit("\n\n# "), "source", F.lit("\n\ntail\n")
+    )
+    kind = F.col("doc_id") % 3
+    heading = F.when(kind == 0, F.array("lang")).when(kind == 1, F.array("source")).otherwise(F.array(F.lit("other")))
+    line = F.concat(F.lit("- number "), F.col("doc_id").cast("string"))
+    rows = texts(spark, sf_dir).select("doc_id", content.alias("c"), heading.alias("h"), line.alias("a"))
+    appended = append_under_heading(F.col("c"), F.col("h"), F.col("a"))
+    return rows.select("doc_id", content_sha(appended).alias("content_sha256"))
+
+
+@query(
+    "markdown_kinds",
+    """WITH l AS (SELECT doc_id, lang, source, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), ' +', ' ', 'g')) AS words FROM documents),
+p AS (SELECT doc_id, '# ' || lang || chr(10) || chr(10) AS head, [
+  {'kind': 'list_item', 'raw': '- first ' || words || chr(10) || '  goes on' || chr(10), 'after': chr(10)},
+  {'kind': 'paragraph', 'raw': 'Second ' || words || chr(10) || 'goes on ' || source || chr(10), 'after': chr(10)},
+  {'kind': 'code_fence', 'raw': '```text' || chr(10) || '- third ' || words || chr(10) || '```' || chr(10), 'after': chr(10)},
+  {'kind': 'protected', 'raw': '<!-- protect:start -->' || chr(10) || '- fourth ' || words || chr(10) || '<!-- protect:end -->' || chr(10), 'after': ''}] AS parts FROM l),
+u AS (SELECT doc_id, head, i, parts[i] AS part, list_sum(list_transform(parts[1:i - 1], lambda x: length(x.raw) + length(x.after))) AS before
+  FROM p, (SELECT unnest([1, 2, 3, 4]) AS i))
+SELECT doc_id, part.kind AS kind, part.kind = 'protected' AS protected, CAST(length(head) + coalesce(before, 0) AS BIGINT) AS start, sha256(part.raw) AS raw_sha256 FROM u""",
+)
+def markdown_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every kind: a list item with a continuation, a paragraph, a fence, a protected part."""
+    from evidgrid.functions.identity import content_sha
+    from evidgrid.operators.segment import segment
+
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z ]", " "), " +", " "))
+    content = F.concat(
+        F.lit("# "), "lang", F.lit("\n\n- first "), words, F.lit("\n  goes on\n\nSecond "), words,
+        F.lit("\ngoes on "), "source", F.lit("\n\n```text\n- third "), words,
+        F.lit("\n```\n\n<!-- protect:start -->\n- fourth "), words, F.lit("\n<!-- protect:end -->\n"),
     )
-    return sides.groupBy("lang").agg(
-        F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected")
+    docs = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc"), content.alias("content"))
+    return segment(docs).select(
+        F.col("doc").cast("long").alias("doc_id"), "kind", "protected",
+        F.col("start").cast("long").alias("start"), content_sha("raw").alias("raw_sha256"),
     )
+
+
+NOMINATION_SQL = ORACLES["nomination_checks"]
+
+
+@query(
+    "nomination_summary",
+    f"""WITH c AS ({NOMINATION_SQL})
+SELECT CAST(count(*) FILTER (code IS NULL) AS BIGINT) AS nominations, CAST(count(*) FILTER (code IS NOT NULL) AS BIGINT) AS rejected_nominations,
+  {", ".join(f"CAST(count(*) FILTER (code IS NULL AND candidate_class = '{c}') AS BIGINT) AS {c}" for c in CANDIDATE_CLASSES)},
+  {", ".join(f"CAST(count(*) FILTER (code IS NULL AND admission = '{a}') AS BIGINT) AS {a}" for a in ("mutable_candidate", "reported_only", "suggestion_candidate"))} FROM c""",
+)
+def nomination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted nominations by class and admission, and the rejected ones."""
+    return ru.nomination_summary(nomination_checks(spark, sf_dir))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidgrid.functions.identity import content_sha
 from evidgrid.functions.text import iso_instant
+from evidgrid.operators import ingest as ing
+from evidgrid.operators.skew import running_total
 from evidgrid.queries.base import query, table, workspace
 from evidgrid.sources import adapters as ad
 from evidgrid.sources import jsonl as js
@@ -73,6 +75,11 @@ def seen(raw: DataFrame, *columns: str | Column) -> DataFrame:
   CASE WHEN turn % 4 <> 3 THEN sha256(text) END AS content_sha256 FROM conversations""",
 )
 def history_a_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = history_a(spark, sf_dir)
+    return seen(ad.from_history_a(raw), "session_id", "scope", iso_instant("ts").alias("ts"))
+
+
+def history_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt history with display, timestamp in milliseconds, session and project."""
     at = ((F.lit(1_700_000_000) + F.col("conv_id") * 100 + F.col("turn")) * 1000).alias("timestamp")
     session = F.col("conv_id").cast("string").alias("sessionId")
@@ -82,8 +89,7 @@ def history_a_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn(
         "value", F.when(F.col("turn") % 4 == 3, number).otherwise(good)
     )
-    raw = js.scan_jsonl(spark, written(turns, f"{workspace(spark)}/a"), numbered=False)
-    return seen(ad.from_history_a(raw), "session_id", "scope", iso_instant("ts").alias("ts"))
+    return js.scan_jsonl(spark, written(turns, f"{workspace(spark)}/a"), numbered=False)
 
 
 @query(
@@ -93,13 +99,55 @@ def history_a_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   'history_b_user' AS source_kind, 3 AS authority, 'candidate' AS outcome, sha256(text) AS content_sha256 FROM conversations""",
 )
 def history_b_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = history_b(spark, sf_dir)
+    return seen(ad.from_history_b(raw), "session_id", "scope", iso_instant("ts").alias("ts"))
+
+
+def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt history with text, ts in seconds and, in two of three lines, a session."""
     at = (F.lit(1_700_000_000) + F.col("conv_id") * 100 + F.col("turn")).alias("ts")
     session = F.when(F.col("turn") % 3 != 0, F.col("conv_id").cast("string")).otherwise("")
     line = F.to_json(F.struct("text", at, session.alias("session_id")))
     turns = table(spark, sf_dir, "conversations").withColumn("value", line)
-    raw = js.scan_jsonl(spark, written(turns, f"{workspace(spark)}/b"))
-    return seen(ad.from_history_b(raw), "session_id", "scope", iso_instant("ts").alias("ts"))
+    return js.scan_jsonl(spark, written(turns, f"{workspace(spark)}/b"))
+
+
+TURN_SQL = """
+t AS (SELECT conv_id, turn, text, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1700000000 + conv_id * 100 + turn), '%Y-%m-%dT%H:%M:%SZ') AS said_at FROM conversations),
+u AS (SELECT 'history_a_user' AS kind, CAST(conv_id AS VARCHAR) AS session, turn, text, said_at FROM t WHERE turn % 4 <> 3
+  UNION ALL SELECT 'history_b_user', CASE WHEN turn % 3 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END, turn, text, said_at FROM t),
+e AS (SELECT *, sha256(text) AS sha, 'evt_' || substr(sha256(kind || chr(0) || session || chr(0) || said_at || chr(0) || sha256(text)), 1, 18) AS event_id
+  FROM u WHERE regexp_matches(text, '[^\\s]'))"""
+
+
+@query(
+    "collected_events",
+    f"""WITH {TURN_SQL},
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY session, sha ORDER BY said_at DESC, event_id) = 1)
+SELECT event_id, kind AS source_kind, CASE WHEN session <> '' THEN session END AS session_id, said_at AS ts, sha AS content_sha256,
+  CAST(row_number() OVER (ORDER BY said_at, event_id) AS INTEGER) AS place FROM l""",
+)
+def collected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two prompt histories collected: events once, in their order."""
+    raws = [ad.from_history_a(history_a(spark, sf_dir)), ad.from_history_b(history_b(spark, sf_dir))]
+    events, _ = ing.collect_events(raws, max_chars=None)
+    kept = events.select("event_id", "source_kind", "session_id", "ts", "content_sha256")
+    placed = running_total(kept, [], ["ts", "event_id"], F.lit(1), "place")
+    return placed.withColumn("ts", iso_instant("ts")).withColumn("place", F.col("place").cast("int"))
+
+
+@query(
+    "collected_stats",
+    f"""WITH {TURN_SQL}
+SELECT CAST(2 * count(*) AS BIGINT) AS records_seen, CAST((SELECT count(*) FROM e) AS BIGINT) AS records_emitted,
+  CAST(count(*) FILTER (turn % 4 = 3) AS BIGINT) AS malformed_records, CAST(0 AS BIGINT) AS unknown_records,
+  CAST(0 AS BIGINT) AS sensitive_records_excluded FROM t""",
+)
+def collected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the two histories, merged."""
+    raws = [ad.from_history_a(history_a(spark, sf_dir)), ad.from_history_b(history_b(spark, sf_dir))]
+    _, counters = ing.collect_events(raws, max_chars=None)
+    return counters.drop("files_seen", "bytes_seen")
 
 
 TRANSCRIPT_SQL = """

@@ -300,19 +300,49 @@ def sensitive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A sentence with a term of every group of the gate predicate, in parts that can be left out.
+GATE_PARTS = (
+    "explicit", "loaded", "per-stage", "do not proceed", "handoff", "according to",
+    "documented repository workflow", "project-required", "order", "available",
+)
+UNIVERSAL = "After all of ci is green, commit."
+
+
+def sql_gate(text: str) -> str:
+    """The gate predicate in SQL, for texts that state no universal prerequisite."""
+    from evidgrid import lexicon as lx
+    from evidgrid.functions.exprs import any_of
+
+    tests = [any_of(terms) for terms in lx.GATE_TERM_GROUPS.values()]
+    tests += [pattern.replace("(?U)", "") for pattern in lx.GATE_WORDS]
+    return " AND ".join(f"regexp_matches(lower({text}), '{test}')" for test in tests)
+
+
 @query(
     "stage_gates",
-    """SELECT doc_id, regexp_matches(lower(text), 'license') AND regexp_matches(lower(text), 'copyright') AS both,
-  list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['mit']) AS word FROM documents""",
+    f"""WITH p AS (SELECT doc_id, text || chr(10) || array_to_string(list_filter({list(GATE_PARTS)}, lambda x, i: i - 1 <> doc_id % 12), ' ') || '.' AS t FROM documents)
+SELECT doc_id, {sql_gate('t')} AND doc_id % 5 <> 0 AS gate, doc_id % 5 = 0 AS universal FROM p""",
 )
 def stage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conjunction of term groups, in the form of the gate predicate."""
-    from evidgrid.functions.exprs import any_of
+    """The gate predicate on documents with a gate sentence, of which mostly one part is missing."""
+    from evidgrid.functions.exprs import strings
 
-    lowered = F.lower("text")
-    groups = [any_of(["license"]), any_of(["copyright"])]
+    parts = F.filter(strings(list(GATE_PARTS)), lambda x, i: i != F.col("doc_id") % 12)
+    gate = F.concat("text", F.lit("\n"), F.array_join(parts, " "), F.lit("."))
+    stated = F.concat(gate, F.when(F.col("doc_id") % 5 == 0, f" {UNIVERSAL}").otherwise(""))
     return texts(spark, sf_dir).select(
-        "doc_id",
-        F.forall(F.array(*[lowered.rlike(g) for g in groups]), lambda ok: ok).alias("both"),
-        F.array_contains(extract_all(lowered, r"[\p{L}\p{N}]+"), "mit").alias("word"),
+        "doc_id", tx.has_stage_gate(stated).alias("gate"), tx.universal_prerequisite(stated).alias("universal")
     )
+
+
+@query(
+    "composed_texts",
+    "SELECT doc_id, sha256(nfc_normalize(text || ' e' || chr(769) || 'a' || chr(776) || chr(4352) || chr(4449))) AS composed_sha256 FROM documents",
+)
+def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with some combining characters behind them, composed."""
+    from evidgrid.operators.ingest import compose_unicode
+
+    marked = F.concat("text", F.lit(" e\u0301a\u0308\u1100\u1161"))
+    composed = compose_unicode(texts(spark, sf_dir).select("doc_id", marked.alias("t")), "t")
+    return composed.select("doc_id", ident.content_sha("t").alias("composed_sha256"))

@@ -68,8 +68,9 @@ def compare(spark, connection, sf, name, function, sql):
     off = {n: (t, duck_types[n]) for n, t in spark_types.items() if pairs.get(t) != duck_types[n]}
     note = f" TYPES {off}" if off else ""
     if ours != theirs:
-        a = [r for r in ours if r not in set(theirs)][:3]
-        b = [r for r in theirs if r not in set(ours)][:3]
+        left, right = set(ours), set(theirs)
+        a = [r for r in ours if r not in right][:3]
+        b = [r for r in theirs if r not in left][:3]
         return f"{name}: DIFFERENT {len(ours)} / {len(theirs)} rows\n  ours {a}\n  sql  {b}{note}", False
     return f"{name}: equal, {len(ours)} rows, {took:.1f}s (sql {other:.1f}s){note}", not off
 
