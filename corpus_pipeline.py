@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", encode),
 ]
 
-#: The toxicity model has no SQL form; tests compare the stages with brute force.
+#: The toxicity model has no SQL form; tests compare the rows that stay with planted documents.
 ORACLE_SQL = None
 
 
