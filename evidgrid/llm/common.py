@@ -145,6 +145,15 @@ def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator
     return wrapped
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label 0 or 1), one row per id; of several labels the largest holds, nulls are left out."""
+    return (
+        labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg((F.max(label) > 0).cast("int").alias("label"))
+    )
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, scratch: Scratch
 ) -> DataFrame:
@@ -154,11 +163,7 @@ def labelled_sample(
     the tables are laid out. Null labels and ids are left out; of several labels the largest holds;
     of rows that repeat an id one is taken.
     """
-    known = (
-        labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg((F.max(label) > 0).cast("int").alias("label"))
-    )
+    known = known_labels(labels, label)
     chosen = None
     for value in (0, 1):
         part = (

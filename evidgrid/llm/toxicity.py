@@ -10,7 +10,8 @@ Features are words and beginnings of words whose smoothed log-odds between the l
 ``LEAST_ODDS`` and ``LEAST_Z`` standard errors from zero in the sample, by 64-bit hash, with
 1 + log(count) as value; beginnings reach inflected forms that the sample does not have. Texts are
 read whole, wherever the words stand. The model is fitted on at most ``TRAIN_ROWS`` documents of each label;
-scores are a projection over all documents.
+scores are a projection over all documents. The sample has the labels in equal parts, so the fit weighs
+them as they occur in the whole table of labels; a probability of one half is that of the table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from evidgrid.llm.common import (
     Adam,
     Scratch,
     byte_table,
+    known_labels,
     labelled_sample,
     lean,
     sigmoid,
@@ -40,14 +42,14 @@ TRAIN_ROWS = 2_000
 #: Documents of the sample that share one of so many least hashes of word runs share one vote.
 VOTES, RUN = 8, 8
 #: Evidence that a feature needs: standard errors, and the log-odds themselves.
-LEAST_Z, LEAST_ODDS = 3.5, 2.5
+LEAST_Z, LEAST_ODDS = 2.0, 1.5
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: Documents with a word, of the sample, that make it a candidate.
 LEAST_DOCUMENTS = 3
 #: Features at most, the strongest first.
 MOST_FEATURES = 5_000
-ROUNDS, RATE, RIDGE = 300, 0.05, 0.002
+ROUNDS, RATE, RIDGE = 300, 0.05, 0.02
 WORD_BYTES = byte_table([*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
@@ -184,10 +186,12 @@ def fit(
     owner: np.ndarray,
     words: np.ndarray,
     counts: np.ndarray,
+    prior: np.ndarray | None = None,
 ) -> Model:
     """Model from sparse rows (owner, word hash, count); ``share`` is the weight of a document.
 
-    With only one label all documents get it.
+    A label weighs as much as its part of ``prior``, the labelled documents of each label; without it
+    as in the sample. With only one label all documents get it.
     """
     total = np.bincount(labels, weights=share, minlength=2)
     if not total.all():
@@ -218,7 +222,8 @@ def fit(
 
     weights, base, gaps = np.zeros(len(strong)), np.array([1.0]), np.full(grades - 1, 0.5)
     adam = Adam([weights, base, gaps], RATE)
-    importance = (0.5 * len(labels) / total)[labels] * share
+    prior = total if prior is None else prior
+    importance = (prior / prior.sum() * len(labels) / total)[labels] * share
     row = np.arange(len(labels))
     for _ in range(ROUNDS):
         score = np.bincount(rows, weights=weights[columns] * values, minlength=len(labels))
@@ -253,6 +258,10 @@ def train(
 ) -> Model:
     """Fit on a sample of at most ``per_class`` labelled documents of each label."""
     sample = labelled_sample(docs, labels, "toxic", per_class, scratch)
+    all_labels = known_labels(labels, "toxic").groupBy("label").count().collect()  # two rows at most
+    prior = np.zeros(2)
+    for row in all_labels:
+        prior[row["label"]] = row["count"]
     rows = word_counts(sample).orderBy("doc_id").toArrow().combine_chunks()  # as the sample bounds
     words, counts = rows.column("words"), rows.column("counts")
     sizes = pa.compute.list_value_length(words).to_numpy()
@@ -263,6 +272,7 @@ def train(
         np.repeat(np.arange(len(sizes)), sizes),
         pa.compute.list_flatten(words).to_numpy(),
         pa.compute.list_flatten(counts).to_numpy().astype(np.int64),
+        prior,
     )
 
 
