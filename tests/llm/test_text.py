@@ -3,10 +3,11 @@
 import base64
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
-from helpers import corpus, frame, sentence
+from helpers import corpus, frame, sentence, words
 
 from evidgrid.llm import pii
 from evidgrid.llm.byte_bpe import LONG_PIECE, Encoder, Vocabulary, decode, encode, round_trip
@@ -125,6 +126,73 @@ def test_names_take_no_whole_article(source):
     assert Page(source).main_text(None) == "text"
 
 
+@pytest.mark.parametrize(
+    "name",
+    "comment-list commentlist user-comments disqus_thread ad-slot ad_300x250 main-nav left-sidebar "
+    "site-footer comments cookie-banner".split(),
+)
+def test_outside_names_with_places(name):
+    assert Page(f'<article>text<div class="{name}">no</div></article>').main_text() == "text"
+    assert Page(f'<div class="{name}">no</div><p>text</p>').main_text() == "text"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<article><p class="search">text</p></article>',
+        '<section class="form">text</section>',
+        '<article><pre><span class="token comment">text</span></pre></article>',
+        '<div class="site-header">no</div><div class="post-header">text</div>',
+        '<div class="main-content">text</div>',
+        '<article>a</article><div id="content">text text text text</div><ul><li><a>no</a></ul>',
+    ],
+)
+def test_names_and_teasers_lose_no_text(source):
+    assert "text" in Page(source).main_text()
+
+
+def test_deep_pages_take_memory_in_proportion():
+    def peak(count: int) -> int:
+        source = "<div>" + "<font size='2'>w " * count + "</td>" * count
+        tracemalloc.start()
+        assert len(Page(source).main_text()) == 2 * count - 1
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(20_000) < 2.5 * peak(10_000)
+
+
+def test_slots_of_links_and_little_text_are_not_main(spark):
+    def unnamed(host: str, i: int, beside: str) -> tuple[int, str, str]:
+        links = "".join(f"<a href='/{w}'>{w}</a> " for w in words(500 + i, 6))
+        body = (
+            f"<div id='a'><div class='x'>{links}</div></div><div class='y'><h2>Title {i}</h2></div>"
+            f"<div class='z'><p>{sentence(i, 80)}</p><p>{sentence(900 + i, 40)}</p></div>"
+            f"<div class='w'>{beside}</div>"
+        )
+        return i, f"https://{host}/{i}", body
+
+    rows = [unnamed("h.example", i, f"user{i}") for i in range(8)]
+    rows += [unnamed("two.example", 20 + i, f"user{i}") for i in range(2)]
+    rows.append((30, "https://t.example/1", f"<article>a teaser</article><div><p>{sentence(3, 50)}</p></div>"))
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in main_texts(docs, Scratch(spark)).collect()}
+    # Menus and user names stand in slots of their own, on hosts of two pages too.
+    for i in [*range(8), 20, 21]:
+        assert found[i] == f"Title {i} {sentence(i, 80)} {sentence(900 + i, 40)}"
+    assert found[30] == f"a teaser {sentence(3, 50)}"
+
+
+def test_shared_text_of_two_pages_stays_in_articles_and_near_copies(spark):
+    shared = f"<p>{sentence(60, 60)}</p>"
+    rows = [(i, "https://a.example/", f"<article><p>{sentence(i, 30)}</p>{shared}</article>") for i in (1, 2)]
+    rows += [(i, "https://n.example/", f"<div>{shared}</div><div><p>{sentence(i, 9)}</p></div>") for i in (3, 4)]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for row in main_texts(docs, Scratch(spark)).collect():
+        assert sentence(60, 60) in row.text and sentence(row.page_id, 9) in row.text
+
+
 def test_header_of_an_article_stays():
     for header in ("<header>", "<header class='entry-header'>", "<header class='header'>"):
         source = f"<header>no</header><article>{header}<h1>Head</h1></header><p>text</p></article>"
@@ -140,7 +208,7 @@ def test_template_text_goes_and_slots_stay(spark):
     out = main_texts(docs, Scratch(spark)).collect()
     assert len(out) == len(rows)
     found = {r.page_id: r for r in out}
-    # Blocks that most pages of a host share belong to its template, unless the host is too small.
+    # Blocks of an article that most pages of a host share are template text; two pages show no such thing.
     assert found[3].text == sentence(3, 9)
     assert found[101].text == f"Head {sentence(1, 9)} Share this page now"
     assert found[200].text == "" and found[200].n_chars == 0 and found[None].text == ""
