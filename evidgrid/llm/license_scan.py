@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
 from functools import reduce
+from itertools import product
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidgrid.llm.common import LOWER, UPPER
+from evidgrid.llm.common import BROADCAST_ROWS, LOWER, UPPER
+from evidgrid.session import cut_lineage_counted
 
-# Default known texts: notices, license texts as published, without their copyright lines, and the
-# whole texts in the folder ``licenses``, one file per license.
+# Default known texts: license texts as published, without their copyright lines, the whole texts in
+# the folder ``licenses``, one file per license, and short notices made from ``NAMES``.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
 and associated documentation files (the "Software"), to deal in the Software without restriction,
 including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
@@ -59,18 +60,65 @@ documentation would be appreciated but is not required.
 original software.
 3. This notice may not be removed or altered from any source distribution."""
 KNOWN = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
     "ISC": [ISC, f"ISC License\n\n{ISC}"],
-    "MIT": ["Released under the MIT License.", MIT, f"MIT License\n\n{MIT}"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0."],
+    "MIT": [MIT, f"MIT License\n\n{MIT}"],
     "Zlib": [ZLIB],
     "all-rights-reserved": ["All rights reserved."],
 }
+# Names under which the licenses are published.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License", "GNU AGPL"),
+    "Apache-2.0": ("Apache License", "Apache Software License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "CC-BY-4.0": ("CC BY", "Creative Commons Attribution"),
+    "CC-BY-NC-4.0": ("CC BY-NC", "Creative Commons Attribution-NonCommercial"),
+    "CC-BY-SA-4.0": ("CC BY-SA", "Creative Commons Attribution-ShareAlike"),
+    "CC0-1.0": ("CC0", "Creative Commons Zero"),
+    "EPL-2.0": ("Eclipse Public License", "EPL"),
+    "GPL-2.0": ("GNU General Public License", "GNU GPL"),
+    "GPL-3.0": ("GNU General Public License", "GNU GPL"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License", "GNU LGPL"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "GNU LGPL"),
+    "MIT": ("MIT License", "Expat License"),
+    "MPL-2.0": ("Mozilla Public License", "MPL"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+SUBJECTS = ("", "This file is ", "This project is ", "This software is ", "This work is ", "This code is ")
+TERMS = ("licensed under", "released under", "distributed under", "available under")
+
+
+def versioned(license_id: str, name: str) -> list[str]:
+    """The ways in which a name states the version that ends the id, if one does."""
+    version = re.search(r"-(\d+)\.(\d+)$", license_id)
+    if not version:
+        return [name]
+    number = f"{version[1]}.{version[2]}"
+    numbers = [number, version[1]] if version[2] == "0" and "GNU" in name else [number]
+    if license_id.startswith("CC"):
+        kind = "Universal" if license_id.startswith("CC0") else "International"
+        return [f"{name} {number}", f"{name} {number} {kind}"]
+    return [f"{name}{link}{n}" for n in numbers for link in (" ", " v", " version ")]
+
+
+def notices(license_id: str) -> list[str]:
+    """Short notices of a license: who, term, article and name with version; SPDX lines."""
+    ids = [license_id]
+    if "GPL" in license_id:
+        ids += [f"{license_id}-only", f"{license_id}-or-later"]
+    out = [f"SPDX-License-Identifier: {spdx}" for spdx in ids]
+    for name in NAMES[license_id]:
+        for full in versioned(license_id, name):
+            ends = [full] if "license" in full.lower() else [full, f"{full} License"]
+            out += [f"License: {end}" for end in ends]
+            for subject, term, end in product(SUBJECTS, TERMS, ends):
+                if "license" in f"{term} {end}".lower():
+                    out += [f"{subject}{term} {article}{end}" for article in ("", "a ", "the ")]
+    return out
+
+
 TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
 APPENDIX = "APPENDIX: How to apply the Apache License to your work."
 for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
@@ -79,6 +127,8 @@ for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
     if APPENDIX in whole:  # often left off
         forms.append(whole[: whole.index(APPENDIX)])
     KNOWN[file.stem] = KNOWN.get(file.stem, []) + forms
+for known_id in NAMES:
+    KNOWN[known_id] = notices(known_id) + KNOWN.get(known_id, [])
 
 #: Equivalent spellings, replaced in this order wherever they stand.
 SPELLINGS = (
@@ -97,6 +147,8 @@ COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Every known text has one of these words in its canonical form, in one spelling only.
 NEEDED = ("license", "licence", "software", "reserved")
+#: Words of given known texts that are looked for before texts are put into canonical form.
+MOST_WORDS = 200
 
 
 def canonical_text(text: str) -> str:
@@ -113,38 +165,39 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    return [
-        (hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
-        for name, texts in KNOWN.items()
-        for text in texts
-    ]
+    return sorted(
+        {
+            (hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
+            for name, texts in KNOWN.items()
+            for text in texts
+        }
+    )
 
 
-def needed_words(canonical_texts: Iterable[str]) -> tuple[str, ...]:
-    """Words of which every text has one; none if some text has no word that could be looked for.
+def needed_words(forms: DataFrame) -> tuple[str, ...]:
+    """Words of which every canonical text in ``forms`` has one; none if there is no such short list.
 
     ``NEEDED`` first, then the longest word of each text that is left. A word must stand in the raw
-    texts too: ASCII, and no result of ``SPELLINGS``.
+    texts too: ASCII, and no result of ``SPELLINGS``. Texts with more than ``MOST_WORDS`` different
+    words of their own are looked up without a filter, which changes no result.
     """
-    words = set(NEEDED)
-    for text in canonical_texts:
-        if any(word in text for word in words):
-            continue
-        able = [
-            word
-            for word in text.split(" ")
-            if word.isascii() and not any(new in word for _, new in SPELLINGS)
-        ]
-        if not able:
-            return ()
-        words.add(max(able, key=lambda word: (len(word), word)))
-    return tuple(sorted(words))
+    listed = reduce(lambda a, b: a | b, [F.contains("form", F.lit(word)) for word in NEEDED])
+    changed = "|".join(new for _, new in SPELLINGS)
+    able = F.filter(
+        F.split("form", " "), lambda word: word.rlike("^[a-z0-9]+$") & ~word.rlike(changed)
+    )
+    longest = F.array_max(F.transform(able, lambda word: F.struct(F.length(word).alias("n"), word.alias("word"))))
+    own = forms.where(~listed).select(longest["word"].alias("word")).distinct()
+    words = [row.word for row in own.limit(MOST_WORDS + 1).collect()]
+    if None in words or len(words) > MOST_WORDS:
+        return ()
+    return tuple(sorted({*NEEDED, *words}))
 
 
 def scan(docs: DataFrame, texts_known: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, whole_license, n_units, licenses.
 
-    ``texts_known`` (license, text) are the texts to look for, as many as the driver can hold;
+    ``texts_known`` (license, text) are the texts to look for, a table of any size;
     without it those of ``KNOWN``. ``whole_license`` is the license that the whole text is (null if
     none), ``n_units`` the number of different units (whole text, paragraphs, lines) that are a known
     text, ``licenses`` their licenses, sorted. Null and empty texts have none. Rows that repeat an id
@@ -152,15 +205,18 @@ def scan(docs: DataFrame, texts_known: DataFrame | None = None) -> DataFrame:
     columns are not looked at.
     """
     spark = docs.sparkSession
-    digests, needed = known_digests(), NEEDED
-    if texts_known is not None:
-        forms = texts_known.select("license", canonical(F.col("text")).alias("form"))
-        rows = forms.where("license IS NOT NULL AND form != ''").distinct().collect()
-        digests = [(hashlib.sha256(r.form.encode()).hexdigest(), r.license) for r in rows]
-        needed = needed_words(r.form for r in rows)
-    quoted = [(d, n.replace("\\", "\\\\").replace("'", "\\'")) for d, n in digests]
-    values = ", ".join(f"('{digest}', '{name}')" for digest, name in quoted or [("", "")])
-    known = spark.sql(f"SELECT * FROM VALUES {values} AS known(digest, license)")
+    if texts_known is None:
+        values = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digests())
+        known = spark.sql(f"SELECT * FROM VALUES {values} AS known(digest, license)")
+        needed, small = NEEDED, True
+    else:
+        forms = texts_known.select("license", canonical(F.col("text")).alias("form")).where(
+            "license IS NOT NULL AND form != ''"
+        )
+        needed = needed_words(forms)
+        digests = forms.select(F.sha2("form", 256).alias("digest"), "license").distinct()
+        known, rows_known = cut_lineage_counted(digests)
+        small = rows_known <= BROADCAST_ROWS
     folded = F.lower(F.col("text"))
     possible = reduce(lambda a, b: a | b, [folded.contains(w) for w in needed], F.lit(not needed))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -185,7 +241,7 @@ def scan(docs: DataFrame, texts_known: DataFrame | None = None) -> DataFrame:
         .distinct()
     )
     found = (
-        looked_up.join(F.broadcast(known), "digest")
+        looked_up.join(F.broadcast(known) if small else known, "digest")
         .groupBy("doc_id", "mark")
         .agg(
             F.max(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),

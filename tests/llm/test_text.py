@@ -71,6 +71,30 @@ def test_known_texts_as_an_argument(spark):
     assert scan(frame(spark, rows), known.limit(0)).count() == len(rows)
 
 
+def test_published_short_notices(spark):
+    lines = [
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("This project is licensed under the MIT License", "MIT"),
+        ("This software is released under the Apache License v2.0", "Apache-2.0"),
+        ("Distributed under the GNU Lesser General Public Licence, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("License: CC0 1.0 Universal", "CC0-1.0"),
+        ("Licensed under the Mozilla Public License, v. 2.0", None),
+        ("This project is licensed under the MITRE License", None),
+        ("The software has a license", None),
+    ]
+    out = {r.doc_id: r for r in scan(frame(spark, [(i, line) for i, (line, _) in enumerate(lines)])).collect()}
+    assert [out[i].whole_license for i in range(len(lines))] == [name for _, name in lines]
+
+
+def test_known_texts_with_many_words_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr("evidgrid.llm.license_scan.MOST_WORDS", 3)
+    known = spark.createDataFrame([(f"L{i}", f"only word{i} here") for i in range(9)], "license string, text string")
+    out = {r.doc_id: r for r in scan(frame(spark, [(i, f"Only  WORD{i} here.") for i in range(10)]), known).collect()}
+    assert [out[i].whole_license for i in range(10)] == [f"L{i}" for i in range(9)] + [None]
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 
