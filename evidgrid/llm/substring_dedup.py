@@ -175,9 +175,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> Dat
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
     )
     rows = scratch.save(profile(texts, size), "profile")
-    lowest = rows.groupBy("sha").agg(F.min("doc_id").alias("lowest"))
+    # Only texts with copies, written first: a join with a written table can be split at a hot text.
+    copies = scratch.save(
+        rows.groupBy("sha")
+        .agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
+        .where("lowest < highest")
+        .drop("highest"),
+        "copies",
+    )
     known = scratch.save(
-        rows.join(lowest, "sha").select(
+        rows.join(copies, "sha", "left").select(
             *KEY,
             "n_words",
             "sha",
@@ -189,7 +196,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> Dat
         ),
         "known",
     )
-    scratch.release("profile")
+    scratch.release("profile", "copies")
     spots = known.where("NOT copy AND doc_id IS NOT NULL").select(
         F.explode("anchors").alias("a"), *KEY
     )
