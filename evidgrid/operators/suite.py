@@ -221,17 +221,17 @@ def coverage_gaps(changed: DataFrame, selectors: DataFrame) -> DataFrame:
     heading. Documents meet selectors by equal suffixes, so neither side has a limit.
     """
     blocks = changed.select("doc", "heading_path").distinct()
+    listed = selectors.select("suffix", F.lower("contained").alias("contained")).distinct()
+    # One number per length that a selector has, however many selectors there are: a block makes only
+    # suffixes that can be equal to one.
+    sizes = sorted(r["n"] for r in listed.select(F.length("suffix").alias("n")).where("n IS NOT NULL").distinct().collect())
+    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("doc"))
     ends = blocks.select(
         "doc",
         "heading_path",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.length("doc")), lambda n: F.substr(F.col("doc"), n + 1)
-            )
-        ).alias("suffix"),
+        F.explode(F.transform(fitting, lambda n: F.substr(F.col("doc"), F.length("doc") - n + 1, n))).alias("suffix"),
     )
     heading = F.lower(F.array_join("heading_path", " > "))
-    listed = selectors.select("suffix", F.lower("contained").alias("contained")).distinct()
     covered = (
         ends.join(listed, "suffix")
         .where((F.col("contained") == "*") | F.contains(heading, F.col("contained")))

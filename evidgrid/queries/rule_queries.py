@@ -524,7 +524,71 @@ def nomination_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("index", "candidate_class", "code", "admission", "admission_reason")
 
 
-@query("change_checks")
+def sql_pattern(pattern: str) -> str:
+    """A pattern of the lexicon as an SQL literal; DuckDB has no flag U."""
+    return "'" + pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") + "'"
+
+
+def sql_found(text: str, pattern: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({text}, {sql_pattern(pattern)}), lambda t: lower(t)))"
+
+
+def sql_lacking(terms: str, *known: str) -> str:
+    """Whether a term stands in none of the known lists."""
+    held = " OR ".join(f"list_contains({k}, t)" for k in known)
+    return f"len(list_filter({terms}, lambda t: NOT coalesce({held}, false))) > 0"
+
+
+def sql_changes() -> str:
+    """Reject codes of the changes of ``change_checks``, one source and one piece of evidence each."""
+    from evidgrid import lexicon as lx
+    from evidgrid.queries.text_queries import SQL_NORMAL
+
+    def normal(text: str) -> str:
+        return SQL_NORMAL.replace("(text,", f"({text},")
+
+    def words(text: str) -> str:
+        return f"regexp_extract_all({normal(text)}, '[\\p{{L}}\\p{{N}}]+')"
+
+    def phrases(text: str) -> str:
+        either = "|".join(f"(?:{p.replace('(?U)', '')})" for p in lx.CATCH_ALL_PATTERNS)
+        return sql_found(normal(text), either)
+
+    def matches(text: str, pattern: str) -> str:
+        return f"regexp_matches({text}, {sql_pattern(pattern)})"
+
+    scope = sql_list(lx.UNIVERSAL_SCOPE_TERMS)
+    return f"""WITH h AS (SELECT doc_id, arg_min(line, length(line) * 1000000 + i) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id),
+d AS (SELECT doc_id, text, {sql_found("text", lx.ACTION_PATTERN)} AS actions, {sql_found("text", lx.INTENSIFIER_PATTERN)} AS force, {phrases("text")} AS loose,
+  length(trim(text)) >= 12 AND len(list_distinct(list_filter({words("text")}, lambda t: length(t) >= 3))) >= 2 AS solid FROM documents),
+known AS (SELECT list_distinct(flatten(list(actions))) AS actions FROM d),
+c AS (SELECT l.doc_id, l.toxic, CASE WHEN l.doc_id % 2 = 0 THEN 'remove' ELSE 'replace' END AS action,
+  CASE WHEN l.doc_id % 2 = 0 THEN '' ELSE trim(regexp_replace(regexp_replace(h.line, '[^\\p{{L}} ]', ' ', 'g'), '\\s+', ' ', 'g')) END AS body
+  FROM labels l JOIN h USING (doc_id)),
+j AS (SELECT c.*, {words("c.body")} AS w, {sql_found("c.body", lx.ACTION_PATTERN)} AS acts, {sql_found("c.body", lx.INTENSIFIER_PATTERN)} AS strong, {phrases("c.body")} AS open,
+  a.text AS src, a.actions AS src_acts, a.loose AS src_loose, b.text AS ev, b.solid, coalesce(b.actions, []) AS ev_acts, coalesce(b.loose, []) AS ev_loose,
+  CASE WHEN list_has_any(list_concat(a.force, coalesce(b.force, [])), {scope}) THEN list_concat(a.force, coalesce(b.force, []), {scope})
+    ELSE list_concat(a.force, coalesce(b.force, [])) END AS known_force, known.actions AS known_acts
+  FROM c JOIN d a USING (doc_id) LEFT JOIN d b ON b.doc_id = 2 * c.doc_id CROSS JOIN known)
+SELECT doc_id AS index, action,
+  CASE WHEN doc_id % 13 = 0 THEN 'protected_change'
+    WHEN action = 'replace' AND len(w) > 8 AND len(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) < len(w) - 7 THEN 'repeated_replacement_phrase'
+    WHEN action = 'replace' AND body = '' THEN 'empty_replacement'
+    WHEN {matches("body", lx.SELF_ATTESTED_PATTERN)} AND NOT {matches("body", lx.EXTERNAL_CRITERION_PATTERN)} THEN 'undefined_verification_gate'
+    WHEN toxic = 1 THEN 'missing_reason'
+    WHEN ev IS NULL THEN 'unknown_evidence'
+    WHEN NOT solid THEN 'insufficient_evidence_text'
+    WHEN {matches("src", lx.OPT_IN_PATTERN)} AND {matches("ev", lx.CHANGE_REVERSAL_PATTERN)} AND {matches("body", lx.OPT_IN_PATTERN)} THEN 'retained_reversed_clause'
+    WHEN {sql_lacking("strong", "known_force")} THEN 'unsupported_intensifier'
+    WHEN {matches("ev", lx.CHANGE_REVERSAL_PATTERN)} AND {sql_lacking("ev_acts", "acts")} THEN 'dropped_explicit_action'
+    WHEN {sql_lacking("open", "src_loose", "ev_loose")} THEN 'unsupported_action_catch_all'
+    WHEN {sql_lacking("acts", "src_acts", "ev_acts", "known_acts")} THEN 'ungrounded_operational_action'
+    WHEN len(list_filter(list_intersect(acts, {sql_list(lx.HIGH_IMPACT_ACTIONS)}), lambda t: NOT list_contains(src_acts, t))) > 0 THEN 'undefined_high_impact_gate' END AS code,
+  CAST(0 AS BIGINT) AS lineage_depth, false AS source_only_consolidation FROM j"""
+
+
+@query("change_checks", sql_changes())
 def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes built from all labels: removals and replacements with evidence of twice the number."""
     blocks, events = cited_tables(spark, sf_dir)
@@ -552,7 +616,29 @@ def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("index", "action", "code", "lineage_depth", "source_only_consolidation")
 
 
-@query("structural_collisions")
+def sql_collisions(first: list[str], second: list[str]) -> str:
+    """Collisions as defined: every text with a sign or an exclusive word against the others of its source."""
+    from evidgrid import lexicon as lx
+
+    families = " ".join(f"WHEN '{word}' THEN '{family}'" for word, family in lx.DECISION_FAMILIES.items())
+    terms = (
+        "list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]*'), lambda t: lower(t)), "
+        f"lambda t: length(t) >= 3 AND NOT list_contains({sql_list(lx.DECISION_STOP)}, t)), lambda t: CASE t {families} ELSE t END))"
+    )
+    a, b, both = sql_list(first), sql_list(second), sql_list(first + second)
+    return f"""WITH d AS (SELECT source, {terms} AS terms,
+  CASE WHEN regexp_matches(text, {sql_pattern(lx.DECISION_NEGATIVE_PATTERN)}) THEN -1 WHEN regexp_matches(text, {sql_pattern(lx.DECISION_POSITIVE_PATTERN)}) THEN 1 ELSE 0 END AS sign,
+  regexp_matches(text, {sql_pattern(lx.DECISION_INCOMPATIBLE_PATTERN)}) AS stated, regexp_matches(text, {sql_pattern(lx.DECISION_EXCLUSIVE_PATTERN)}) AS exclusive FROM documents),
+t AS (SELECT *, list_intersect(terms, {both}) AS hit FROM d),
+g AS (SELECT source, bool_or(list_has_any(terms, {a})) AND bool_or(list_has_any(terms, {b})) AS grounded,
+  bool_or(stated AND list_has_any(terms, {a}) AND list_has_any(terms, {b})) AS stated FROM t GROUP BY source),
+p AS (SELECT DISTINCT x.source FROM t x JOIN t y ON x.source = y.source AND len(list_intersect(x.hit, y.hit)) >= 2
+  AND (x.sign = 1 AND y.sign = -1 OR x.exclusive AND len(list_intersect(x.terms, y.terms)) < least(len(x.terms), len(y.terms)))
+  WHERE len(x.hit) >= 2 AND len(y.hit) >= 2 AND (x.sign = 1 OR x.exclusive))
+SELECT g.source AS conflict_id, grounded AND (stated OR p.source IS NOT NULL) AS collides FROM g LEFT JOIN p USING (source)"""
+
+
+@query("structural_collisions", sql_collisions(["tion"], ["mit", "der", "von"]))
 def structural_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the documents of a source contain texts that exclude each other on two subjects."""
     documents = texts(spark, sf_dir)
