@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from evidgrid import lexicon as lx
 from evidgrid.functions.exprs import col, extract_all, let, prefix_sums
 from evidgrid.functions.text import label_key
+from evidgrid.session import cut_lineage
 
 # Limits of a suite.
 MAX_ACTIONS = 64
 MAX_PHRASES = 16
 # End of fixed values.
 
+#: Phrase keys that are broadcast, and what a key takes beside its phrase.
+BROADCAST_BYTES = 64 << 20
+KEY_BYTES = 64
+
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -290,6 +295,11 @@ def contained_phrases(
         .otherwise(F.xxhash64(F.lit("c"), F.substr("_p", F.lit(1), F.col("_c"))))
         .alias("_key"),
     )
+    # Keys of a measured size meet the texts on the scan; more of them are joined by a shuffle.
+    keyed = cut_lineage(keyed)
+    needed = keyed.agg(F.sum(F.octet_length("_p") + KEY_BYTES)).first()[0] or 0
+    keys = keyed.select("_key", "phrase_id", "_p")
+    keys = F.broadcast(keys) if needed <= BROADCAST_BYTES else keys
     # At most ``words`` + ``characters`` different kinds of keys, however many phrases there are.
     kinds = [r["_n"] for r in keyed.select("_n").distinct().collect()]
     normal = texts.select("text_id", label_key(text).alias("_t"))
@@ -311,7 +321,7 @@ def contained_phrases(
         "text_id", F.explode_outer(let(extract_all(F.col("_t"), pattern), keys_of)).alias("_key")
     ).where(F.col("_key").isNotNull())
     candidates = (
-        shingled.join(keyed.select("_key", "phrase_id", "_p"), "_key")
+        shingled.join(keys, "_key")
         .select("text_id", "phrase_id", "_p")
         .distinct()
     )

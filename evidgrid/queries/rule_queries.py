@@ -9,7 +9,7 @@ from evidgrid.functions.exprs import strings
 from evidgrid.functions.text import extract_terms, normalize_block, utf8_bytes
 from evidgrid.operators import metrics as mt
 from evidgrid.operators import rules as ru
-from evidgrid.queries.base import query, sql_list, table, texts
+from evidgrid.queries.base import ORACLES, query, sql_list, table, texts
 from evidgrid.queries.text_queries import SQL_NORMAL
 
 WORDS = "with from mit von dans avec sur par para una".split()
@@ -473,6 +473,29 @@ def sql_analyst_terms(text: str) -> str:
     )
 
 
+def checked_nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominations built from all labels: class by number, one source, evidence of twice the number."""
+    from evidgrid import lexicon as lx
+
+    blocks, events = cited_tables(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    kinds = strings(list(lx.CANDIDATE_CLASSES))
+    kind = F.element_at(kinds, (F.col("doc_id") % len(lx.CANDIDATE_CLASSES) + 1).cast("int"))
+    planted = F.when(F.col("doc_id") % 17 == 0, " password=planted-value-9").otherwise("")
+    nominations = labelled(spark, sf_dir).select(
+        F.col("doc_id").alias("index"),
+        kind.alias("candidate_class"),
+        F.when(F.col("quality") == 1, "git").otherwise("other").alias("domain"),
+        F.when(kind == "missing_rule", strings([])).otherwise(F.array(key)).alias("source_ids"),
+        F.array(key, (F.col("doc_id") * 2).cast("string")).alias("evidence_ids"),
+        F.concat("head", planted).alias("behavioral_intent"),
+        F.lit("from a label").alias("reason"),
+        F.col("lang").alias("applies_when"),
+        F.col("source").alias("does_not_apply_when"),
+    )
+    return ru.validate_nominations(nominations, blocks, events)
+
+
 @query(
     "nomination_checks",
     f"""WITH h AS (SELECT doc_id, arg_min(line, length(line) * 1000000 + i) AS line FROM (
@@ -502,25 +525,7 @@ FROM j""",
 )
 def nomination_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nominations built from all labels: class by number, one source, evidence of twice the number."""
-    from evidgrid import lexicon as lx
-
-    blocks, events = cited_tables(spark, sf_dir)
-    key = F.col("doc_id").cast("string")
-    kinds = strings(list(lx.CANDIDATE_CLASSES))
-    kind = F.element_at(kinds, (F.col("doc_id") % len(lx.CANDIDATE_CLASSES) + 1).cast("int"))
-    planted = F.when(F.col("doc_id") % 17 == 0, " password=planted-value-9").otherwise("")
-    nominations = labelled(spark, sf_dir).select(
-        F.col("doc_id").alias("index"),
-        kind.alias("candidate_class"),
-        F.when(F.col("quality") == 1, "git").otherwise("other").alias("domain"),
-        F.when(kind == "missing_rule", strings([])).otherwise(F.array(key)).alias("source_ids"),
-        F.array(key, (F.col("doc_id") * 2).cast("string")).alias("evidence_ids"),
-        F.concat("head", planted).alias("behavioral_intent"),
-        F.lit("from a label").alias("reason"),
-        F.col("lang").alias("applies_when"),
-        F.col("source").alias("does_not_apply_when"),
-    )
-    checked = ru.validate_nominations(nominations, blocks, events)
+    checked = checked_nominations(spark, sf_dir)
     return checked.select("index", "candidate_class", "code", "admission", "admission_reason")
 
 
@@ -539,24 +544,26 @@ def sql_lacking(terms: str, *known: str) -> str:
     return f"len(list_filter({terms}, lambda t: NOT coalesce({held}, false))) > 0"
 
 
-def sql_changes() -> str:
-    """Reject codes of the changes of ``change_checks``, one source and one piece of evidence each."""
+def sql_matches(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, {sql_pattern(pattern)})"
+
+
+def sql_phrases(text: str) -> str:
+    """Open-ended phrases of a text."""
     from evidgrid import lexicon as lx
-    from evidgrid.queries.text_queries import SQL_NORMAL
 
-    def normal(text: str) -> str:
-        return SQL_NORMAL.replace("(text,", f"({text},")
+    either = "|".join(f"(?:{p.replace('(?U)', '')})" for p in lx.CATCH_ALL_PATTERNS)
+    return sql_found(SQL_NORMAL.replace("(text,", f"({text},"), either)
 
-    def words(text: str) -> str:
-        return f"regexp_extract_all({normal(text)}, '[\\p{{L}}\\p{{N}}]+')"
 
-    def phrases(text: str) -> str:
-        either = "|".join(f"(?:{p.replace('(?U)', '')})" for p in lx.CATCH_ALL_PATTERNS)
-        return sql_found(normal(text), either)
+def sql_changes() -> str:
+    """Reject codes of the changes of ``change_checks``, one source and one piece of evidence each."""
+    from evidgrid import lexicon as lx
 
-    def matches(text: str, pattern: str) -> str:
-        return f"regexp_matches({text}, {sql_pattern(pattern)})"
+    def words(text: str) -> str:
+        return f"regexp_extract_all({SQL_NORMAL.replace('(text,', f'({text},')}, '[\\p{{L}}\\p{{N}}]+')"
 
+    phrases, matches = sql_phrases, sql_matches
     scope = sql_list(lx.UNIVERSAL_SCOPE_TERMS)
     return f"""WITH h AS (SELECT doc_id, arg_min(line, length(line) * 1000000 + i) AS line FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id),
@@ -616,6 +623,51 @@ def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("index", "action", "code", "lineage_depth", "source_only_consolidation")
 
 
+def sql_suggestions() -> str:
+    """Reject codes of the suggestions of ``suggestion_checks``, on the SQL of the nominations."""
+    from evidgrid import lexicon as lx
+
+    return f"""WITH n AS ({ORACLES["nomination_checks"]}),
+h AS (SELECT doc_id, arg_min(line, length(line) * 1000000 + i) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id),
+r AS (SELECT l.doc_id, l.toxic, again, d.source, l.doc_id + again * 1000000000 AS index,
+  trim(regexp_replace(regexp_replace(h.line, '[^\\p{{L}} ]', ' ', 'g'), '\\s+', ' ', 'g')) || CASE WHEN l.doc_id % 4 = 1 THEN ' and so on' ELSE '' END
+    || CASE WHEN l.doc_id % 5 = 1 THEN ' then deploy' ELSE '' END AS rendered, d.text || chr(10) || coalesce(b.text, '') AS support, n.index IS NOT NULL AS known
+  FROM labels l JOIN h USING (doc_id) JOIN documents d USING (doc_id) LEFT JOIN documents b ON b.doc_id = 2 * l.doc_id
+  JOIN (VALUES (0), (1)) AS t(again) ON again = 0 OR l.doc_id % 3 = 1
+  LEFT JOIN n ON n.index = l.doc_id AND n.code IS NULL AND n.candidate_class = 'missing_rule' AND n.admission = 'suggestion_candidate')
+SELECT index, CASE WHEN NOT known THEN 'unknown_missing_rule_nomination'
+    WHEN again = 1 THEN 'duplicate_new_rule_suggestion'
+    WHEN doc_id % 9 = 0 THEN 'target_not_allowlisted'
+    WHEN toxic = 1 THEN 'missing_reason'
+    WHEN {sql_lacking(sql_found("rendered", lx.ACTION_PATTERN), sql_found("support", lx.ACTION_PATTERN))} THEN 'ungrounded_operational_action'
+    WHEN {sql_lacking(sql_phrases("rendered"), sql_phrases("support"))} THEN 'unsupported_action_catch_all'
+    WHEN doc_id % 2 = 0 AND NOT {sql_matches("support", lx.INVARIANT_SUPPORT_PATTERN)} THEN 'unsupported_normative_force' END AS code,
+  {sql_matches("source || chr(10) || rendered || chr(10) || CASE WHEN toxic = 1 THEN ' ' ELSE 'from a label' END", lx.CONSEQUENTIAL_PATTERN)} AS requires_confirmation FROM r"""
+
+
+@query("suggestion_checks", sql_suggestions())
+def suggestion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One or two suggestions for every label, each for the checked nomination of its number."""
+    _, events = cited_tables(spark, sf_dir)
+    number = F.col("doc_id")
+    nominations = checked_nominations(spark, sf_dir).withColumn("nomination_id", F.col("index").cast("string"))
+    again = F.when(number % 3 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    endings = [F.when(number % 4 == 1, " and so on").otherwise(""), F.when(number % 5 == 1, " then deploy").otherwise("")]
+    suggestions = labelled(spark, sf_dir).withColumn("again", F.explode(again)).select(
+        (number + F.col("again") * 1_000_000_000).alias("index"),
+        number.cast("string").alias("nomination_id"),
+        F.when(number % 2 == 0, "MUST").otherwise("SHOULD").alias("keyword"),
+        F.concat("head", *endings).alias("rendered"),
+        F.when(F.col("toxic") == 1, " ").otherwise("from a label").alias("reason"),
+        F.when(number % 9 == 0, "elsewhere").otherwise(F.col("lang")).alias("destination"),
+        F.array("source").alias("heading_path"),
+    )
+    targets = table(spark, sf_dir, "documents").select(F.col("lang").alias("doc"))
+    checked = ru.validate_suggestions(suggestions, nominations, events, targets)
+    return checked.select("index", "code", "requires_confirmation")
+
+
 def sql_collisions(first: list[str], second: list[str]) -> str:
     """Collisions as defined: every text with a sign or an exclusive word against the others of its source."""
     from evidgrid import lexicon as lx

@@ -479,3 +479,23 @@ def test_packing_drops_the_lowest_ranks(spark):
     got = mt.pack_budget(df, ["g"], ["rank"], F.col("cost"), 40, F.col("required"))
     assert sorted(r.rank for r in got.where("g = 'g' and kept").collect()) == [0, 1, 2, 5]
     assert got.where("over_budget").select("g").distinct().collect()[0].g == "h"
+
+
+def test_contained_phrases_without_a_broadcast(spark, monkeypatch):
+    texts = [(i, f"the quick fox number {i} jumps over it") for i in range(200)] + [(900, None), (901, "")]
+    phrases = [(i, f"fox number {i} jumps") for i in range(0, 400, 3)] + [(500, "quick fox"), (501, ""), (502, None)]
+    table = spark.createDataFrame(texts, "text_id int, text string")
+    listed = spark.createDataFrame(phrases, "phrase_id int, phrase string")
+    want = {(t, p) for t, a in texts for p, b in phrases if a and b and b in a}
+    for most in (0, 64 << 20):
+        monkeypatch.setattr(su, "BROADCAST_BYTES", most)
+        assert {(r.text_id, r.phrase_id) for r in su.contained_phrases(table, listed).collect()} == want
+
+
+def test_coverage_without_selectors(spark):
+    blocks = spark.createDataFrame([("/a/x.md", ["Top"]), (None, ["Top"])], "doc string, heading_path array<string>")
+    selectors = spark.createDataFrame([(None, "*"), ("", "nowhere")], "suffix string, contained string")
+    for listed in (selectors, selectors.limit(0)):
+        assert su.coverage_gaps(blocks, listed).count() == 2
+    everything = spark.createDataFrame([("", "*")], "suffix string, contained string")
+    assert [r.doc for r in su.coverage_gaps(blocks, everything).collect()] == [None]
