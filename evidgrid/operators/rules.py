@@ -22,6 +22,7 @@ from evidgrid.functions.text import (
     substantive_quote,
     universal_prerequisite,
 )
+from evidgrid.session import cut_lineage
 
 NUL = "\x00"
 EMPTY = "array<string>"
@@ -742,12 +743,25 @@ def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFra
         .join(subjects, "conflict_id")
         .withColumn("_hit", F.sort_array(F.array_intersect("terms", F.array_union("_a", F.col("_b")))))
     )
-    touched = texts.groupBy("conflict_id").agg(
-        F.max(F.arrays_overlap("terms", F.col("_a"))).alias("touches_a"),
-        F.max(F.arrays_overlap("terms", F.col("_b"))).alias("touches_b"),
-        F.max(
-            F.col("incompatible") & F.arrays_overlap("terms", F.col("_a")) & F.arrays_overlap("terms", F.col("_b"))
-        ).alias("stated"),
+    # Read once; a set travels as its digest, and as terms only where it is compared.
+    paired_set = F.when(F.size("_hit") >= 2, F.sort_array("terms"))
+    marked = cut_lineage(
+        texts.select(
+            "conflict_id",
+            "sign",
+            "incompatible",
+            "exclusive",
+            "_hit",
+            F.arrays_overlap("terms", F.col("_a")).alias("in_a"),
+            F.arrays_overlap("terms", F.col("_b")).alias("in_b"),
+            paired_set.alias("set"),
+            F.sha2(F.array_join(paired_set, NUL), 256).alias("mark"),
+        )
+    )
+    touched = marked.groupBy("conflict_id").agg(
+        F.max("in_a").alias("touches_a"),
+        F.max("in_b").alias("touches_b"),
+        F.max(F.col("incompatible") & F.col("in_a") & F.col("in_b")).alias("stated"),
     )
     pairs = F.flatten(
         F.transform(
@@ -757,17 +771,25 @@ def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFra
             ),
         )
     )
-    paired = texts.select(
-        "conflict_id", "text_id", "sign", "exclusive", F.array_join(F.sort_array("terms"), NUL).alias("set"), F.explode(pairs).alias("pair")
+    key = ["conflict_id", "pair"]
+    sets = cut_lineage(
+        marked.where("mark IS NOT NULL")
+        .select("conflict_id", "sign", "exclusive", "mark", F.explode(pairs).alias("pair"))
+        .groupBy(*key, "mark")
+        .agg(
+            F.max("exclusive").alias("exclusive"),
+            F.max(F.col("sign") == 1).alias("positive"),
+            F.max(F.col("sign") == -1).alias("negative"),
+        )
     )
-    opposite = (
-        paired.groupBy("conflict_id", "pair")
-        .agg((F.max(F.col("sign") == 1) & F.max(F.col("sign") == -1)).alias("opposed"))
-        .groupBy("conflict_id")
-        .agg(F.max("opposed").alias("opposed"))
+    by_pair = sets.groupBy(*key).agg(
+        (F.max("positive") & F.max("negative")).alias("opposed"),
+        (F.max("exclusive") & (F.count("*") > 1)).alias("compared"),
     )
-    sets = paired.groupBy("conflict_id", "pair", "set").agg(F.max("exclusive").alias("exclusive"))
-    exclusive = _incomparable(sets.withColumn("set", F.split("set", NUL)))
+    opposite = by_pair.groupBy("conflict_id").agg(F.max("opposed").alias("opposed"))
+    bodies = marked.where("mark IS NOT NULL").select("mark", "set").dropDuplicates(["mark"])
+    compared = sets.join(by_pair.where("compared").select(*key), key, "left_semi").join(bodies, "mark")
+    exclusive = _incomparable(compared.select(*key, "set", "exclusive"))
     false = F.lit(False)
     joined = (
         subjects.join(touched, "conflict_id", "left")

@@ -499,3 +499,50 @@ def test_coverage_without_selectors(spark):
         assert su.coverage_gaps(blocks, listed).count() == 2
     everything = spark.createDataFrame([("", "*")], "suffix string, contained string")
     assert [r.doc for r in su.coverage_gaps(blocks, everything).collect()] == [None]
+
+
+def test_structural_collisions_brute_force(spark):
+    import random
+    import re
+    from itertools import product
+
+    from evidgrid import lexicon as lx
+
+    def found(pattern, text):
+        return re.search(pattern.replace("(?iU)", "(?i)"), text) is not None
+
+    def terms(text):
+        words = re.findall("[a-z0-9][a-z0-9_-]*", text.lower())
+        return {lx.DECISION_FAMILIES.get(w, w) for w in words if len(w) >= 3 and w not in lx.DECISION_STOP}
+
+    def collides(a, b, texts):
+        rows = []
+        for text in filter(None, texts):
+            negative, positive = found(lx.DECISION_NEGATIVE_PATTERN, text), found(lx.DECISION_POSITIVE_PATTERN, text)
+            rows.append((terms(text), -1 if negative else int(positive), found(lx.DECISION_EXCLUSIVE_PATTERN, text), found(lx.DECISION_INCOMPATIBLE_PATTERN, text)))
+        if not any(t & a for t, *_ in rows) or not any(t & b for t, *_ in rows):
+            return False
+        if any(stated and t & a and t & b for t, _, _, stated in rows):
+            return True
+        return any(
+            len(x & y & (a | b)) >= 2 and ((s == 1 and r == -1) or (only and not x <= y and not y <= x))
+            for (x, s, only, _), (y, r, _, _) in product(rows, rows)
+        )
+
+    draw = random.Random(5)
+    vocabulary = "red blue green metal wood stone glass paper iron".split()
+    marks = ["only", "never", "use", "versus", "", "", "", "", "", "", ""]
+    conflicts, texts = [], []
+    for number in range(150):
+        conflicts.append((number, "red blue", "green metal"))
+        for i in range(draw.randint(0, 4)):
+            words = draw.sample(vocabulary, draw.randint(2, 5)) + [draw.choice(marks)]
+            texts.append((number, f"t{i}", draw.choice([" ".join(words)] * 12 + [None, ""])))
+    ground = spark.createDataFrame(texts + texts[:20], "conflict_id int, text_id string, text string")
+    table = spark.createDataFrame(conflicts, "conflict_id int, subject_a string, subject_b string")
+    got = {r.conflict_id: r.collides for r in ru.structural_collisions(table, ground).collect()}
+    want = {
+        n: collides(terms(a), terms(b), [t for m, _, t in texts if m == n]) for n, a, b in conflicts
+    }
+    assert got == want
+    assert 10 < sum(want.values()) < 140
