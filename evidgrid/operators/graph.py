@@ -9,7 +9,7 @@ from evidgrid import lexicon as lx
 from evidgrid.functions.exprs import col, extract_all, let
 from evidgrid.functions.identity import digest_prefix, content_sha
 from evidgrid.operators.skew import beside, join_back
-from evidgrid.session import cut_lineage, cut_lineage_counted
+from evidgrid.session import Tables, cut_lineage, cut_lineage_counted
 
 
 def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
@@ -34,21 +34,24 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node as component, for nodes that have an edge.
 
-    Every round each label moves to the neighbour that comes first in a hashed order, which is
-    another one in each round, and the edges are contracted. The hashed order breaks long chains
+    Every round each label moves to the neighbour that comes first in an order, and the edges are
+    contracted. In the first round that is the order of the nodes, so a star around its smallest node
+    is one label at once. Later rounds take a hashed order, another one each: it breaks long chains
     into short ones, so the graph shrinks by a constant factor per round whatever its shape.
     Rounds are written to the checkpoint folder: the plan stays short and a lost executor costs
     one round.
     """
-    links, size = cut_lineage_counted(edges.where("a != b").select("a", "b").distinct())
+    tables = Tables(edges.sparkSession)
+    links = tables.save(edges.where("a != b").select("a", "b").distinct(), "links-0")
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = labels.withColumn("label", F.col("node"))
+    labels = tables.save(labels.withColumn("label", F.col("node")), "labels-0")
     turn = 0
-    while size > 0:
+    while links.count() > 0:
         turn += 1
 
         def ranked(name: str) -> Column:
-            return F.struct(F.xxhash64(F.col(name), F.lit(turn)).alias("h"), F.col(name).alias("n"))
+            place = F.xxhash64(F.col(name), F.lit(turn)) if turn > 1 else F.lit(0).cast("long")
+            return F.struct(place.alias("h"), F.col(name).alias("n"))
 
         both = links.union(links.select("b", "a"))
         step = both.groupBy(F.col("a").alias("label")).agg(
@@ -57,11 +60,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = step.withColumn("low", F.least(ranked("label"), F.col("low"))["n"])
         # One hop further: the target of the target comes no later.
         ahead = step.select(F.col("label").alias("low"), F.col("low").alias("next"))
-        step = cut_lineage(
-            step.join(ahead, "low", "left").select(
-                "label", F.coalesce("next", "low").alias("low"), "rows"
-            )
+        step = step.join(ahead, "low", "left").select(
+            "label", F.coalesce("next", "low").alias("low"), "rows"
         )
+        step = tables.save(step, f"step-{turn}")
 
         def moved(df: DataFrame, old: str, new: str, other: str) -> DataFrame:
             renamed = df.withColumnRenamed(old, "label")
@@ -72,11 +74,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ordered = contracted.where("x != y").select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         )
-        links, size = cut_lineage_counted(ordered.distinct())
+        links = tables.save(ordered.distinct(), f"links-{turn}")
         # A label stands for many nodes; its weight decides whether it is a heavy key.
         weights = labels.groupBy("label").agg(F.count("*").alias("rows"))
         mapped = join_back(labels, step.drop("rows").join(weights, "label"), "label", "rows", F.col("node"))
-        labels = cut_lineage(mapped.select("node", F.coalesce("low", "label").alias("label")))
+        labels = tables.save(
+            mapped.select("node", F.coalesce("low", "label").alias("label")), f"labels-{turn}"
+        )
+        tables.release(f"links-{turn - 1}", f"labels-{turn - 1}", f"step-{turn}")
     names = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("rows"))
     return join_back(labels, names, "label", "rows", F.col("node")).select("node", "component")
 

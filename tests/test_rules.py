@@ -422,6 +422,19 @@ def test_clusters(spark):
     assert (summary.status, summary.semantic, summary.clusters) == ("defects_detected", True, 2)
 
 
+def test_component_rounds_keep_small_size_estimates(spark):
+    # Scattered numbers along a chain and a star around its largest node: many rounds of joins.
+    chain = [(n * 7919 % 3001, (n + 1) * 7919 % 3001) for n in range(3000)]
+    star = [(9000, 4000 + n) for n in range(3000)]
+    edges = spark.createDataFrame(chain + star, "a int, b int")
+    found = gr.connected_components(edges)
+    guessed = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert guessed.bit_length() < 200
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {
+        (0, 3001), (4000, 3001),
+    }
+
+
 def test_components_against_brute_force(spark):
     import random
 
