@@ -194,6 +194,24 @@ def one_file_each(rows: DataFrame, path: str, *keys: str) -> str:
     return path
 
 
+#: Rows of a task of ``a_file_per_row``.
+FILES_PER_TASK = 1_000
+
+
+def a_file_per_row(rows: DataFrame, path: str) -> str:
+    """A JSON file per row, all in one folder.
+
+    The rows are dealt out by their number, not by their bytes, and every task moves its own files to
+    their place: neither one task nor the driver handles all files. A task that is run again writes the
+    same names.
+    """
+    tasks = -(-rows.count() // FILES_PER_TASK)
+    writer = rows.repartition(max(1, tasks)).write.option("maxRecordsPerFile", 1)
+    writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.option("ignoreNullFields", "false").json(path)
+    return path
+
+
 @query(
     "note_rows",
     """SELECT item_id, 'kind=note' AS scope, 'auto_memory' AS source_kind, 6 AS authority,
@@ -319,10 +337,9 @@ def scanned_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat("s_name", F.lit("!")), 256).alias("response_sha256"),
     )
     rows = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, marker).alias("decision_resolution")
+        F.when(F.col("s_suppkey") % 4 != 0, marker).alias("decision_resolution")
     )
-    path = f"{workspace(spark)}/stones"
-    rows.write.partitionBy("s_suppkey").option("ignoreNullFields", "false").json(path)
+    path = a_file_per_row(rows, f"{workspace(spark)}/stones")
     return sk.scan_tombstones(spark, path).select(
         "parent_run_id", "successor_run_id", "request_id", "parent_sha256"
     )
