@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import NOT_SPACE, SPACE, any_of, col, extract_all, let, strings, strip
+from evidgrid.functions.exprs import NOT_SPACE, SPACE, col, extract_all, led, let, strings, strip
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 
 MILLISECOND_BOUNDARY = 10_000_000_000
@@ -312,8 +314,10 @@ def repeated_phrase(text: Column | str, size: int = 8) -> Column:
 
 def catch_alls(text: Column | str) -> Column:
     """Open-ended phrases, each with single spaces."""
-    value = normalize_block(text)
-    found = F.flatten(F.array(*[extract_all(value, p) for p in lx.CATCH_ALL_PATTERNS]))
+    found = let(
+        normalize_block(text),
+        lambda value: F.flatten(F.array(*[extract_all(value, led(p)) for p in lx.CATCH_ALL_PATTERNS])),
+    )
     return F.array_distinct(F.transform(found, collapse_spaces))
 
 
@@ -337,8 +341,11 @@ def universal_prerequisite(text: Column | str) -> Column:
     def demands(all_clauses: Column) -> Column:
         def one(clause: Column, i: Column) -> Column:
             window = F.concat_ws(" ", clause, F.get(all_clauses, i + 1))
+            # Both words as plain letters first: few clauses have them.
             return (
-                clause.rlike(p["all"])
+                clause.contains("all")
+                & clause.contains("ci")
+                & clause.rlike(p["all"])
                 & clause.rlike(p["ci"])
                 & window.rlike(p["commit"])
                 & ~clause.rlike(p["negated"])
@@ -352,11 +359,15 @@ def universal_prerequisite(text: Column | str) -> Column:
 
 def has_stage_gate(text: Column | str) -> Column:
     """Every group of gate terms is represented and no universal prerequisite is stated."""
-    value = F.lower(col(text))
-    checks = [value.rlike(any_of(terms)) for terms in lx.GATE_TERM_GROUPS.values()]
-    checks += [value.rlike(pattern) for pattern in lx.GATE_WORDS]
-    checks.append(~universal_prerequisite(text))
-    return F.forall(F.array(*checks), lambda ok: ok)
+
+    def represented(value: Column) -> Column:
+        checks = [
+            reduce(or_, [value.contains(term) for term in terms]) for terms in lx.GATE_TERM_GROUPS.values()
+        ]
+        checks += [value.rlike(led(pattern)) for pattern in lx.GATE_WORDS]
+        return reduce(and_, checks)
+
+    return let(F.lower(col(text)), represented) & ~universal_prerequisite(text)
 
 
 def consequential(text: Column | str) -> Column:
