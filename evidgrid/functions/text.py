@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import NOT_SPACE, SPACE, col, extract_all, led, let, strings, strip
+from evidgrid.functions.exprs import NOT_SPACE, SPACES, col, extract_all, led, let, strings, strip
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
 
 MILLISECOND_BOUNDARY = 10_000_000_000
@@ -126,7 +126,8 @@ def shannon_entropy(text: Column | str) -> Column:
 
 
 def collapse_spaces(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(text), SPACE + "+", " "))
+    # Most spaces are single blanks, so only runs of them are left to the regular expression.
+    return F.trim(F.regexp_replace(F.translate(col(text), SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def label_key(text: Column | str) -> Column:

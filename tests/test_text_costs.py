@@ -4,7 +4,7 @@ import re
 
 from evidgrid import lexicon as lx
 from evidgrid.functions import text as tx
-from evidgrid.functions.exprs import led
+from evidgrid.functions.exprs import NOT_SPACE, led
 
 
 def plan(df):
@@ -36,3 +36,12 @@ def test_led_patterns_find_the_same():
         assert re.findall(plain, words) == re.findall(first, words)
     assert led(r"\betc\b|\bx\b") == r"\betc\b|\bx\b"
     assert led(r"\bs?he\b") == r"\bs?he\b"
+
+
+def test_single_blanks_are_left_alone(spark):
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343 AND id <> 65279")
+    one = points.selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    joined = one.selectExpr("c", "concat('a', c, c, 'b ', c, 'c') AS t")
+    folded = joined.select("c", tx.collapse_spaces("t").alias("f"))
+    assert "{2,}" in plan(folded)
+    assert folded.where((folded.f == "a b c") == folded.c.rlike(NOT_SPACE)).count() == 0
