@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
+from evidgrid.functions.exprs import led
 from evidgrid.functions.identity import content_sha, digest_prefix
 from evidgrid.functions.text import subject_terms, utf8_bytes
 from evidgrid.lexicon import DEFAULT_LEXICON, Lexicon
@@ -89,8 +90,7 @@ def shared_term_edges(items: DataFrame, minimum: int = 2, large: int = LARGE_TER
     if minimum != 2:
         raise ValueError("pairs of terms express an overlap of two")
     exploded = items.select("item", "place", F.explode(F.array_distinct("terms")).alias("term"))
-    place_term = F.md5(F.concat_ws(NUL, "place", "term"))
-    keyed = cut_lineage(exploded.select("item", place_term.alias("_key")))
+    keyed = cut_lineage(exploded.select("item", F.unhex(F.md5(F.concat_ws(NUL, "place", "term"))).alias("_key")))
     counts = keyed.groupBy("_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     counts = cut_lineage(counts)
     shared = join_back(keyed, counts.withColumn("shared", F.lit(True)), "_key", "rows", F.col("item"))
@@ -105,7 +105,7 @@ def shared_term_edges(items: DataFrame, minimum: int = 2, large: int = LARGE_TER
     placed = small.select("item", "terms", F.posexplode("terms").alias("at", "first"))
     later = F.slice("terms", F.col("at") + 2, F.size("terms"))
     keys = placed.select("item", "first", F.explode(later).alias("second")).select(
-        "item", F.md5(F.concat("first", "second")).alias("key")
+        "item", F.unhex(F.md5(F.concat("first", "second"))).alias("key")
     )
     stars = star_edges(keys, "key", "item")
     big = usable.where(F.size("terms") > large).select(
@@ -121,17 +121,20 @@ def exception_components(
 ) -> tuple[DataFrame, DataFrame]:
     """(summaries, members) of exception-bearing blocks linked by shared subject terms."""
     bearing = (
-        blocks.where(~F.col("protected") & F.col("raw").rlike(lexicon.exception))
+        blocks.where(~F.col("protected") & F.col("raw").rlike(led(lexicon.exception)))
         .join(claimed.select("block_id").distinct(), "block_id", "left_anti")
     )
+    # Blocks are linked by number: groups with a smallest number are hashed, with a string sorted.
     facts = cut_lineage(
-        _facts(bearing, subject_terms("raw", "blocks", lexicon).alias("terms"))
+        _facts(
+            bearing,
+            subject_terms("raw", "blocks", lexicon).alias("terms"),
+            F.monotonically_increasing_id().alias("node"),
+        )
     )
-    items = facts.select(F.col("block_id").alias("item"), location_key().alias("place"), "terms")
+    items = facts.select(F.col("node").alias("item"), location_key().alias("place"), "terms")
     components = connected_components(shared_term_edges(items))
-    placed = facts.drop("terms").join(
-        components.select(F.col("node").alias("block_id"), "component"), "block_id"
-    )
+    placed = facts.drop("terms").join(components, "node")
     return _clustered(placed, "component", "exception_lineage", 2)
 
 

@@ -17,18 +17,21 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 
     A key with n nodes gives n - 1 edges instead of all pairs.
     """
-    written = cut_lineage(members.select(key, node))
-    hubs = (
-        written.groupBy(key)
-        .agg(F.min(node).alias("a"), F.count("*").alias("rows"))
-        .where(F.col("rows") > 1)
-    )
-    linked = join_back(written, hubs, key, "rows", F.col(node))
-    return (
-        linked.where(F.col("a").isNotNull() & (F.col("a") != F.col(node)))
-        .select("a", F.col(node).alias("b"))
-        .distinct()
+    tables = Tables(members.sparkSession)
+    written = tables.save(members.select(key, node), "members")
+    hubs = tables.save(
+        written.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.min(node).alias("a"), F.max(node).alias("b"), F.count("*").alias("rows"))
+        .where(F.col("rows") > 1),
+        "hubs",
     )
+    # Two rows are one edge; only larger keys go back to their rows.
+    pairs = hubs.where("rows = 2 AND a != b").select("a", "b")
+    larger = hubs.where("rows > 2").drop("b")
+    linked = join_back(written, larger, key, "rows", F.col(node))
+    stars = linked.where(F.col("a").isNotNull() & (F.col("a") != F.col(node)))
+    return pairs.union(stars.select("a", F.col(node).alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def join_back(
 
     A key with more than ``hot_rows`` rows is cut into parts: its facts are dealt out by ``salt``
     and its lookup row is repeated for every part. This holds for every such key. The table of hot
-    keys has at most one row per ``hot_rows`` facts; Spark broadcasts it where it is small.
+    keys has at most one row per ``hot_rows`` facts, so it is broadcast and the facts are shuffled once.
     """
     values = [name for name in lookup.columns if name not in (key, rows)]
     parts = F.ceil(F.col(rows) / hot_rows).cast("int")
@@ -48,7 +48,7 @@ def join_back(
         F.col(key).alias("_hot_key"), parts.alias("_parts")
     )
     dealt = F.xxhash64(salt)
-    flagged = facts.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
+    flagged = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_part",
         # Rows without a key match nothing; they are spread as well.
         F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(4096)))

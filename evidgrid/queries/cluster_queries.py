@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidgrid.functions.exprs import led
 from evidgrid.functions.text import normalize_block
 from evidgrid.operators import clusters as cl
 from evidgrid.queries.base import FIXTURE_LEXICON, query, sql_list, texts
@@ -94,7 +95,7 @@ def exception_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n"), lambda line, i: F.struct(i.alias("start"), line.alias("raw"))
     )
     exploded = texts(spark, sf_dir).select("doc_id", F.explode(lines).alias("r"))
-    bearing = exploded.where(F.col("r")["raw"].rlike(LX.exception))
+    bearing = exploded.where(F.col("r")["raw"].rlike(led(LX.exception)))
     return bearing.select(
         F.col("doc_id").cast("string").alias("doc"),
         F.concat_ws(
