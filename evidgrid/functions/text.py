@@ -18,7 +18,7 @@ DAY_MICROS = 86_400_000_000
 HALF_LIFE_DAYS = 365.0
 # A word of four or more characters without lower case letters and with a capital.
 SHOUTED = (
-    rf"(?<!{NOT_SPACE})(?=[^\s\p{{Ll}}]*\p{{Lu}})(?:(?!\p{{Ll}}){NOT_SPACE}){{4,}}(?!{NOT_SPACE})"
+    rf"(?![a-z ])(?<!{NOT_SPACE})(?=[^\s\p{{Ll}}]*\p{{Lu}})(?:(?!\p{{Ll}}){NOT_SPACE}){{4,}}(?!{NOT_SPACE})"
 )
 
 
@@ -149,10 +149,24 @@ def _meaningful(token: Column, min_chars: int, stop: list[str]) -> Column:
     return long_enough & ~token.isin(stop) if stop else long_enough
 
 
+#: Characters in which the tokens of a fingerprint are looked for first.
+HEAD_CHARS = 1024
+
+
 def fingerprint_tokens(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    tokens = F.transform(extract_all(col(text), lx.FINGERPRINT_TOKEN), F.lower)
-    meaningful = F.filter(tokens, lambda t: _meaningful(t, lexicon.min_token_chars, lexicon.stop))
-    return F.slice(meaningful, 1, lexicon.fingerprint_tokens)
+    """The first meaningful tokens in order; a long text is read on only if its head has too few."""
+    value, wanted = col(text), lexicon.fingerprint_tokens
+
+    def meaningful(part: Column) -> Column:
+        tokens = F.transform(extract_all(part, lx.FINGERPRINT_TOKEN), F.lower)
+        return F.filter(tokens, lambda t: _meaningful(t, lexicon.min_token_chars, lexicon.stop))
+
+    # The last token of the head may be cut off, so one more than wanted is needed.
+    found = let(
+        meaningful(F.left(value, F.lit(HEAD_CHARS))),
+        lambda head: F.when(F.size(head) > wanted, head).otherwise(meaningful(value)),
+    )
+    return F.slice(found, 1, wanted)
 
 
 def fingerprint(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
@@ -164,15 +178,15 @@ def correction_score(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) ->
     value = col(text)
     shouted = F.regexp_count(value, F.lit(SHOUTED))
     total = (
-        F.regexp_count(value, F.lit(lexicon.correction)) * 4
-        + F.regexp_count(value, F.lit(lexicon.explicit)) * 10
+        F.regexp_count(value, F.lit(led(lexicon.correction))) * 4
+        + F.regexp_count(value, F.lit(led(lexicon.explicit))) * 10
         + F.least(F.lit(3), shouted)
     )
     return F.least(F.lit(30), total)
 
 
 def directive_score(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return F.least(F.lit(30), F.regexp_count(col(text), F.lit(lexicon.directive)))
+    return F.least(F.lit(30), F.regexp_count(col(text), F.lit(led(lexicon.directive))))
 
 
 def behavior_keys(tokens: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
@@ -207,12 +221,14 @@ def subject_terms(
         families = F.create_map(
             *[F.lit(part) for pair in lx.DECISION_FAMILIES.items() for part in pair]
         )
-        tokens = F.transform(extract_all(col(text), lx.FINGERPRINT_TOKEN), F.lower)
+        # A word is looked at once, however often a text repeats it.
+        words = F.array_distinct(extract_all(col(text), lx.FINGERPRINT_TOKEN))
+        tokens = F.transform(words, F.lower)
         kept = F.filter(tokens, lambda t: _meaningful(t, 3, lx.DECISION_STOP))
         return F.array_distinct(F.transform(kept, lambda t: F.coalesce(families[t], t)))
     stop = {"blocks": lexicon.block_stop, "analyst": lx.ANALYST_STOP, "quality": []}[profile]
-    words = extract_all(normalize_block(text), lx.WORD_TOKEN)
-    return F.array_distinct(F.filter(words, lambda t: _meaningful(t, 3, stop)))
+    words = F.array_distinct(extract_all(normalize_block(text), lx.WORD_TOKEN))
+    return F.filter(words, lambda t: _meaningful(t, 3, stop))
 
 
 def recency_weight(ts: Column | str, as_of: Column | str) -> Column:
@@ -230,7 +246,9 @@ def polarity_sign(
     """-1 whenever a negative is present, else +1 for a positive, else 0."""
     value = col(text)
     return (
-        F.when(value.rlike(negative), F.lit(-1)).when(value.rlike(positive), F.lit(1)).otherwise(0)
+        F.when(value.rlike(led(negative)), F.lit(-1))
+        .when(value.rlike(led(positive)), F.lit(1))
+        .otherwise(0)
     )
 
 
@@ -324,7 +342,7 @@ def catch_alls(text: Column | str) -> Column:
 
 def extract_terms(text: Column | str, pattern: str) -> Column:
     """Distinct lower-case matches of a term class (actions, intensifiers, …)."""
-    return F.array_distinct(F.transform(extract_all(col(text), pattern), F.lower))
+    return F.array_distinct(F.transform(F.array_distinct(extract_all(col(text), led(pattern))), F.lower))
 
 
 def code_anchors(text: Column | str) -> Column:
@@ -378,9 +396,8 @@ def consequential(text: Column | str) -> Column:
 def substantive_quote(quote: Column | str, text: Column | str) -> Column:
     """Exact excerpt of the text with at least 12 characters and two longer terms."""
     value = col(quote)
-    terms = F.array_distinct(
-        F.filter(extract_all(normalize_block(value), lx.WORD_TOKEN), lambda t: F.length(t) >= 3)
-    )
+    words = F.array_distinct(extract_all(normalize_block(value), lx.WORD_TOKEN))
+    terms = F.filter(words, lambda t: F.length(t) >= 3)
     return (
         F.contains(col(text), value)
         & (F.length(strip(value)) >= 12)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import col, strings
+from evidgrid.functions.exprs import col, led, strings
 from evidgrid.functions.identity import content_sha, independence_key
 from evidgrid.functions.text import (
     behavior_keys,
@@ -279,8 +279,8 @@ def select_events(
 def polarity_columns(text: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> list[Column]:
     """Flags ``neg`` and ``pos`` of a text."""
     return [
-        F.col(text).rlike(lexicon.negative).alias("neg"),
-        F.col(text).rlike(lexicon.positive).alias("pos"),
+        F.col(text).rlike(led(lexicon.negative)).alias("neg"),
+        F.col(text).rlike(led(lexicon.positive)).alias("pos"),
     ]
 
 
@@ -411,7 +411,7 @@ def missing_rule_signal(events: DataFrame, by: list[str], node_kind: str = "node
     return events.groupBy(*by).agg(
         (
             F.max(F.col("source_kind") == node_kind)
-            | F.max(F.col("text").rlike(lx.EXPLICIT_DURABLE_PATTERN))
+            | F.max(F.col("text").rlike(led(lx.EXPLICIT_DURABLE_PATTERN)))
             | F.coalesce(F.min(group) != F.max(group), F.lit(False))
         ).alias("signal")
     )

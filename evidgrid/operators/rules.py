@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidgrid import lexicon as lx
-from evidgrid.functions.exprs import strip
+from evidgrid.functions.exprs import led, strip
 from evidgrid.functions.identity import canonical_digest, independence_key, safe_line
 from evidgrid.functions.redaction import has_high, redact, residual_secrets
 from evidgrid.functions.text import (
@@ -200,8 +200,8 @@ def validate_nominations(nominations: DataFrame, blocks: DataFrame, events: Data
         F.lit(True).alias("hit"),
         ((F.length(strip("text")) < 12) | (F.size(subject_terms("text", "analyst")) < 2)).alias("small"),
         (F.col("source_kind") == "node_active").alias("node"),
-        F.col("text").rlike(lx.EXPLICIT_DURABLE_PATTERN).alias("durable"),
-        ((F.col("correction_score") > 0) | F.col("text").rlike(lx.EXPLICIT_REVERSAL_PATTERN)).alias("reversal"),
+        F.col("text").rlike(led(lx.EXPLICIT_DURABLE_PATTERN)).alias("durable"),
+        ((F.col("correction_score") > 0) | F.col("text").rlike(led(lx.EXPLICIT_REVERSAL_PATTERN))).alias("reversal"),
         witness.alias("witness"),
         F.when(scored, witness).alias("scored_witness"),
         subject_terms("text", "analyst").alias("terms"),
@@ -393,7 +393,7 @@ def validate_changes(
             F.flatten(
                 F.collect_set(
                     F.when(
-                        F.col("text").rlike(lx.CHANGE_REVERSAL_PATTERN),
+                        F.col("text").rlike(led(lx.CHANGE_REVERSAL_PATTERN)),
                         extract_terms("text", lx.ACTION_PATTERN),
                     )
                 )
@@ -485,7 +485,7 @@ def validate_changes(
         F.array_intersect("_new_actions", F.array(*[F.lit(a) for a in lx.HIGH_IMPACT_ACTIONS])),
         F.col("_source_actions"),
     )
-    opt_in = lx.OPT_IN_PATTERN
+    opt_in = led(lx.OPT_IN_PATTERN)
     relocation, target = F.col("relocation_basis"), F.col("enforcement_target")
     rules = [
         ("invalid_action", ~action.isin("replace", "remove", "relocate", "escalate")),
@@ -511,8 +511,8 @@ def validate_changes(
         (
             "undefined_verification_gate",
             (action != "escalate")
-            & F.col("_text").rlike(lx.SELF_ATTESTED_PATTERN)
-            & ~F.col("_text").rlike(lx.EXTERNAL_CRITERION_PATTERN),
+            & F.col("_text").rlike(led(lx.SELF_ATTESTED_PATTERN))
+            & ~F.col("_text").rlike(led(lx.EXTERNAL_CRITERION_PATTERN)),
         ),
         ("missing_reason", F.col("reason").isNull() | (strip("reason") == "")),
         ("invalid_apply_mode", ~F.col("minimum_apply_mode").isin("attended", "unattended")),
@@ -543,7 +543,7 @@ def validate_changes(
         (
             "retained_reversed_clause",
             F.col("_source").rlike(opt_in)
-            & F.col("_evidence").rlike(lx.CHANGE_REVERSAL_PATTERN)
+            & F.col("_evidence").rlike(led(lx.CHANGE_REVERSAL_PATTERN))
             & F.col("_text").rlike(opt_in),
         ),
         ("unsupported_intensifier", F.size(intensifiers) > 0),
@@ -609,7 +609,7 @@ def validate_suggestions(suggestions: DataFrame, nominations: DataFrame, events:
             "unsupported_action_catch_all",
             F.size(dropped_terms(catch_alls("rendered"), catch_alls("_support"))) > 0,
         ),
-        ("unsupported_normative_force", invariant & ~F.col("_support").rlike(lx.INVARIANT_SUPPORT_PATTERN)),
+        ("unsupported_normative_force", invariant & ~F.col("_support").rlike(led(lx.INVARIANT_SUPPORT_PATTERN))),
     ]
     shown = F.concat_ws("\n", F.array_join("heading_path", "\n"), "rendered", "reason")
     return joined.select(
@@ -737,8 +737,8 @@ def structural_collisions(conflicts: DataFrame, grounding: DataFrame) -> DataFra
             "text_id",
             subject_terms("text", "decision").alias("terms"),
             polarity_sign("text").alias("sign"),
-            F.col("text").rlike(lx.DECISION_INCOMPATIBLE_PATTERN).alias("incompatible"),
-            F.col("text").rlike(lx.DECISION_EXCLUSIVE_PATTERN).alias("exclusive"),
+            F.col("text").rlike(led(lx.DECISION_INCOMPATIBLE_PATTERN)).alias("incompatible"),
+            F.col("text").rlike(led(lx.DECISION_EXCLUSIVE_PATTERN)).alias("exclusive"),
         )
         .join(subjects, "conflict_id")
         .withColumn("_hit", F.sort_array(F.array_intersect("terms", F.array_union("_a", F.col("_b")))))
