@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -281,8 +282,12 @@ def contained_phrases(
     )
     by_run = F.size("_run") > 0
 
-    def run_key(run: Column) -> Column:
-        return F.xxhash64(F.lit("w"), F.concat_ws(" ", run))
+    # Words are hashed once each; the key of a run is a hash of their numbers.
+    def hashed(words: Column) -> Column:
+        return F.transform(words, lambda w: F.xxhash64(w))
+
+    def run_key(numbers: Column, start: Column, size: int) -> Column:
+        return F.xxhash64(*[F.get(numbers, start + at) for at in range(size)])
 
     def start_key(value: Column, start: Column, length: Column | int) -> Column:
         return F.xxhash64(F.lit("c"), F.substr(value, start, F.lit(length)))
@@ -291,7 +296,11 @@ def contained_phrases(
         "phrase_id",
         "_p",
         F.when(by_run, F.size("_run")).otherwise(-F.col("_c")).alias("_n"),
-        F.when(by_run, run_key(F.col("_run")))
+        reduce(
+            lambda chosen, n: chosen.when(F.size("_run") == n, run_key(hashed(F.col("_run")), F.lit(0), n)),
+            range(2, words + 1),
+            F.when(F.size("_run") == 1, run_key(hashed(F.col("_run")), F.lit(0), 1)),
+        )
         .otherwise(F.xxhash64(F.lit("c"), F.substr("_p", F.lit(1), F.col("_c"))))
         .alias("_key"),
     )
@@ -305,8 +314,8 @@ def contained_phrases(
     normal = texts.select("text_id", label_key(text).alias("_t"))
 
     def runs_of(found: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: run_key(F.slice(found, i, size)))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - size, F.lit(0)))
+        return F.transform(starts, lambda i: run_key(found, i, size))
 
     def starts_of(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - size + 1, F.lit(1)))
@@ -318,7 +327,7 @@ def contained_phrases(
 
     # Outer form: no second evaluation of the array for an inferred size filter.
     shingled = normal.select(
-        "text_id", F.explode_outer(let(extract_all(F.col("_t"), pattern), keys_of)).alias("_key")
+        "text_id", F.explode_outer(let(hashed(extract_all(F.col("_t"), pattern)), keys_of)).alias("_key")
     ).where(F.col("_key").isNotNull())
     candidates = (
         shingled.join(keys, "_key")
