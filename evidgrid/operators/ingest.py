@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,11 +179,14 @@ NEEDS_COMPOSITION = r"[\p{M}\u1100-\u11ff\u0340\u0341\u2126\u212a\u212b\uf900-\u
 
 
 def compose_unicode(df: DataFrame, column: str) -> DataFrame:
-    """Unicode NFC. Spark has no such function, so only texts that may change leave the JVM."""
+    """Unicode NFC. Spark has no such function, so only texts that may change leave the JVM.
 
-    @F.pandas_udf("string")
-    def nfc(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+    They go in small groups of rows: an Arrow batch would hold 10,000 whole texts several times over.
+    """
+
+    @F.udf("string", useArrow=False)
+    def nfc(value: str | None) -> str | None:
+        return value if value is None else unicodedata.normalize("NFC", value)
 
     candidate = F.when(F.col(column).rlike(NEEDS_COMPOSITION), F.col(column))
     return df.withColumn(column, F.coalesce(nfc(candidate), F.col(column)))
