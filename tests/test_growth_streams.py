@@ -55,3 +55,13 @@ def test_late_entries_of_one_part(spark, tmp_path):
         ("a", None, "planned", True),
         ("z", None, "planned", True),
     ]
+
+
+def test_copies_share_keys_of_the_stream(spark, tmp_path):
+    from test_stateful import EVENT, event
+
+    rows = [event("s", f"x{i}", i % 5, i) for i in range(60)]
+    stream = arriving(spark, str(tmp_path), EVENT, [rows, rows])
+    changes = sf.latest_rows(stream)
+    assert "part" in changes._jdf.queryExecution().analyzed().toString()
+    assert landed(changes, str(tmp_path)).count() == 60
