@@ -1,10 +1,10 @@
-"""Entries of runs travel and wait in packs."""
+"""Entries of runs travel and wait in packs; witnesses are told apart without Python."""
 
 import pyarrow as pa
 import pytest
 
 from evidgrid.operators import runs as rn
-from evidgrid.lexicon import RUN_TRANSITIONS
+from evidgrid.lexicon import RUN_TRANSITIONS, Lexicon
 from evidgrid.streaming import stateful as sf
 from test_stateful import LOG, arriving, entries, landed, shuffled_log
 
@@ -65,3 +65,35 @@ def test_copies_share_keys_of_the_stream(spark, tmp_path):
     changes = sf.latest_rows(stream)
     assert "part" in changes._jdf.queryExecution().analyzed().toString()
     assert landed(changes, str(tmp_path)).count() == 60
+
+
+CORROBORATED = "session_id string, text string"
+
+
+def test_witnesses_cost_no_python_call_per_key(spark, tmp_path):
+    batches = [
+        [("s", "alpha beta"), ("s", "alpha beta"), (None, "alpha beta"), ("s", None), ("s", "")],
+        [("s", "alpha beta"), ("t", "alpha beta"), ("", "alpha beta"), ("t", "gamma")],
+    ]
+    changes = sf.session_counts(arriving(spark, str(tmp_path), CORROBORATED, batches), parts=3)
+    assert "TransformWithState" not in changes._jdf.queryExecution().analyzed().toString()
+    rows = landed(changes, str(tmp_path)).collect()
+    # A row for every further session of a key, once over all batches.
+    assert sorted(r.session for r in rows) == ["", "s", "t", "t"]
+    totals = sf.witness_totals(spark.createDataFrame(rows))
+    assert sorted(r.witnesses for r in totals.collect()) == [1, 3]
+
+
+def test_equal_anchors_of_a_session_are_expanded_once(spark, tmp_path):
+    lexicon = Lexicon(stop=[], anchors=["north", "south", "east", "west"])
+    rows = [("s", f"north word{i} south east west") for i in range(60)]
+    changes = sf.session_counts(arriving(spark, str(tmp_path), CORROBORATED, [rows]), lexicon)
+    started = (
+        changes.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    states = [p.stateOperators[0] for p in started.recentProgress if p.numInputRows]
+    assert [(s.operatorName, s.numRowsUpdated) for s in states] == [("dedupe", 60 + 4)]
+    # The state gets every pair of key and session once, not once for every fingerprint.
+    assert sum(int(s.customMetrics["numDroppedDuplicateRows"]) for s in states) == 0
