@@ -2,7 +2,8 @@
 
 ``build_index`` cuts the texts into segments of a few MB. A segment holds, for every term, the
 sorted list of its positions, and it is stored as one row of a Parquet table in the shared folder;
-a longer text is a segment of its own. ``search`` reads the index once per block of test windows.
+a longer text is a segment of its own. Row groups of that table hold few segments, as a task reads a
+whole one into memory. ``search`` reads the index once per block of test windows.
 Inside a segment the position lists of a window are intersected from the rarest term on, each list
 shifted by the place of its term: what is left after the last term are the exact phrase matches.
 With ``slop`` a term may stand that many words off its place (proximity match).
@@ -26,6 +27,13 @@ from evidgrid.llm.common import Scratch, byte_table, drop_rows, lean, text_slice
 WINDOW = 13
 #: Item words that are broadcast together; more items make more blocks.
 BLOCK_WORDS = 200_000
+#: Row groups of the index: at most 4 segments, and no further one after 8 MB. By default a writer looks
+#: at the size only every 100 rows, and a reader takes up to 4,096 rows of a row group at once.
+ROW_GROUPS = {
+    "parquet.block.row.count.limit": 4,
+    "parquet.block.size": 8 << 20,
+    "parquet.page.size.row.check.min": 1,
+}
 #: Letters, digits and every byte of a character beyond ASCII.
 WORD_BYTES = byte_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 INDEX_SCHEMA = (
@@ -91,7 +99,7 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
     )
-    return scratch.save(narrow.mapInArrow(lean(build), INDEX_SCHEMA), "index")
+    return scratch.save(narrow.mapInArrow(lean(build), INDEX_SCHEMA), "index", **ROW_GROUPS)
 
 
 class Windows:

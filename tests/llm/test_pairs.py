@@ -3,8 +3,10 @@
 import hashlib
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import corpus, edited, frame, row_set, sentence
+from pyspark.sql import functions as F
 
 from evidgrid.llm import decontaminate
 from evidgrid.llm.common import Scratch, join_keys
@@ -203,6 +205,23 @@ def test_clean_rows_stay_with_their_columns(spark):
     assert decontaminate.keep_clean(docs.limit(0), items, Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size, most", [(2_100_000, 4), (9_000_000, 1)])
+def test_row_groups_of_the_index_hold_few_segments(spark, size, most):
+    text = F.repeat(F.when(F.col("id") >= 0, "ab cd ef "), size // 9)
+    docs = spark.range(6, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    scratch = Scratch(spark)
+    index = build_index(docs, scratch)
+    files = [pq.ParquetFile(path.removeprefix("file:")) for path in index.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 6 and max(groups) <= most
+    items = spark.createDataFrame([(1, "ef ab cd")], "item_id bigint, text string")
+    out = search(index, items, scratch).collect()
+    words = size // 9 * 3
+    assert sorted((r.doc_id, r.n_words, [tuple(run) for run in r.runs]) for r in out) == [
+        (doc, words, [(2, words - 1)]) for doc in range(6)
+    ]
+
+
 def test_proximity_match(spark):
     docs = frame(spark, [(1, "one two three four five"), (2, "one two xx three four five")])
     items = spark.createDataFrame([(1, "one two three four five")], "item_id bigint, text string")
